@@ -288,12 +288,12 @@ def flatten_window(spark, d):
 
 @query("rolling_features", sql("SELECT region, ts, " + ", ".join(
     f"CASE WHEN count(load) OVER (PARTITION BY region ORDER BY ts ROWS BETWEEN {r - 1} PRECEDING AND CURRENT ROW) = {r} "
-    f"THEN round(avg(load) OVER (PARTITION BY region ORDER BY ts ROWS BETWEEN {r - 1} PRECEDING AND CURRENT ROW), 4) END "
+    f"THEN round(avg(load) OVER (PARTITION BY region ORDER BY ts ROWS BETWEEN {r - 1} PRECEDING AND CURRENT ROW) + 1e-9, 6) END "
     f"AS mean_{r}" for r in ROLLING_WINDOWS) + ", " + ", ".join(
-    f"round(lag(load, {h * 4}) OVER (PARTITION BY region ORDER BY ts), 4) AS lag_{h}h" for h in ROLLING_LAG_HOURS)
+    f"round(lag(load, {h * 4}) OVER (PARTITION BY region ORDER BY ts), 6) AS lag_{h}h" for h in ROLLING_LAG_HOURS)
     + " FROM load", "load"))
 def rolling_features(spark, d):
-    return rounded(fx.rolling_features(src.load(spark, d), ROLLING_WINDOWS, ROLLING_LAG_HOURS).drop("load"), 4)
+    return rounded(fx.rolling_features(src.load(spark, d), ROLLING_WINDOWS, ROLLING_LAG_HOURS).drop("load"))
 
 
 @query("series_index", sql("""SELECT region, ts, row_number() OVER (PARTITION BY region ORDER BY ts) - 1 AS idx

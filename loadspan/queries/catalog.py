@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from loadspan.queries import base  # noqa: F401
+from loadspan.queries import analytics, base  # noqa: F401

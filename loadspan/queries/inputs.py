@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadspan.config import SLOTS_PER_WEEK
+from loadspan.functions.time import steps_after
+from loadspan.operators import forecast
 from loadspan.sources import tables
 
 
@@ -30,7 +32,40 @@ def end(spark: SparkSession, d: str) -> Column:
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round all doubles, so that the order of float sums does not show."""
+    """Round all doubles, so that the order of float sums does not show.
+
+    Means of cents often end exactly on half a unit; the slack sends all of those up, whatever
+    their last bit.
+    """
     return df.select(
-        [F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+        [F.round(F.col(c) + 1e-9, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
     )
+
+
+def latest(spark: SparkSession, d: str) -> DataFrame:
+    """Newest row of every region: a one-step trailing read."""
+    return tables.load_table(events(spark, d), 1)
+
+
+def two_weeks(spark: SparkSession, d: str) -> DataFrame:
+    return tables.load_table(events(spark, d), 2 * SLOTS_PER_WEEK)
+
+
+def path(spark: SparkSession, d: str) -> DataFrame:
+    """Seasonal-naive path of 48 hours after the newest step."""
+    return forecast.seasonal_naive(recent(spark, d), end(spark, d))
+
+
+def anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Seasonal-naive anchors of every origin in the trailing week."""
+    hi = end(spark, d)
+    return forecast.seasonal_anchors(two_weeks(spark, d), steps_after(hi, 1 - SLOTS_PER_WEEK), hi)
+
+
+def latest_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors of the newest origin only, from its path."""
+    return forecast.path_anchor(path(spark, d)).withColumn("origin", end(spark, d))
+
+
+def load_daily(spark: SparkSession, d: str) -> DataFrame:
+    return tables.daily_table(*[tables.read(spark, d, t) for t in ("orders", "customer", "nation", "region")])

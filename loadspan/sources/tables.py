@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadspan.config import STEP_MINUTES
-from loadspan.functions.time import floor_15min
+from loadspan.functions.time import floor_15min, floor_day
 from loadspan.session import shuffle_width
 
 
@@ -122,3 +122,58 @@ def weather_table(events: DataFrame) -> DataFrame:
         observed_weather(events), extent, first_slot(extent), last_slot(extent),
         ["temperature", "humidity", "solar_irradiance"],
     )
+
+
+def observed_daily(orders: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
+    """Order value per day and region of the customer.
+
+    Orders are summed per day and nation before nation and region names are joined.
+    """
+    by_nation = (
+        orders.select("o_custkey", "o_orderdate", "o_totalprice")
+        .join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("c_nationkey", floor_day("o_orderdate").alias("ts"))
+        .agg(F.sum("o_totalprice").alias("load"))
+    )
+    names = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("region")
+    )
+    return by_nation.join(names, "c_nationkey").groupBy("region", "ts").agg(F.round(F.sum("load"), 2).alias("load"))
+
+
+def daily_table(orders: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
+    """Dense daily load per region."""
+    facts = observed_daily(orders, customer, nation, region)
+    extent = extents(facts, "region", "ts")
+    return dense_grid(facts, extent, first_slot(extent), _last_day(extent), ["load"], minutes=24 * 60)
+
+
+def _last_day(extent: DataFrame) -> Column:
+    return extent.agg(F.max("last_ts").alias("hi")).scalar()
+
+
+def flow_edges(
+    lineitem: DataFrame, supplier: DataFrame, orders: DataFrame, customer: DataFrame,
+    nation: DataFrame, region: DataFrame,
+) -> DataFrame:
+    """Flow of line value from the supplier's region to the customer's region.
+
+    Summed per pair of nations first; names are joined to those few rows.
+    """
+    buyers = orders.select("o_orderkey", "o_custkey").join(
+        customer.select("c_custkey", F.col("c_nationkey").alias("_to")), F.col("o_custkey") == F.col("c_custkey")
+    ).select("o_orderkey", "_to")
+    by_nation = (
+        lineitem.select("l_orderkey", "l_suppkey", "l_extendedprice")
+        .join(supplier.select("s_suppkey", F.col("s_nationkey").alias("_from")),
+              F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy("_from", "_to")
+        .agg(F.sum("l_extendedprice").alias("flow"))
+    )
+    names = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    start = names.select(F.col("n_nationkey").alias("_from"), F.col("r_name").alias("src"))
+    stop = names.select(F.col("n_nationkey").alias("_to"), F.col("r_name").alias("dst"))
+    return by_nation.join(start, "_from").join(stop, "_to").groupBy("src", "dst").agg(
+        F.round(F.sum("flow"), 2).alias("flow")
+    )
