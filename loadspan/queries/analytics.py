@@ -15,13 +15,13 @@ from loadspan.queries.sqlbase import sql
 from loadspan.sources import tables
 
 
-@query("region_stats", sql("SELECT region, round(mean + 1e-9, 6) AS mean, round(std, 6) AS std FROM stats", "stats"))
+@query("region_stats", sql("SELECT region, round(mean + 1e-9, 6) AS mean, round(std + 1e-9, 6) AS std FROM stats", "stats"))
 def region_stats(spark, d):
     return rounded(stats.region_stats(src.recent(spark, d)))
 
 
-@query("region_status", sql("""SELECT l.region, l.ts, round(load, 6) AS load, round(mean + 1e-9, 6) AS mean,
-    round(std, 6) AS std, round(abs((load - mean) / std), 6) AS z_score,
+@query("region_status", sql("""SELECT l.region, l.ts, round(load + 1e-9, 6) AS load, round(mean + 1e-9, 6) AS mean,
+    round(std + 1e-9, 6) AS std, round(abs((load - mean) / std), 6) AS z_score,
     round(abs((load - mean) / std), 6) > 2.5 AS is_anomaly
     FROM latest l JOIN stats s ON s.region = l.region""", "latest", "stats"))
 def region_status(spark, d):
@@ -30,8 +30,8 @@ def region_status(spark, d):
     return rounded(status(src.recent(spark, d)))
 
 
-@query("stats_broadcast", sql("""SELECT r.region, r.ts, round(r.load, 6) AS load, round(s.mean + 1e-9, 6) AS region_mean,
-    round(t.mean + 1e-9, 6) AS system_mean, round((r.load - s.mean) / s.std, 6) AS z
+@query("stats_broadcast", sql("""SELECT r.region, r.ts, round(r.load + 1e-9, 6) AS load, round(s.mean + 1e-9, 6) AS region_mean,
+    round(t.mean + 1e-9, 6) AS system_mean, round((r.load - s.mean) / s.std + 1e-9, 6) AS z
     FROM recent r JOIN stats s ON s.region = r.region CROSS JOIN total_stats t""", "recent", "stats", "total_stats"))
 def stats_broadcast(spark, d):
     from loadspan.operators.anomaly import total_stats
@@ -45,7 +45,7 @@ def stats_broadcast(spark, d):
     ))
 
 
-@query("system_total", sql("SELECT ts, round(total, 6) AS total FROM total", "total"))
+@query("system_total", sql("SELECT ts, round(total + 1e-9, 6) AS total FROM total", "total"))
 def system_total(spark, d):
     return rounded(stats.system_total(src.load(spark, d)))
 
@@ -62,7 +62,7 @@ SHARE_STATS = RECENT_SHARES + """, share_raw AS (SELECT region, avg(ratio) AS m,
     greatest(CASE WHEN s > 0 THEN s ELSE share_mean * 0.2 END, 1e-6) AS share_std FROM share_mean)"""
 
 
-@query("load_share", sql("""SELECT region, ts, round(load, 6) AS load, round(total, 6) AS total,
+@query("load_share", sql("""SELECT region, ts, round(load + 1e-9, 6) AS load, round(total + 1e-9, 6) AS total,
     round(share + 1e-9, 6) AS share, round(share * 100 + 1e-9, 6) AS share_percent FROM shares""",
     "load", "total", extra=ALL_SHARES))
 def load_share(spark, d):
@@ -88,14 +88,14 @@ def weather_average(spark, d):
     return rounded(stats.weather_average(scored_rows(src.weather(spark, d), "latest")))
 
 
-@query("residual_quantile", sql("""SELECT region, round(quantile_cont(abs(load - p), 0.95), 6) AS qhat FROM (
+@query("residual_quantile", sql("""SELECT region, round(quantile_cont(abs(load - p), 0.95) + 1e-9, 6) AS qhat FROM (
     SELECT region, load, lag(load, 672) OVER (PARTITION BY region ORDER BY ts) AS p FROM load) q
     WHERE p IS NOT NULL GROUP BY region""", "load"))
 def residual_quantile(spark, d):
     return rounded(fc.residual_quantile(fc.naive_residuals(src.load(spark, d))))
 
 
-@query("daily_peak_trough", sql("""SELECT region, ts, round(peak, 6) AS peak, round(trough, 6) AS trough,
+@query("daily_peak_trough", sql("""SELECT region, ts, round(peak + 1e-9, 6) AS peak, round(trough + 1e-9, 6) AS trough,
     round(load_factor + 1e-9, 6) AS load_factor,
     round((peak - lag(peak) OVER w) / nullif(lag(peak) OVER w, 0) * 100 + 1e-9, 6) AS peak_change,
     round((trough - lag(trough) OVER w) / nullif(lag(trough) OVER w, 0) * 100 + 1e-9, 6) AS trough_change,
@@ -117,8 +117,8 @@ def error_histogram(spark, d):
 
 
 @query("region_and_total", sql("""SELECT region, round(avg(load) + 1e-9, 6) AS mean,
-    round(CASE WHEN stddev_samp(load) > 0 THEN stddev_samp(load) ELSE 1e-6 END, 6) AS std,
-    round(max(load), 6) AS peak, round(sum(load), 4) AS energy FROM (
+    round(CASE WHEN stddev_samp(load) > 0 THEN stddev_samp(load) ELSE 1e-6 END + 1e-9, 6) AS std,
+    round(max(load) + 1e-9, 6) AS peak, round(sum(load), 4) AS energy FROM (
     SELECT region, load FROM load UNION ALL SELECT 'TOTAL', total FROM total) u GROUP BY region""", "load", "total"))
 def region_and_total(spark, d):
     table = rounded(stats.region_and_total(src.load(spark, d)))
@@ -126,7 +126,7 @@ def region_and_total(spark, d):
 
 
 @query("regional_mean_compare", sql("""SELECT region, round(avg(load) + 1e-9, 2) AS mean,
-    CAST(rank() OVER (ORDER BY round(avg(load), 6) DESC) AS INTEGER) AS rank FROM load_daily GROUP BY region""", "load_daily"))
+    CAST(rank() OVER (ORDER BY round(avg(load) + 1e-9, 6) DESC) AS INTEGER) AS rank FROM load_daily GROUP BY region""", "load_daily"))
 def regional_mean_compare(spark, d):
     return rounded(stats.regional_mean_compare(src.load_daily(spark, d)), 2)
 
@@ -136,19 +136,19 @@ def trailing_7d(spark, d):
     return src.recent(spark, d)
 
 
-@query("total_diff", sql("SELECT ts, round(total, 6) AS total, round(total - lag(total) OVER (ORDER BY ts), 6) AS diff FROM total", "total"))
+@query("total_diff", sql("SELECT ts, round(total + 1e-9, 6) AS total, round(total - lag(total) OVER (ORDER BY ts) + 1e-9, 6) AS diff FROM total", "total"))
 def total_diff_query(spark, d):
     return rounded(total_diff(stats.system_total(src.load(spark, d))))
 
 
-@query("rolling_mean_24", sql("""SELECT ts, round(total, 6) AS total,
+@query("rolling_mean_24", sql("""SELECT ts, round(total + 1e-9, 6) AS total,
     CASE WHEN count(total) OVER w = 24 THEN round(avg(total) OVER w + 1e-9, 6) END AS mean_24
     FROM total WINDOW w AS (ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""", "total"))
 def rolling_mean_24(spark, d):
     return rounded(fx.rolling_mean(stats.system_total(src.load(spark, d)), 24, "total", "mean_24", keys=()))
 
 
-@query("latest_row", sql("""SELECT region, max(ts) AS ts, round(arg_max(load, ts), 6) AS load FROM observed
+@query("latest_row", sql("""SELECT region, max(ts) AS ts, round(arg_max(load, ts) + 1e-9, 6) AS load FROM observed
     GROUP BY region""", "observed"))
 def latest_row(spark, d):
     observed = tables.observed_load(src.events(spark, d))
@@ -174,7 +174,7 @@ def stress_points(spark, d):
 
 
 @query("capacity_utilisation", sql("""SELECT d.region, load AS used, round(capacity, 2) AS capacity,
-    round(capacity - load, 2) AS available, round(load / capacity, 6) AS utilisation
+    round(capacity - load, 2) AS available, round(load / capacity + 1e-9, 6) AS utilisation
     FROM load_daily d JOIN (SELECT region, max(load) * 1.25 AS capacity FROM load_daily GROUP BY region) c
     ON c.region = d.region WHERE ts = (SELECT max(ts) FROM load_daily)""", "load_daily"))
 def capacity_utilisation(spark, d):
@@ -192,9 +192,9 @@ EDGES = """edges AS (SELECT rs.r_name AS src, rc.r_name AS dst, round(sum(l_exte
 BAND = "CASE WHEN {0}.load > 500 THEN 'red' WHEN {0}.load > 300 THEN 'orange' ELSE 'green' END"
 
 
-@query("topology_join", sql(f"""SELECT src, dst, flow, round(a.load, 6) AS src_load, {BAND.format('a')} AS src_band,
-    round(b.load, 6) AS dst_load, {BAND.format('b')} AS dst_band,
-    CASE WHEN round(flow / sum(flow) OVER (PARTITION BY src), 6) >= 0.2 THEN 'congested' ELSE 'normal' END AS status
+@query("topology_join", sql(f"""SELECT src, dst, flow, round(a.load + 1e-9, 6) AS src_load, {BAND.format('a')} AS src_band,
+    round(b.load + 1e-9, 6) AS dst_load, {BAND.format('b')} AS dst_band,
+    CASE WHEN round(flow / sum(flow) OVER (PARTITION BY src) + 1e-9, 6) >= 0.2 THEN 'congested' ELSE 'normal' END AS status
     FROM edges JOIN nodes a ON a.region = src JOIN nodes b ON b.region = dst""", "load_daily", extra=EDGES))
 def topology_join(spark, d):
     parts = [tables.read(spark, d, t) for t in ("lineitem", "supplier", "orders", "customer", "nation", "region")]

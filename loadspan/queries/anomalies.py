@@ -205,7 +205,7 @@ def severity(spark, d):
     return scored.groupBy("region", level.alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("worst_step", sql(f"""SELECT region, horizon, step, round(point, 6) AS point, z FROM (
+@query("worst_step", sql(f"""SELECT region, horizon, step, round(point + 1e-9, 6) AS point, z FROM (
     SELECT *, row_number() OVER (PARTITION BY region, horizon ORDER BY z DESC, step) AS rn FROM (
     SELECT p.region, p.step, p.point, h.horizon, {z('p.point')} AS z FROM path p JOIN horizons h ON p.step <= h.steps
     JOIN stats s ON s.region = p.region) w) q WHERE rn = 1""", *NEEDS, extra=EXTRA))
@@ -216,8 +216,8 @@ def worst_step(spark, d):
     return rounded(an.worst_step(scored, ["region", "horizon"]))
 
 
-@query("snapshot_kpis", sql(f"""SELECT round(sum(load), 6) AS total_load, round((SELECT sum(point) FROM path WHERE step = 4), 6) AS forecast_1h,
-    round((SELECT sum(point) FROM path WHERE step = 4) - sum(load), 6) AS change_1h, count(*) AS regions,
+@query("snapshot_kpis", sql(f"""SELECT round(sum(load) + 1e-9, 6) AS total_load, round((SELECT sum(point) FROM path WHERE step = 4) + 1e-9, 6) AS forecast_1h,
+    round((SELECT sum(point) FROM path WHERE step = 4) - sum(load) + 1e-9, 6) AS change_1h, count(*) AS regions,
     (SELECT count(*) FROM ({ALL_SQL}) a) AS anomalies FROM latest""", *NEEDS, "latest", extra=EXTRA))
 def snapshot_kpis(spark, d):
     return rounded(stats.snapshot_kpis(src.latest(spark, d), src.latest_anchors(spark, d), every_finding(spark, d)))

@@ -57,36 +57,36 @@ def seasonal_naive_folds(spark, d):
     return bt.scored_folds(src.load(spark, d)).filter("part = 'test'").select("region", "week", "ts", "load", "predicted")
 
 
-@query("rolling_backtest", sql("""SELECT region, CAST(week AS INTEGER) AS week, round(mape, 6) AS mape, round(mase, 6) AS mase,
+@query("rolling_backtest", sql("""SELECT region, CAST(week AS INTEGER) AS week, round(mape + 1e-9, 6) AS mape, round(mase + 1e-9, 6) AS mase,
     train_size, test_size FROM weekly""", "load", extra=SERIES))
 def rolling_backtest(spark, d):
     return rounded(weekly(spark, d))
 
 
-@query("backtest_rollup", sql("""SELECT region, round(mape, 6) AS mape, round(mase, 6) AS mase, weeks_tested FROM by_region""",
+@query("backtest_rollup", sql("""SELECT region, round(mape + 1e-9, 6) AS mape, round(mase + 1e-9, 6) AS mase, weeks_tested FROM by_region""",
        "load", extra=SERIES))
 def backtest_rollup(spark, d):
     return rounded(bt.backtest_regions(weekly(spark, d)))
 
 
-@query("backtest_overall", sql("""SELECT round(avg(mape), 6) AS overall_mape, round(avg(mase), 6) AS overall_mase,
+@query("backtest_overall", sql("""SELECT round(avg(mape) + 1e-9, 6) AS overall_mape, round(avg(mase) + 1e-9, 6) AS overall_mase,
     count(*) AS regions_tested, 4 AS total_weeks FROM by_region""", "load", extra=SERIES))
 def backtest_overall(spark, d):
     return rounded(bt.backtest_overall(bt.backtest_regions(weekly(spark, d))))
 
 
-@query("mape", sql("""SELECT region, round(avg(abs((load - seasonal) / load)) FILTER (WHERE load <> 0) * 100, 6) AS mape
+@query("mape", sql("""SELECT region, round(avg(abs((load - seasonal) / load)) FILTER (WHERE load <> 0) * 100 + 1e-9, 6) AS mape
     FROM series WHERE seasonal IS NOT NULL GROUP BY region""", "load", extra=SERIES))
 def mape(spark, d):
     return rounded(naive_residuals(src.load(spark, d)).groupBy("region").agg(stats.mape("load", "predicted").alias("mape")))
 
 
-@query("mase", sql("""SELECT region, round(mase, 6) AS mase FROM weekly WHERE week = 4""", "load", extra=SERIES))
+@query("mase", sql("""SELECT region, round(mase + 1e-9, 6) AS mase FROM weekly WHERE week = 4""", "load", extra=SERIES))
 def mase(spark, d):
     return rounded(weekly(spark, d).filter("week = 4").select("region", "mase"))
 
 
-@query("interval_coverage", sql("""SELECT s.region, round(100.0 * avg(CAST(load BETWEEN seasonal - qhat AND seasonal + qhat AS DOUBLE)), 6) AS coverage,
+@query("interval_coverage", sql("""SELECT s.region, round(100.0 * avg(CAST(load BETWEEN seasonal - qhat AND seasonal + qhat AS DOUBLE)) + 1e-9, 6) AS coverage,
     count(*) AS samples FROM series s JOIN (SELECT region, quantile_cont(abs(load - seasonal), 0.9) AS qhat FROM series
     WHERE seasonal IS NOT NULL AND idx < n - 672 GROUP BY region) q ON q.region = s.region
     WHERE seasonal IS NOT NULL AND idx >= n - 672 GROUP BY s.region""", "load", extra=SERIES))
@@ -115,7 +115,7 @@ def min_sample_guard(spark, d):
     return guard(windows, 200).groupBy("region").agg(F.count(F.lit(1)).alias("windows"))
 
 
-@query("conformal_calibrate", sql("""SELECT region, round(quantile_cont(abs(load - seasonal), 0.95), 6) AS qhat, 0.05 AS alpha FROM (
+@query("conformal_calibrate", sql("""SELECT region, round(quantile_cont(abs(load - seasonal), 0.95) + 1e-9, 6) AS qhat, 0.05 AS alpha FROM (
     SELECT *, row_number() OVER (PARTITION BY region ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY region) AS m
     FROM series WHERE seasonal IS NOT NULL) q WHERE k >= floor(m * 0.9) GROUP BY region""", "load", extra=SERIES))
 def conformal_calibrate(spark, d):
@@ -139,14 +139,14 @@ def horizon_errors(spark, d):
     return bt.horizon_backtest(src.load(spark, d), every=1, limit=None)
 
 
-@query("horizon_backtest", sql("""SELECT region, horizon, steps, round(mape, 6) AS mape, round(rmse, 6) AS rmse,
-    round(mase, 6) AS mase, round(coverage + 1e-9, 6) AS coverage, samples FROM horizon_errors""",
+@query("horizon_backtest", sql("""SELECT region, horizon, steps, round(mape + 1e-9, 6) AS mape, round(rmse + 1e-9, 6) AS rmse,
+    round(mase + 1e-9, 6) AS mase, round(coverage + 1e-9, 6) AS coverage, samples FROM horizon_errors""",
     "load", "horizons", extra=HORIZON_ERRORS))
 def horizon_backtest(spark, d):
     return rounded(horizon_errors(spark, d))
 
 
-@query("error_by_horizon", sql("""SELECT horizon, round(mape, 6) AS mape, round(rmse, 6) AS rmse, round(mase, 6) AS mase,
+@query("error_by_horizon", sql("""SELECT horizon, round(mape + 1e-9, 6) AS mape, round(rmse + 1e-9, 6) AS rmse, round(mase + 1e-9, 6) AS mase,
     round(coverage + 1e-9, 6) AS coverage, samples FROM (
     SELECT horizon, avg(mape) AS mape, avg(rmse) AS rmse, avg(mase) AS mase, avg(coverage) AS coverage,
         CAST(sum(samples) AS BIGINT) AS samples FROM horizon_errors GROUP BY horizon

@@ -19,7 +19,7 @@ from loadspan.sources import tables
 
 REGIONS = ["click", "error", "purchase", "signup", "view"]
 FEATURE_SQL = ", ".join(
-    f"round({c}, 6) AS {c}" if c in LAG_COLUMNS + ["temperature", "humidity", "solar_irradiance"] else c
+    f"round({c} + 1e-9, 6) AS {c}" if c in LAG_COLUMNS + ["temperature", "humidity", "solar_irradiance"] else c
     for c in FEATURE_COLUMNS
 )
 
@@ -81,7 +81,7 @@ def narrow_types(spark, d):
     )
 
 
-@query("drop_warmup", sql(f"SELECT region, ts, round(load, 6) AS load, {FEATURE_SQL} FROM features "
+@query("drop_warmup", sql(f"SELECT region, ts, round(load + 1e-9, 6) AS load, {FEATURE_SQL} FROM features "
        "WHERE lag_168h IS NOT NULL", "features"))
 def drop_warmup(spark, d):
     return rounded(fx.quarter_hour_features(src.load(spark, d), src.weather(spark, d)))
@@ -95,7 +95,7 @@ def chrono_split(spark, d):
     return reshape.chrono_split(tables.observed_load(src.events(spark, d))).drop("load")
 
 
-@query("view_filter", sql("""SELECT ts, 'TOTAL' AS view, round(sum(load), 6) AS load FROM load GROUP BY ts
+@query("view_filter", sql("""SELECT ts, 'TOTAL' AS view, round(sum(load) + 1e-9, 6) AS load FROM load GROUP BY ts
     UNION ALL SELECT ts, 'click', load FROM load WHERE region = 'click'""", "load"))
 def view_filter(spark, d):
     load = src.load(spark, d)
@@ -105,7 +105,7 @@ def view_filter(spark, d):
 
 
 @query("coerce_numeric", """SELECT event_type AS region,
-    round(coalesce(avg(TRY_CAST(reading AS DOUBLE)), 20.0), 6) AS temperature FROM (
+    round(coalesce(avg(TRY_CAST(reading AS DOUBLE)), 20.0) + 1e-9, 6) AS temperature FROM (
     SELECT event_type, CASE WHEN event_type = 'error' THEN json_extract_string(props, '$.k') || ' C'
         WHEN value > 100 THEN 'n/a' ELSE json_extract_string(props, '$.k') END AS reading FROM events) q
     GROUP BY event_type""")
@@ -213,7 +213,7 @@ def lag_features(spark, d):
     return fx.lag_features(src.load(spark, d)).drop("load")
 
 
-HOURLY = """hourly AS (SELECT l.region, time_bucket(INTERVAL 1 HOUR, l.ts) AS ts, round(avg(load), 6) AS load,
+HOURLY = """hourly AS (SELECT l.region, time_bucket(INTERVAL 1 HOUR, l.ts) AS ts, round(avg(load) + 1e-9, 6) AS load,
     round(avg(temperature), 6) AS temperature, round(avg(humidity), 6) AS humidity,
     round(avg(solar_irradiance), 6) AS solar_irradiance
     FROM load l JOIN weather w ON w.region = l.region AND w.ts = l.ts GROUP BY 1, 2)"""
@@ -249,7 +249,7 @@ def _digest(values):
     return F.md5(F.array_join(F.transform(values, lambda x: F.round(x * 100).cast("bigint").cast("string")), ","))
 
 
-@query("sliding_window_array", sql("""SELECT region, ts, len(w) AS n_rows, round(w[1], 6) AS oldest, round(w[96], 6) AS newest,
+@query("sliding_window_array", sql("""SELECT region, ts, len(w) AS n_rows, round(w[1] + 1e-9, 6) AS oldest, round(w[96] + 1e-9, 6) AS newest,
     md5(array_to_string([CAST(CAST(round(x * 100) AS BIGINT) AS VARCHAR) FOR x IN w], ',')) AS digest FROM (
     SELECT region, ts, list(load) OVER (PARTITION BY region ORDER BY ts ROWS BETWEEN 96 PRECEDING AND 1 PRECEDING) AS w
     FROM load) q WHERE len(w) = 96""", "load"))
@@ -290,7 +290,7 @@ def flatten_window(spark, d):
     f"CASE WHEN count(load) OVER (PARTITION BY region ORDER BY ts ROWS BETWEEN {r - 1} PRECEDING AND CURRENT ROW) = {r} "
     f"THEN round(avg(load) OVER (PARTITION BY region ORDER BY ts ROWS BETWEEN {r - 1} PRECEDING AND CURRENT ROW) + 1e-9, 6) END "
     f"AS mean_{r}" for r in ROLLING_WINDOWS) + ", " + ", ".join(
-    f"round(lag(load, {h * 4}) OVER (PARTITION BY region ORDER BY ts), 6) AS lag_{h}h" for h in ROLLING_LAG_HOURS)
+    f"round(lag(load, {h * 4}) OVER (PARTITION BY region ORDER BY ts) + 1e-9, 6) AS lag_{h}h" for h in ROLLING_LAG_HOURS)
     + " FROM load", "load"))
 def rolling_features(spark, d):
     return rounded(fx.rolling_features(src.load(spark, d), ROLLING_WINDOWS, ROLLING_LAG_HOURS).drop("load"))

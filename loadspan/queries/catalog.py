@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from loadspan.queries import analytics, anomalies, backtests, base, forecasts  # noqa: F401
+from loadspan.queries import analytics, anomalies, backtests, base, forecasts, profiles  # noqa: F401

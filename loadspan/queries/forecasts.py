@@ -27,7 +27,7 @@ def seasonal_naive(spark, d):
     return src.path(spark, d)
 
 
-@query("prediction_interval", sql("""SELECT region, step, ts, point, round(point - qhat, 6) AS lower, round(point + qhat, 6) AS upper,
+@query("prediction_interval", sql("""SELECT region, step, ts, point, round(point - qhat + 1e-9, 6) AS lower, round(point + qhat + 1e-9, 6) AS upper,
     round(point - 0.1 * abs(point) + 1e-9, 6) AS band_lower, round(point + 0.1 * abs(point) + 1e-9, 6) AS band_upper
     FROM path JOIN qhat USING (region)""", *NEEDS, extra=EXTRA + QHAT))
 def prediction_interval(spark, d):
@@ -54,7 +54,7 @@ def path_anchor(spark, d):
     return fc.path_anchor(src.path(spark, d)).select("region", "horizon", "ts", "point")
 
 
-@query("path_sum", sql("SELECT step, ts, round(point, 6) AS point FROM total_path", *NEEDS, extra=EXTRA))
+@query("path_sum", sql("SELECT step, ts, round(point + 1e-9, 6) AS point FROM total_path", *NEEDS, extra=EXTRA))
 def path_sum(spark, d):
     return rounded(fc.path_sum(src.path(spark, d)))
 
