@@ -1,3 +1,5 @@
 """Importing this module registers every query."""
 
-from loadspan.queries import analytics, anomalies, backtests, base, forecasts, profiles  # noqa: F401
+from loadspan.queries import (  # noqa: F401
+    analytics, anomalies, backtests, base, documents, forecasts, learning, profiles, streams,
+)
