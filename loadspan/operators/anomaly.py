@@ -45,17 +45,18 @@ def severity(z: Column, thresholds: Thresholds = DEFAULTS) -> Column:
     return F.when(z > thresholds.high, "high").otherwise("medium")
 
 
-def scored_rows(window: DataFrame, scope: str) -> DataFrame:
-    """The rows a rule scores: all of the window, or those of its newest timestamp."""
+def scored_rows(window: DataFrame, scope: str, end: Column | None = None) -> DataFrame:
+    """The rows a rule scores: all of the window, or those of its newest timestamp ``end``."""
     if scope == "window":
         return window
     if scope != "latest":
         raise ValueError(f"unknown scope {scope}")
-    newest = window.agg(F.max("ts").alias("v")).scalar()
-    return window.filter(F.col("ts") == newest)
+    if end is None:
+        end = window.agg(F.max("ts").alias("v")).scalar()
+    return window.filter(F.col("ts") == end)
 
 
-def window_stats(window: DataFrame, scope: str, exclude_current: bool) -> DataFrame:
+def window_stats(window: DataFrame, exclude_current: bool) -> DataFrame:
     """Statistics per region, with or without the newest row."""
     if exclude_current:
         newest = window.agg(F.max("ts").alias("v")).scalar()
@@ -66,7 +67,7 @@ def window_stats(window: DataFrame, scope: str, exclude_current: bool) -> DataFr
 def region_status(window: DataFrame, thresholds: Thresholds = DEFAULTS, scope: str = "latest",
                   exclude_current: bool = False) -> DataFrame:
     """Each scored row with its statistics and score: one row per region for the latest scope."""
-    stats = window_stats(window, scope, exclude_current)
+    stats = window_stats(window, exclude_current)
     scored = scored_rows(window, scope).join(stats, "region")
     z = zscore(F.col("load"), F.col("mean"), F.col("std"))
     return scored.withColumn("z_score", z).withColumn("is_anomaly", F.col("z_score") > thresholds.region)

@@ -89,13 +89,12 @@ def chrono_split(
 ) -> DataFrame:
     """Ordered split per series into ``train``, ``validation`` and ``test``."""
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     part = (
         F.when(F.col("idx") < F.floor(F.col("n") * first), "train")
         .when(F.col("idx") < F.floor(F.col("n") * second), "validation")
         .otherwise("test")
     )
-    return with_position(df, keys, order).join(sizes, keys).withColumn("part", part)
+    return with_position(df, keys, order, size="n").withColumn("part", part)
 
 
 def view_filter(load: DataFrame, region: str | None = None) -> DataFrame:

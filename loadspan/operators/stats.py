@@ -49,13 +49,10 @@ def share_stats(shares: DataFrame, stats: str = "observed") -> DataFrame:
     A missing mean falls back to 1/n, a missing or non-positive deviation to a fifth of the mean.
     ``stats="uniform"`` ignores the history: mean 1/n, deviation 0.025.
     """
-    n = shares.agg(F.countDistinct("region").alias("n")).scalar()
-    uniform = F.lit(1.0) / n
-    if stats == "uniform":
-        return shares.select("region").distinct().select(
-            "region", uniform.alias("share_mean"), F.lit(0.025).alias("share_std")
-        )
     raw = shares.groupBy("region").agg(F.avg("ratio").alias("m"), F.stddev_samp("ratio").alias("s"))
+    uniform = F.lit(1.0) / raw.agg(F.count(F.lit(1)).alias("n")).scalar()
+    if stats == "uniform":
+        return raw.select("region", uniform.alias("share_mean"), F.lit(0.025).alias("share_std"))
     mean = F.when((F.col("m") > 0) & F.col("s").isNotNull(), F.col("m")).otherwise(uniform)
     return raw.select("region", mean.alias("share_mean"), "s").select(
         "region",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadspan.functions.time import as_col
@@ -46,9 +46,11 @@ def topology_join(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def connection_status(joined: DataFrame, share: float = 0.2) -> DataFrame:
-    """``congested`` where one edge carries at least ``share`` of all that leaves its source."""
-    out = joined.groupBy("src").agg(F.sum("flow").alias("_out"))
-    carried = F.try_divide(F.col("flow"), F.col("_out"))
-    return joined.join(out, "src").withColumn(
-        "status", F.when(F.round(carried, 6) >= share, "congested").otherwise("normal")
-    ).drop("_out")
+    """``congested`` where one edge carries at least ``share`` of all that leaves its source.
+
+    A source has at most one edge per other node.
+    """
+    out = F.sum("flow").over(Window.partitionBy("src"))
+    return joined.withColumn(
+        "status", F.when(F.round(F.try_divide(F.col("flow"), out), 6) >= share, "congested").otherwise("normal")
+    )

@@ -67,15 +67,21 @@ def with_window_columns(
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], order: str, name: str = "idx", *, days: int = BLOCK_DAYS
+    df: DataFrame, keys: Sequence[str], order: str, name: str = "idx", *,
+    size: str | None = None, days: int = BLOCK_DAYS,
 ) -> DataFrame:
-    """0-based position of each row in its series: position in the block + rows of earlier blocks."""
+    """0-based position of each row in its series: position in the block + rows of earlier blocks.
+
+    ``size`` also adds the length of the series, from the same summary of blocks.
+    """
     blocked = df.withColumn("_block", block_id(order, days))
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    series = Window.partitionBy(*keys)
+    earlier = series.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    columns = {"_before": F.coalesce(F.sum("_rows").over(earlier), F.lit(0))}
+    if size:
+        columns[size] = F.sum("_rows").over(series)
     offsets = (
-        blocked.groupBy(*keys, "_block")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+        blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_rows")).withColumns(columns).drop("_rows")
     )
     inside = Window.partitionBy(*keys, "_block").orderBy(order)
     return (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loadspan.operators import features as fx
 from loadspan.operators import reshape, stats, topology
 from loadspan.operators import forecast as fc
-from loadspan.operators.anomaly import scored_rows, total_diff
+from loadspan.operators.anomaly import total_diff
 from loadspan.queries import inputs as src
 from loadspan.queries.inputs import rounded
 from loadspan.queries.registry import query
@@ -85,7 +85,7 @@ def share_stats(spark, d):
 @query("weather_average", sql("""SELECT round(avg(temperature), 6) AS temperature, round(avg(humidity), 6) AS humidity,
     round(avg(solar_irradiance), 6) AS solar_irradiance FROM weather, bounds WHERE ts = hi""", "weather", "bounds"))
 def weather_average(spark, d):
-    return rounded(stats.weather_average(scored_rows(src.weather(spark, d), "latest")))
+    return rounded(stats.weather_average(src.latest_weather(spark, d)))
 
 
 @query("residual_quantile", sql("""SELECT region, round(quantile_cont(abs(load - p), 0.95) + 1e-9, 6) AS qhat FROM (
@@ -179,7 +179,7 @@ def stress_points(spark, d):
     ON c.region = d.region WHERE ts = (SELECT max(ts) FROM load_daily)""", "load_daily"))
 def capacity_utilisation(spark, d):
     daily = src.load_daily(spark, d)
-    table = topology.capacity_utilisation(scored_rows(daily, "latest"), topology.capacity_dim(daily))
+    table = topology.capacity_utilisation(src.load_daily(spark, d, latest_only=True), topology.capacity_dim(daily))
     return rounded(table).withColumns({"capacity": F.round("capacity", 2), "available": F.round("available", 2)})
 
 
@@ -198,8 +198,8 @@ BAND = "CASE WHEN {0}.load > 500 THEN 'red' WHEN {0}.load > 300 THEN 'orange' EL
     FROM edges JOIN nodes a ON a.region = src JOIN nodes b ON b.region = dst""", "load_daily", extra=EDGES))
 def topology_join(spark, d):
     parts = [tables.read(spark, d, t) for t in ("lineitem", "supplier", "orders", "customer", "nation", "region")]
-    nodes = scored_rows(src.load_daily(spark, d), "latest").filter("load > 0").select(
+    nodes = src.load_daily(spark, d, latest_only=True).filter("load > 0").select(
         "region", (F.col("load") / 1000).alias("load")
     )
-    edges = topology.known_edges(tables.flow_edges(*parts), nodes)
-    return rounded(topology.connection_status(topology.topology_join(edges, nodes)))
+    joined = topology.topology_join(tables.flow_edges(*parts), nodes)
+    return rounded(topology.connection_status(joined))

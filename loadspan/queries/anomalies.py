@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loadspan.config import SLOTS_PER_WEEK
 from loadspan.operators import anomaly as an
 from loadspan.operators import forecast as fc
 from loadspan.operators import stats
@@ -13,6 +14,7 @@ from loadspan.queries.analytics import SHARE_STATS
 from loadspan.queries.inputs import rounded
 from loadspan.queries.registry import query
 from loadspan.queries.sqlbase import sql
+from loadspan.sources.stage import staged
 
 SQL_TYPES = {"string": "VARCHAR", "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP"}
 
@@ -163,9 +165,12 @@ def anomaly_region_path(spark, d):
 
 
 def every_finding(spark, d):
-    return an.all_rules(
-        src.recent(spark, d), src.anchors(spark, d), src.path(spark, d), src.end(spark, d), THRESHOLDS, "window"
-    )
+    """All rules over one table of two weeks that they share."""
+    axis = src.axis(spark, d)
+    fortnight = staged(src.two_weeks(spark, d), "fortnight")
+    week = fortnight.filter(F.col("ts") >= axis.back(SLOTS_PER_WEEK))
+    anchors = fc.seasonal_anchors(fortnight, axis.back(SLOTS_PER_WEEK), axis.hi)
+    return an.all_rules(week, anchors, fc.seasonal_naive(week, axis.hi), axis.hi, THRESHOLDS, "window")
 
 
 ALL_SQL = " UNION ALL ".join(RULE_SQL[name] for name in an.RULES)

@@ -38,7 +38,7 @@ def dense_grid(spark, d):
 @query("recent_history", sql(
     "SELECT region, ts, load FROM load, bounds WHERE ts BETWEEN hi - INTERVAL 240 HOUR AND hi", "load", "bounds"))
 def recent_history(spark, d):
-    return tables.load_table(src.events(spark, d), trailing_rows=240 * 4 + 1)
+    return tables.load_table(src.events(spark, d), src.axis(spark, d), 240 * 4 + 1)
 
 
 @query("region_canonical", sql(

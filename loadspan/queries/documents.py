@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loadspan.config import SLOTS_PER_WEEK
 from loadspan.functions.time import floor_day
 from loadspan.operators import anomaly as an
 from loadspan.operators import backtest as bt
@@ -81,16 +82,15 @@ def json_shape(spark, d):
 
 
 def snapshot_documents(spark, d):
-    window = staged(src.two_weeks(spark, d), "recent")
-    end = window.agg(F.max("ts").alias("v")).scalar()
-    week = window.filter(F.col("ts") > end - F.expr("INTERVAL 7 DAYS"))
-    qhat = fc.residual_quantile(fc.naive_residuals(window))
+    end = src.end(spark, d)
+    fortnight = staged(src.two_weeks(spark, d), "fortnight")
+    week = fortnight.filter(F.col("ts") >= src.axis(spark, d).back(SLOTS_PER_WEEK))
+    qhat = fc.residual_quantile(fc.naive_residuals(fortnight))
     path = staged(fc.prediction_interval(fc.seasonal_naive(week, end), qhat), "path")
-    found = an.all_rules(
-        week, fc.path_anchor(path).withColumn("origin", end), path, end, THRESHOLDS, "latest"
-    )
-    means = stats.weather_average(an.scored_rows(src.weather(spark, d), "latest"))
-    return snapshot.build_snapshot(an.scored_rows(week, "latest"), path, found, means, timestamp=end)
+    anchors = fc.path_anchor(path).withColumn("origin", end)
+    found = an.all_rules(week, anchors, path, end, THRESHOLDS, "latest")
+    means = stats.weather_average(src.latest_weather(spark, d))
+    return snapshot.build_snapshot(an.scored_rows(week, "latest", end), path, found, means, timestamp=end)
 
 
 def written_snapshot(spark, d):

@@ -11,24 +11,38 @@ from loadspan.operators import forecast
 from loadspan.sources import tables
 
 
+# Time axes read so far by the running query; cleared before each one.
+_axes: dict[str, tables.Axis] = {}
+
+
+def forget() -> None:
+    _axes.clear()
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
     return tables.read(spark, d, "events")
 
 
+def axis(spark: SparkSession, d: str) -> tables.Axis:
+    if d not in _axes:
+        _axes[d] = tables.read_axis(events(spark, d))
+    return _axes[d]
+
+
 def load(spark: SparkSession, d: str) -> DataFrame:
-    return tables.load_table(events(spark, d))
+    return tables.load_table(events(spark, d), axis(spark, d))
 
 
 def recent(spark: SparkSession, d: str) -> DataFrame:
-    return tables.load_table(events(spark, d), SLOTS_PER_WEEK)
+    return tables.load_table(events(spark, d), axis(spark, d), SLOTS_PER_WEEK)
 
 
 def weather(spark: SparkSession, d: str) -> DataFrame:
-    return tables.weather_table(events(spark, d))
+    return tables.weather_table(events(spark, d), axis(spark, d))
 
 
 def end(spark: SparkSession, d: str) -> Column:
-    return tables.last_slot(tables.extents(events(spark, d), "event_type", "ts"))
+    return axis(spark, d).hi
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -44,11 +58,11 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 def latest(spark: SparkSession, d: str) -> DataFrame:
     """Newest row of every region: a one-step trailing read."""
-    return tables.load_table(events(spark, d), 1)
+    return tables.load_table(events(spark, d), axis(spark, d), 1)
 
 
 def two_weeks(spark: SparkSession, d: str) -> DataFrame:
-    return tables.load_table(events(spark, d), 2 * SLOTS_PER_WEEK)
+    return tables.load_table(events(spark, d), axis(spark, d), 2 * SLOTS_PER_WEEK)
 
 
 def path(spark: SparkSession, d: str) -> DataFrame:
@@ -67,5 +81,11 @@ def latest_anchors(spark: SparkSession, d: str) -> DataFrame:
     return forecast.path_anchor(path(spark, d)).withColumn("origin", end(spark, d))
 
 
-def load_daily(spark: SparkSession, d: str) -> DataFrame:
-    return tables.daily_table(*[tables.read(spark, d, t) for t in ("orders", "customer", "nation", "region")])
+def load_daily(spark: SparkSession, d: str, latest_only: bool = False) -> DataFrame:
+    orders, customer, nation, region = (tables.read(spark, d, t) for t in ("orders", "customer", "nation", "region"))
+    days = tables.read_axis(orders, "o_orderdate", minutes=24 * 60)
+    return tables.daily_table(orders, customer, nation, region, days, latest_only)
+
+
+def latest_weather(spark: SparkSession, d: str) -> DataFrame:
+    return tables.weather_table(events(spark, d), axis(spark, d), 1)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loadspan.queries import inputs
 from loadspan.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name} registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            inputs.forget()
             return fn(configure(spark), sf_dir)
 
         run.__doc__ = fn.__doc__

@@ -6,6 +6,9 @@ are dense: every region has every 15-minute step between the first and the last
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,24 +21,45 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def extents(facts: DataFrame, region: str, ts: str) -> DataFrame:
-    """First and last timestamp per region: one partial aggregate, one row per region."""
-    return facts.groupBy(F.col(region).alias("region")).agg(
-        F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")
-    )
+@dataclass(frozen=True)
+class Axis:
+    """First and last UTC day of a table, as constants.
+
+    Constants reach the scans as pushed filters and keep one subquery per use out of the plans.
+    """
+
+    first: date
+    last: date
+    minutes: int = STEP_MINUTES
+
+    @property
+    def lo(self) -> Column:
+        return ntz(self.first)
+
+    @property
+    def hi(self) -> Column:
+        """Last step of the last day."""
+        return ntz(self.last) + F.expr(f"INTERVAL {24 * 60 - self.minutes} MINUTES")
+
+    def back(self, rows: int) -> Column:
+        """First step of the last ``rows`` steps."""
+        return self.hi - F.expr(f"INTERVAL {(rows - 1) * self.minutes} MINUTES")
 
 
-def last_slot(extent: DataFrame) -> Column:
-    """Last 15-minute step of the last UTC day, as a scalar subquery."""
-    day = F.col("hi").cast("date").cast("timestamp_ntz")
-    last_step = F.expr(f"INTERVAL {24 * 60 - STEP_MINUTES} MINUTES")
-    return extent.agg(F.max("last_ts").alias("hi")).select((day + last_step).alias("hi")).scalar()
+def ntz(day: date) -> Column:
+    return F.lit(day.isoformat()).cast("timestamp_ntz")
 
 
-def first_slot(extent: DataFrame) -> Column:
-    """Midnight of the first UTC day, as a scalar subquery."""
-    day = F.col("lo").cast("date").cast("timestamp_ntz")
-    return extent.agg(F.min("first_ts").alias("lo")).select(day.alias("lo")).scalar()
+def read_axis(facts: DataFrame, ts: str = "ts", minutes: int = STEP_MINUTES) -> Axis:
+    """Read the time axis: one row reaches the driver."""
+    row = facts.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
+    if row.lo is None:
+        raise ValueError("the table has no timestamps")
+    return Axis(row.lo.date(), row.hi.date(), minutes)
+
+
+def region_keys(facts: DataFrame, region: str) -> DataFrame:
+    return facts.select(F.col(region).alias("region")).filter(F.col("region").isNotNull()).distinct()
 
 
 def spine(regions: DataFrame, lo: Column, hi: Column, minutes: int = STEP_MINUTES) -> DataFrame:
@@ -95,32 +119,28 @@ def observed_weather(events: DataFrame) -> DataFrame:
     )
 
 
-def _recent(events: DataFrame, hi: Column, rows: int | None) -> DataFrame:
-    if rows is None:
-        return events
-    return events.filter(F.col("ts") >= hi - F.expr(f"INTERVAL {(rows - 1) * STEP_MINUTES} MINUTES"))
-
-
-def load_table(events: DataFrame, trailing_rows: int | None = None) -> DataFrame:
+def load_table(events: DataFrame, axis: Axis, trailing_rows: int | None = None) -> DataFrame:
     """Dense load of all regions, or of the last ``trailing_rows`` steps.
 
-    The bound of a trailing read goes to the scan of ``events``, so old files are not read for it.
+    A trailing read filters ``events`` by time in the scan, so old files are not read for it.
     """
-    extent = extents(events, "event_type", "ts")
-    hi = last_slot(extent)
-    if trailing_rows is None:
-        lo = first_slot(extent)
-    else:
-        lo = hi - F.expr(f"INTERVAL {(trailing_rows - 1) * STEP_MINUTES} MINUTES")
-    facts = observed_load(_recent(events, hi, trailing_rows))
-    return dense_grid(facts, extent, lo, hi, ["load"])
-
-
-def weather_table(events: DataFrame) -> DataFrame:
-    extent = extents(events, "event_type", "ts")
+    regions = region_keys(events, "event_type")
+    lo = axis.lo
+    if trailing_rows is not None:
+        lo = axis.back(trailing_rows)
+        events = events.filter(F.col("ts") >= lo)
+    return dense_grid(observed_load(events), regions, lo, axis.hi, ["load"])
+
+
+def weather_table(events: DataFrame, axis: Axis, trailing_rows: int | None = None) -> DataFrame:
+    """Dense weather of all regions, or of the last ``trailing_rows`` steps."""
+    regions = region_keys(events, "event_type")
+    lo = axis.lo
+    if trailing_rows is not None:
+        lo = axis.back(trailing_rows)
+        events = events.filter(F.col("ts") >= lo)
     return dense_grid(
-        observed_weather(events), extent, first_slot(extent), last_slot(extent),
-        ["temperature", "humidity", "solar_irradiance"],
+        observed_weather(events), regions, lo, axis.hi, ["temperature", "humidity", "solar_irradiance"]
     )
 
 
@@ -141,15 +161,19 @@ def observed_daily(orders: DataFrame, customer: DataFrame, nation: DataFrame, re
     return by_nation.join(names, "c_nationkey").groupBy("region", "ts").agg(F.round(F.sum("load"), 2).alias("load"))
 
 
-def daily_table(orders: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
-    """Dense daily load per region."""
-    facts = observed_daily(orders, customer, nation, region)
-    extent = extents(facts, "region", "ts")
-    return dense_grid(facts, extent, first_slot(extent), _last_day(extent), ["load"], minutes=24 * 60)
-
+def daily_table(
+    orders: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame, axis: Axis,
+    latest_only: bool = False,
+) -> DataFrame:
+    """Dense daily load per region, or that of the last day, which filters the scan of ``orders``.
 
-def _last_day(extent: DataFrame) -> Column:
-    return extent.agg(F.max("last_ts").alias("hi")).scalar()
+    Regions are those of the nations table, as far as a customer lives there.
+    """
+    lo = axis.hi if latest_only else axis.lo
+    recent = orders.filter(F.col("o_orderdate") >= lo) if latest_only else orders
+    facts = observed_daily(recent, customer, nation, region)
+    regions = region_keys(observed_daily(orders, customer, nation, region), "region")
+    return dense_grid(facts, regions, lo, axis.hi, ["load"], minutes=axis.minutes)
 
 
 def flow_edges(
