@@ -33,8 +33,9 @@ def steps_after(ts: str | Column, steps: int | Column, minutes: int | Column = S
 
 
 def minutes_between(later: str | Column, earlier: str | Column) -> Column:
-    micros = F.unix_micros(as_col(later).cast("timestamp")) - F.unix_micros(as_col(earlier).cast("timestamp"))
-    return micros / F.lit(60_000_000)
+    """Minutes from one timestamp to another, through an interval so that no time zone enters."""
+    seconds = (as_col(later) - as_col(earlier)).cast("interval second").cast("decimal(18,6)")
+    return seconds.cast("double") / F.lit(60)
 
 
 def calendar(ts: str | Column) -> dict[str, Column]:

@@ -200,6 +200,18 @@ def explode_nested(documents: DataFrame, column: str, names: Sequence[str]) -> D
     return df.select(*names[:-1], F.col("_v").alias(names[-1]))
 
 
+def map_by(name: str, value: Column) -> Column:
+    """Map from ``name`` to ``value`` of a group, entries in order of the key.
+
+    Only keys are compared, because maps as values cannot be.
+    """
+    def compare(a: Column, b: Column) -> Column:
+        return F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+
+    entries = F.collect_list(F.when(value.isNotNull(), F.struct(F.col(name).alias("k"), value.alias("v"))))
+    return F.map_from_entries(F.array_sort(entries, compare))
+
+
 def nest_long(df: DataFrame, value: Column, keys: Sequence[str] = ("region",)) -> DataFrame:
     """Horizon map per region: at most one entry per horizon."""
-    return df.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("horizon", value)))).alias("map"))
+    return df.groupBy(*keys).agg(map_by("horizon", value).alias("map"))

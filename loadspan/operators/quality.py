@@ -13,12 +13,11 @@ from loadspan.plans.blocks import with_previous
 def grid_regularity(series: DataFrame, minutes: int = STEP_MINUTES) -> DataFrame:
     """Per region: steps that are not ``minutes`` long, timestamps off the grid, with seconds."""
     gap = minutes_between("ts", "previous")
-    micros = F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(60_000_000))
     return with_previous(series, ["region"], "ts").groupBy("region").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("previous").isNotNull() & (gap != minutes)).alias("irregular_steps"),
         F.count_if(F.minute("ts") % minutes != 0).alias("off_grid_minutes"),
-        F.count_if(micros != 0).alias("with_seconds"),
+        F.count_if(F.extract(F.lit("SECOND"), F.col("ts")) != 0).alias("with_seconds"),
     )
 
 

@@ -16,11 +16,15 @@ DIRECT_COLUMNS = [*FEATURE_COLUMNS, "load", "steps"]
 
 
 def training_rows(load: DataFrame, weather: DataFrame, minimum: int = 200) -> DataFrame:
-    """Direct-forecast rows of the first 80 % of each series, split 90/10 into fit and calibration."""
+    """Direct-forecast samples of the first 80 % of each series.
+
+    The samples of each region and horizon are split 90/10 into fit (``train``) and calibration
+    (``test``), in order of time.
+    """
     table = reshape.chrono_split(features.quarter_hour_features(load, weather))
     train = models.min_sample_guard(table.filter("part = 'train'").drop("idx", "n", "part"), minimum)
-    inner = reshape.chrono_split(train, 0.9, 0.9)
-    return models.direct_rows(inner.drop("idx", "n"))
+    samples = models.direct_rows(train)
+    return reshape.chrono_split(samples, 0.9, 0.9, ["region", "horizon"]).drop("idx", "n")
 
 
 def train(load: DataFrame, weather: DataFrame, algorithms: Sequence[str] = ("boosted", "forest", "linear"),

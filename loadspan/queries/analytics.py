@@ -197,7 +197,7 @@ BAND = "CASE WHEN {0}.load > 500 THEN 'red' WHEN {0}.load > 300 THEN 'orange' EL
     CASE WHEN round(flow / sum(flow) OVER (PARTITION BY src) + 1e-9, 6) >= 0.2 THEN 'congested' ELSE 'normal' END AS status
     FROM edges JOIN nodes a ON a.region = src JOIN nodes b ON b.region = dst""", "load_daily", extra=EDGES))
 def topology_join(spark, d):
-    parts = [tables.read(spark, d, t) for t in ("lineitem", "supplier", "orders", "customer", "nation", "region")]
+    parts = [src.table(spark, d, t) for t in ("lineitem", "supplier", "orders", "customer", "nation", "region")]
     nodes = src.load_daily(spark, d, latest_only=True).filter("load > 0").select(
         "region", (F.col("load") / 1000).alias("load")
     )

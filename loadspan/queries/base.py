@@ -74,7 +74,7 @@ def wide_to_long(spark, d):
     FROM lineitem) q""")
 def narrow_types(spark, d):
     columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    lines = tables.read(spark, d, "lineitem").select(*columns, "l_quantity")
+    lines = src.table(spark, d, "lineitem").select(*columns, "l_quantity")
     sums = reshape.narrow_types(lines).agg(*[F.sum(c).alias(c) for c in columns])
     return reshape.integer_ranges(lines).join(
         sums.unpivot([], columns, "column_name", "narrowed_sum"), "column_name"
@@ -184,7 +184,7 @@ def range_validation(spark, d):
     CAST(CAST(ts AS DATE) IN (SELECT d FROM holidays) AS INTEGER) AS is_holiday
     FROM (SELECT o_orderkey, o_orderdate AS ts FROM orders) o""", "holidays"))
 def calendar_features(spark, d):
-    return tables.read(spark, d, "orders").select(
+    return src.table(spark, d, "orders").select(
         "o_orderkey", *[c.alias(n) for n, c in calendar("o_orderdate").items()]
     )
 
@@ -193,7 +193,7 @@ def calendar_features(spark, d):
     WHERE CAST(o_orderdate AS DATE) IN (SELECT d FROM holidays) GROUP BY 1""", "holidays"))
 def us_holiday_flag(spark, d):
     return (
-        tables.read(spark, d, "orders")
+        src.table(spark, d, "orders")
         .filter(us_holiday("o_orderdate"))
         .groupBy(F.col("o_orderdate").cast("date").cast("timestamp_ntz").alias("day"))
         .agg(F.count(F.lit(1)).alias("orders_placed"))

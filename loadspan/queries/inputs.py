@@ -11,16 +11,25 @@ from loadspan.operators import forecast
 from loadspan.sources import tables
 
 
-# Time axes read so far by the running query; cleared before each one.
+# Tables opened and time axes read so far by the running query; cleared before each one.
+_tables: dict[tuple[str, str], DataFrame] = {}
 _axes: dict[str, tables.Axis] = {}
 
 
 def forget() -> None:
+    _tables.clear()
     _axes.clear()
 
 
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A given table; its footer is read once per query."""
+    if (d, name) not in _tables:
+        _tables[d, name] = tables.read(spark, d, name)
+    return _tables[d, name]
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
-    return tables.read(spark, d, "events")
+    return table(spark, d, "events")
 
 
 def axis(spark: SparkSession, d: str) -> tables.Axis:
@@ -82,7 +91,7 @@ def latest_anchors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def load_daily(spark: SparkSession, d: str, latest_only: bool = False) -> DataFrame:
-    orders, customer, nation, region = (tables.read(spark, d, t) for t in ("orders", "customer", "nation", "region"))
+    orders, customer, nation, region = (table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
     days = tables.read_axis(orders, "o_orderdate", minutes=24 * 60)
     return tables.daily_table(orders, customer, nation, region, days, latest_only)
 

@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from loadspan.config import HORIZON_STEPS
 from loadspan.operators.anomaly import FINDING
-from loadspan.operators.forecast import nest_long, path_anchor, path_arrays
+from loadspan.operators.forecast import map_by, nest_long, path_anchor, path_arrays
+from loadspan.sources.stage import staged
 
 SCHEMA_VERSION = "1.2.0"
 REGION_PATTERN = "^region_[0-9]+$"
@@ -87,24 +88,15 @@ def build_snapshot(
         parts = parts.join(table, "region", "left")
     if importances is not None:
         per_horizon = importances.groupBy("region", "horizon").agg(
-            F.map_from_entries(F.collect_list(F.struct("feature", "importance"))).alias("_f")
+            map_by("feature", F.col("importance")).alias("_f")
         )
         parts = parts.join(
             nest_long(per_horizon, F.col("_f")).withColumnRenamed("map", "feature_importances"), "region", "left"
         )
         nested.append("feature_importances")
 
-    def region_map(name: str) -> Column:
-        entry = F.when(F.col(name).isNotNull(), F.struct("region", name))
-        return F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name)
-
-    def region_map_of_maps(name: str) -> Column:
-        # maps have no order, so entries cannot be sorted by value; regions are unique
-        entry = F.when(F.col(name).isNotNull(), F.struct("region", name))
-        return F.map_from_entries(F.collect_list(entry)).alias(name)
-
     documents = parts.withColumn("document", document).groupBy("document").agg(
-        region_map("current_load"), *[region_map_of_maps(n) for n in nested if n != "current_load"]
+        *[map_by("region", F.col(n)).alias(n) for n in nested]
     )
     found = findings.withColumn("ts", iso(F.col("ts"))).select(
         F.when(F.col("region") == "TOTAL", 0).otherwise(document).alias("document"), F.struct(*FINDING).alias("_a")
@@ -130,8 +122,9 @@ def stamp(documents: DataFrame, timestamp: Column | None = None) -> DataFrame:
 def write_snapshot(documents: DataFrame, path: str, region_pattern: str = REGION_PATTERN) -> None:
     """Validate and write JSON lines; a reader sees the old files or the new ones.
 
-    Raises ``ValueError`` on violations, before anything is written.
+    Documents are computed once, into the shared folder, and checked there. Raises ``ValueError`` on violations, before anything is written.
     """
+    documents = staged(documents, "snapshot")
     texts = documents.select(F.to_json(F.struct(*documents.columns)).alias("body"))
     bad = validate(texts.withColumn("doc_id", F.lit("snapshot")), region_pattern).limit(5).collect()
     if bad:
