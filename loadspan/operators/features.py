@@ -113,7 +113,7 @@ def sliding_window_array(
     row = F.array(*[F.col(v).cast("double") for v in values])
     return with_window_columns(
         df, ["region"], "ts", lambda w: {name: F.collect_list(row).over(w.rowsBetween(first, last))},
-        back=reach(size),
+        back=reach(size), days=7, full_width=True,
     )
 
 

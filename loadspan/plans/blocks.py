@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from loadspan.session import shuffle_width
+
 BLOCK_DAYS = 28
 
 
@@ -55,15 +57,19 @@ def with_window_columns(
     back: str | None = None,
     ahead: str | None = None,
     days: int = BLOCK_DAYS,
+    full_width: bool = False,
 ) -> DataFrame:
     """Add row-frame window columns with one shuffle on ``(keys, block)``.
 
     ``columns`` receives the window and returns the new columns; frames must not reach past
-    ``back`` and ``ahead``.
+    ``back`` and ``ahead``. ``full_width`` keeps all shuffle partitions, for columns much larger
+    than the rows they come from: adaptive coalescing sees only the rows.
     """
     window = Window.partitionBy(*keys, "_block").orderBy(order)
-    spread = with_halo(df, order, back=back, ahead=ahead, days=days)
-    return spread.withColumns(columns(window)).filter("_own").drop("_block", "_own")
+    rows = with_halo(df, order, back=back, ahead=ahead, days=days)
+    if full_width:
+        rows = rows.repartition(shuffle_width(df.sparkSession), *keys, "_block")
+    return rows.withColumns(columns(window)).filter("_own").drop("_block", "_own")
 
 
 def with_position(

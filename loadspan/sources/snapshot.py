@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from loadspan.config import HORIZON_STEPS
 from loadspan.operators.anomaly import FINDING
-from loadspan.operators.forecast import map_by, nest_long, path_anchor, path_arrays
+from loadspan.operators.forecast import map_by, nest_long, path_arrays
 from loadspan.sources.stage import staged
 
 SCHEMA_VERSION = "1.2.0"
@@ -74,18 +74,17 @@ def build_snapshot(
     size = latest.agg(F.ceil(F.count(F.lit(1)) / regions_per_document).alias("n")).scalar()
     document = F.pmod(F.xxhash64("region"), size).cast("int")
 
-    anchors = path_anchor(forecast)
-    bounds = F.struct("lower", "upper")
-    points = nest_long(anchors, F.col("point")).withColumnRenamed("map", "predictions")
-    intervals = nest_long(anchors, bounds).withColumnRenamed("map", "intervals")
+    # one row per region and horizon holds its path, whose last step is the anchor
     arrays = path_arrays(forecast, ["point", "lower", "upper"])
-    paths = nest_long(arrays, F.col("point")).withColumnRenamed("map", "forecast_paths")
-    interval_paths = nest_long(arrays, bounds).withColumnRenamed("map", "interval_paths")
-
-    parts = latest.select("region", F.col("load").alias("current_load"))
+    last = {n: F.element_at(n, -1) for n in ("point", "lower", "upper")}
+    paths = arrays.groupBy("region").agg(
+        map_by("horizon", last["point"]).alias("predictions"),
+        map_by("horizon", F.struct(last["lower"].alias("lower"), last["upper"].alias("upper"))).alias("intervals"),
+        map_by("horizon", F.col("point")).alias("forecast_paths"),
+        map_by("horizon", F.struct("lower", "upper")).alias("interval_paths"),
+    )
     nested = ["current_load", "predictions", "intervals", "forecast_paths", "interval_paths"]
-    for table in (points, intervals, paths, interval_paths):
-        parts = parts.join(table, "region", "left")
+    parts = latest.select("region", F.col("load").alias("current_load")).join(paths, "region", "left")
     if importances is not None:
         per_horizon = importances.groupBy("region", "horizon").agg(
             map_by("feature", F.col("importance")).alias("_f")
