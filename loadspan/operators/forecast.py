@@ -164,12 +164,13 @@ def recursive_forecast(
     """Roll a linear lag model forward, feeding each prediction back.
 
     ``weights`` maps a lag in steps to its weight. The state is an array of the last ``max(lag)``
-    values per region, at most one season long; the recursion runs inside one expression.
+    values per region, however long the history; the recursion runs inside one expression.
     """
     depth = max(weights)
-    last = F.max("ts").alias("end")
-    tail = F.array_sort(F.collect_list(F.struct("ts", "load")))["load"]
-    state = history.groupBy("region").agg(tail.alias("_hist"), last)
+    newest = history.agg(F.max("ts").alias("v")).scalar()
+    tail = history.filter(F.col("ts") > steps_after(newest, -depth))
+    values = F.array_sort(F.collect_list(F.struct("ts", "load")))["load"]
+    state = tail.groupBy("region").agg(values.alias("_hist"), F.max("ts").alias("end"))
 
     def advance(acc: Column, _step: Column) -> Column:
         value = F.lit(intercept)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,15 +18,20 @@ from loadspan.config import FEATURE_COLUMNS
 from loadspan.operators.forecast import residual_quantile, with_horizons
 from loadspan.operators.reshape import chrono_split
 from loadspan.plans.blocks import with_window_columns
+from loadspan.plans.skew import salted_join
 
 SEED = 42
 
+# Up to this many regions get a column each; more are hashed, which keeps vectors and driver small.
+ONE_HOT_REGIONS = 1000
+HASHED_WIDTH = 1024
+
 
 def min_sample_guard(rows: DataFrame, minimum: int = 200, keys: Sequence[str] = ("region",)) -> DataFrame:
     """Rows of the series that have at least ``minimum`` samples."""
     keys = list(keys)
     enough = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= minimum).select(*keys)
-    return rows.join(enough, keys, "left_semi")
+    return salted_join(rows, enough, keys, ["ts"], "left_semi")
 
 
 def feature_select(features: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS, name: str = "raw") -> DataFrame:
@@ -52,20 +57,23 @@ def members(label: str = "label", seed: int = SEED) -> dict[str, object]:
     }
 
 
-def preparation(columns: Sequence[str], regions: bool = True) -> list:
-    """Region one-hot, assembled and standardised features."""
+def preparation(columns: Sequence[str], regions: str | None = "one-hot") -> list:
+    """Standardised features next to the region, one-hot or hashed into a fixed width."""
     stages = [
         VectorAssembler(inputCols=list(columns), outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
     ]
     inputs = ["scaled"]
-    if regions:
+    if regions == "one-hot":
         stages = [
             StringIndexer(inputCol="region", outputCol="region_index", handleInvalid="keep"),
             OneHotEncoder(inputCol="region_index", outputCol="region_hot", handleInvalid="keep"),
             *stages,
         ]
         inputs.append("region_hot")
+    elif regions == "hashed":
+        stages = [FeatureHasher(inputCols=["region"], outputCol="region_hot", numFeatures=HASHED_WIDTH), *stages]
+        inputs.append("region_hot")
     return [*stages, VectorAssembler(inputCols=inputs, outputCol="features")]
 
 
@@ -112,7 +120,11 @@ def fit_ensemble(train: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS, lab
     Prepared rows are kept between the fits, spilling to disk, because each fit passes over them
     many times.
     """
-    prepared = Pipeline(stages=preparation(columns, regions)).fit(train)
+    kind = None
+    if regions:
+        many = train.agg(F.approx_count_distinct("region").alias("n")).first().n > ONE_HOT_REGIONS
+        kind = "hashed" if many else "one-hot"
+    prepared = Pipeline(stages=preparation(columns, kind)).fit(train)
     rows = prepared.transform(train).select("features", label).persist()
     fitted, failures = {}, {}
     try:

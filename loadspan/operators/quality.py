@@ -10,10 +10,13 @@ from loadspan.functions.time import minutes_between
 from loadspan.plans.blocks import with_previous
 
 
-def grid_regularity(series: DataFrame, minutes: int = STEP_MINUTES) -> DataFrame:
-    """Per region: steps that are not ``minutes`` long, timestamps off the grid, with seconds."""
+def grid_regularity(series: DataFrame, minutes: int = STEP_MINUTES, block_days: float = 1 / 24) -> DataFrame:
+    """Per region: steps that are not ``minutes`` long, timestamps off the grid, with seconds.
+
+    Raw events may be many per region and minute, so a sort group covers an hour of one region.
+    """
     gap = minutes_between("ts", "previous")
-    return with_previous(series, ["region"], "ts").groupBy("region").agg(
+    return with_previous(series, ["region"], "ts", days=block_days).groupBy("region").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("previous").isNotNull() & (gap != minutes)).alias("irregular_steps"),
         F.count_if(F.minute("ts") % minutes != 0).alias("off_grid_minutes"),

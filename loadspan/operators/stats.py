@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loadspan.functions.time import as_col, floor_day
 from loadspan.plans.blocks import with_window_columns
+from loadspan.plans.skew import salted_join, with_global_rank
 
 MIN_STD = 1e-6
 
@@ -95,7 +96,7 @@ def exact_quantile(
     cuts = df.groupBy(*keys).agg(
         F.percentile_approx(value, [max(p - margin, 0.0), min(p + margin, 1.0)], accuracy).alias("_cuts")
     )
-    sliced = counts.join(cuts, keys).select(
+    sliced = salted_join(counts, cuts, keys, ["_v"]).select(
         *keys, "_v", "_n",
         F.when(F.col("_v") < F.col("_cuts")[0], 0).when(F.col("_v") <= F.col("_cuts")[1], 1).otherwise(2)
         .alias("_slice"),
@@ -113,7 +114,7 @@ def exact_quantile(
         F.col("_total") - F.col("_n0") - F.col("_n1")
     )
     wanted = (
-        sliced.join(sizes, keys)
+        salted_join(sliced, sizes, keys, ["_v"])
         .withColumn("_rank", rank)
         .withColumn("_before", before)
         .filter((F.ceil("_rank") >= F.col("_before")) & (F.floor("_rank") < F.col("_before") + size))
@@ -195,9 +196,9 @@ def region_and_total(load: DataFrame) -> DataFrame:
 
 
 def regional_mean_compare(load: DataFrame) -> DataFrame:
-    """Mean load per region with its rank, highest first. One row per region is ranked."""
+    """Mean load per region with its rank, highest first."""
     means = load.groupBy("region").agg(F.avg("load").alias("mean"))
-    return means.withColumn("rank", F.rank().over(Window.orderBy(F.round("mean", 6).desc())))
+    return with_global_rank(means, F.round("mean", 6))
 
 
 def weather_average(latest_weather: DataFrame) -> DataFrame:

@@ -18,13 +18,10 @@ from loadspan.session import shuffle_width
 BLOCK_DAYS = 28
 
 
-def day_number(ts: str | Column) -> Column:
-    """Days since 1970-01-01 of a timestamp or date."""
-    return F.unix_date(F.to_date(ts))
-
-
-def block_id(ts: str | Column, days: int = BLOCK_DAYS) -> Column:
-    return F.floor(day_number(ts) / F.lit(days))
+def block_id(ts: str | Column, days: float = BLOCK_DAYS) -> Column:
+    """Number of the block of ``days`` days, or a part of one, counted from 1970."""
+    minute = F.unix_date(F.to_date(ts)) * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    return F.floor(minute / F.lit(round(days * 1440)))
 
 
 def with_halo(
@@ -33,7 +30,7 @@ def with_halo(
     *,
     back: str | None = None,
     ahead: str | None = None,
-    days: int = BLOCK_DAYS,
+    days: float = BLOCK_DAYS,
 ) -> DataFrame:
     """Copy each row to its own block and to the blocks whose reach covers it.
 
@@ -56,7 +53,7 @@ def with_window_columns(
     *,
     back: str | None = None,
     ahead: str | None = None,
-    days: int = BLOCK_DAYS,
+    days: float = BLOCK_DAYS,
     full_width: bool = False,
 ) -> DataFrame:
     """Add row-frame window columns with one shuffle on ``(keys, block)``.
@@ -74,7 +71,7 @@ def with_window_columns(
 
 def with_position(
     df: DataFrame, keys: Sequence[str], order: str, name: str = "idx", *,
-    size: str | None = None, days: int = BLOCK_DAYS,
+    size: str | None = None, days: float = BLOCK_DAYS,
 ) -> DataFrame:
     """0-based position of each row in its series: position in the block + rows of earlier blocks.
 
@@ -98,7 +95,7 @@ def with_position(
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], order: str, name: str = "previous", *, days: int = BLOCK_DAYS
+    df: DataFrame, keys: Sequence[str], order: str, name: str = "previous", *, days: float = BLOCK_DAYS
 ) -> DataFrame:
     """Order value of the row before, however far back it lies."""
     blocked = df.withColumn("_block", block_id(order, days))

@@ -24,11 +24,16 @@ ANY_REGION = "^[a-z_0-9]+$"
 
 
 def documents(spark, d):
-    """One JSON document per day, in one of three versions by the day of the month; every fifth has a text for a number."""
+    """JSON documents of a day each, in one of three versions by the day of the month; every fifth has a text for a number.
+
+    A document holds up to about 1000 regions; more spread over several documents a day.
+    """
     daily = tables.observed_load(src.events(spark, d)).groupBy(floor_day("ts").alias("day"), "region").agg(
         F.round(F.sum("load"), 2).alias("load")
     )
-    nested = daily.groupBy("day").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("region", "load")))).alias("m"))
+    regions = daily.select("region").distinct().agg(F.ceil(F.count(F.lit(1)) / 1000).alias("n")).scalar()
+    part = F.pmod(F.xxhash64("region"), regions)
+    nested = daily.groupBy("day", part.alias("part")).agg(fc.map_by("region", F.col("load")).alias("m"))
     dom = F.dayofmonth("day")
     loads = F.to_json("m")
     predicted = F.to_json(F.transform_values("m", lambda k, v: F.create_map(F.lit("24h"), v)))
@@ -46,7 +51,8 @@ def documents(spark, d):
             ',"schema_version":"1.2.0","forecast_paths":{},"interval_paths":{},'
             '"weather":{"temperature":21.5,"humidity":60.0,"solar_irradiance":0.0}}')))
     )
-    return nested.select(snapshot.iso(F.col("day")).alias("doc_id"), body.alias("body"))
+    suffix = F.when(F.col("part") > 0, F.concat(F.lit("-"), F.col("part").cast("string"))).otherwise("")
+    return nested.select(F.concat(snapshot.iso(F.col("day")), suffix).alias("doc_id"), body.alias("body"))
 
 
 @query("snapshot_validate", sql("""SELECT doc_id, rule, path FROM (SELECT strftime(day, '%Y-%m-%dT%H:%M:%S') AS doc_id, 'not_a_number' AS rule,

@@ -33,7 +33,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2"""),
     "load_daily": (("daily",), """SELECT r.region, s.ts, coalesce(d.load, 0.0) AS load
-        FROM (SELECT DISTINCT region FROM daily) r
+        FROM (SELECT DISTINCT r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey
+            JOIN region ON n_regionkey = r_regionkey) r
         CROSS JOIN (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM daily) s
         LEFT JOIN daily d ON d.region = r.region AND d.ts = s.ts"""),
     "features": (("load", "weather", "holidays"), """SELECT l.region, l.ts, l.load,

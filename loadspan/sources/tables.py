@@ -167,12 +167,14 @@ def daily_table(
 ) -> DataFrame:
     """Dense daily load per region, or that of the last day, which filters the scan of ``orders``.
 
-    Regions are those of the nations table, as far as a customer lives there.
+    Regions are those in which a customer lives, so that ``orders`` is not read for them.
     """
     lo = axis.hi if latest_only else axis.lo
     recent = orders.filter(F.col("o_orderdate") >= lo) if latest_only else orders
     facts = observed_daily(recent, customer, nation, region)
-    regions = region_keys(observed_daily(orders, customer, nation, region), "region")
+    lived_in = customer.select(F.col("c_nationkey").alias("n_nationkey")).distinct()
+    names = nation.join(lived_in, "n_nationkey", "left_semi").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    regions = region_keys(names, "r_name")
     return dense_grid(facts, regions, lo, axis.hi, ["load"], minutes=axis.minutes)
 
 
@@ -201,3 +203,23 @@ def flow_edges(
     return by_nation.join(start, "_from").join(stop, "_to").groupBy("src", "dst").agg(
         F.round(F.sum("flow"), 2).alias("flow")
     )
+
+
+def write_series(series: DataFrame, path: str) -> None:
+    """Write a canonical table partitioned by day, for readers that prune by time.
+
+    Rows are ranged by day and region, so that a day lies in few files and a day with many rows in
+    several.
+    """
+    dated = series.withColumn("day", F.to_date("ts"))
+    dated.repartitionByRange("day", "region", "ts").write.mode("overwrite").partitionBy("day").parquet(path)
+
+
+def read_series(spark: SparkSession, path: str, first: date | None = None, last: date | None = None) -> DataFrame:
+    """Read a table written by :func:`write_series`; the days bound the folders listed and read."""
+    series = spark.read.parquet(path)
+    if first is not None:
+        series = series.filter(F.col("day") >= F.lit(first))
+    if last is not None:
+        series = series.filter(F.col("day") <= F.lit(last))
+    return series.drop("day")
