@@ -13,6 +13,9 @@ WINDOW_ROWS = 96
 # Forecast horizons in 15-minute steps.
 HORIZON_STEPS = {"15min": 1, "1h": 4, "6h": 24, "12h": 48, "24h": 96, "48h": 192}
 
+# The long horizons in hourly steps, for models at hourly cadence.
+HOURLY_HORIZON_STEPS = {"24h": 24, "48h": 48}
+
 # Lags in 15-minute steps and in hours.
 LAG_STEPS = {"lag_1h": 4, "lag_6h": 24, "lag_24h": 96, "lag_48h": 192, "lag_168h": 672}
 LAG_HOURS = {"lag_1h": 1, "lag_6h": 6, "lag_24h": 24, "lag_48h": 48, "lag_168h": 168}

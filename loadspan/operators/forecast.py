@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadspan.config import HORIZON_STEPS, SLOTS_PER_WEEK, STEP_MINUTES
+from loadspan.config import HORIZON_STEPS, SLOTS_PER_WEEK, STEP_MINUTES, WINDOW_ROWS
 from loadspan.functions.time import as_col, minutes_between, steps_after
 from loadspan.operators.stats import exact_quantile
 from loadspan.plans.blocks import with_window_columns
@@ -40,6 +40,18 @@ def horizon_minutes(name: str | Column) -> Column:
     return out
 
 
+def validate_horizons(dim: DataFrame) -> DataFrame:
+    """Rows of a horizon table (horizon, steps, cadence_minutes) whose steps do not span the horizon."""
+    span = F.col("steps") * F.col("cadence_minutes")
+    return dim.filter(~F.coalesce(span == horizon_minutes("horizon"), F.lit(False)))
+
+
+def history_hours(window: int = WINDOW_ROWS, longest_lag: int = SLOTS_PER_WEEK, hourly_window: int = 72,
+                  longest_hourly_lag: int = 168, least: int = 24) -> int:
+    """Hours of history a deployment run needs: the longest lag and a window before the newest step."""
+    return max(least, (longest_lag + window) * STEP_MINUTES // 60, hourly_window + longest_hourly_lag)
+
+
 def horizon_ending_at(step: str | Column) -> Column:
     """Name of the horizon whose last step this is, else null."""
     out = F.lit(None).cast("string")
@@ -90,9 +102,10 @@ def path_prefix(forecast: DataFrame, horizons: Mapping[str, int] = HORIZON_STEPS
     return with_horizons(forecast, horizons, reaching="step").drop("cadence_minutes")
 
 
-def path_sum(forecast: DataFrame) -> DataFrame:
-    """Step-wise sum over regions."""
-    return forecast.groupBy("step", "ts").agg(F.sum("point").alias("point"))
+def path_sum(forecast: DataFrame, values: Sequence[str] = ("point",)) -> DataFrame:
+    """Step-wise sums over regions, of the bounds too when named."""
+    keys = [k for k in ("step", "ts") if k in forecast.columns]
+    return forecast.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
 
 
 def path_arrays(forecast: DataFrame, values: Sequence[str] = ("point",)) -> DataFrame:
@@ -109,6 +122,41 @@ def edge_pad(path: Column, n: int | Column) -> Column:
     return F.concat(F.slice(path, 1, size), F.array_repeat(F.element_at(path, -1), missing))
 
 
+def with_fallback(anchors: DataFrame, latest: DataFrame) -> DataFrame:
+    """Give regions without any anchor their latest load as an anchor at step 1."""
+    missing = latest.join(anchors.select("region").distinct(), "region", "left_anti").select(
+        "region", F.lit(1).alias("step"), F.col("load").alias("point"),
+        F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"),
+    )
+    return anchors.select("region", "step", "point", "lower", "upper").unionByName(missing)
+
+
+def region_series(paths: DataFrame, anchors: DataFrame, latest: DataFrame, horizon: str) -> DataFrame:
+    """Forecast series of each region up to a horizon: its path where it has one, else its anchors.
+
+    ``paths`` (region, horizon, point, lower, upper as arrays) are cut or extended to the horizon;
+    missing bounds become 10 % below or above the value. Regions with neither repeat their load.
+    """
+    n = HORIZON_STEPS[horizon]
+    own = paths.filter((F.col("horizon") == horizon) & (F.size("point") > 0))
+    point = edge_pad(F.col("point"), n)
+
+    def bound(name: str, factor: float) -> Column:
+        usable = (F.size("lower") > 0) & (F.size("upper") > 0)
+        return F.when(usable, edge_pad(F.col(name), n)).otherwise(F.transform(point, lambda x: x * factor))
+
+    zipped = F.arrays_zip(
+        F.sequence(F.lit(1), F.lit(n)).alias("step"), point.alias("point"),
+        bound("lower", 0.9).alias("lower"), bound("upper", 1.1).alias("upper"),
+    )
+    from_path = own.select("region", F.inline(zipped)).toDF("region", "step", "point", "lower", "upper")
+    rest = latest.join(own.select("region"), "region", "left_anti")
+    known = anchors.filter(F.col("step") <= n).join(rest.select("region"), "region", "left_semi")
+    return from_path.unionByName(
+        anchor_step_fill(with_fallback(known, rest), n).select("region", "step", "point", "lower", "upper")
+    )
+
+
 def anchor_step_fill(anchors: DataFrame, n_steps: int, keys: Sequence[str] = ("region",)) -> DataFrame:
     """Step function through anchors ``(step, point, lower, upper)``.
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loadspan.config import (
-    FEATURE_COLUMNS, HORIZON_STEPS, LAG_COLUMNS, ROLLING_LAG_HOURS, ROLLING_WINDOWS, WINDOW_ROWS,
+    FEATURE_COLUMNS, HORIZON_STEPS, LAG_COLUMNS, ROLLING_LAG_HOURS, ROLLING_WINDOWS, SLOTS_PER_HOUR, WINDOW_ROWS,
 )
 from loadspan.functions.time import calendar, floor_15min, steps_after, us_holiday
 from loadspan.operators import features as fx
 from loadspan.operators import quality, reshape
+from loadspan.operators.forecast import history_hours, horizon_minutes, with_horizons
 from loadspan.plans.blocks import with_position
 from loadspan.queries import inputs as src
 from loadspan.queries.inputs import rounded
@@ -38,7 +39,7 @@ def dense_grid(spark, d):
 @query("recent_history", sql(
     "SELECT region, ts, load FROM load, bounds WHERE ts BETWEEN hi - INTERVAL 240 HOUR AND hi", "load", "bounds"))
 def recent_history(spark, d):
-    return tables.load_table(src.events(spark, d), src.axis(spark, d), 240 * 4 + 1)
+    return tables.load_table(src.events(spark, d), src.axis(spark, d), history_hours() * SLOTS_PER_HOUR + 1)
 
 
 @query("region_canonical", sql(
@@ -308,8 +309,6 @@ def series_index(spark, d):
         WHEN '24h' THEN 1440 ELSE 2880 END AS consistent
     FROM observed l CROSS JOIN horizons h GROUP BY l.region, h.horizon, h.steps""", "observed", "horizons"))
 def horizon_steps(spark, d):
-    from loadspan.operators.forecast import horizon_minutes, with_horizons
-
     origins = with_horizons(tables.observed_load(src.events(spark, d)))
     target = steps_after("ts", F.col("steps"), F.col("cadence_minutes"))
     consistent = F.col("steps") * F.col("cadence_minutes") == horizon_minutes("horizon")

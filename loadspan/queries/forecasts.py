@@ -137,3 +137,21 @@ WEIGHTS = {96: 0.5, 192: 0.2, 672: 0.3}
     WHERE a.k > -96)"""))
 def recursive_forecast(spark, d):
     return rounded(fc.recursive_forecast(src.recent(spark, d), WEIGHTS))
+
+
+@query("region_series", sql("""SELECT g.region, CAST(n.i AS INTEGER) AS step,
+    round(CASE WHEN g.region <> 'click' THEN p.point ELSE coalesce(a.point, f.point) END + 1e-9, 6) AS point,
+    round(CASE WHEN g.region <> 'click' THEN p.point - qhat ELSE coalesce(a.point, f.point) * 0.9 END + 1e-9, 6) AS lower,
+    round(CASE WHEN g.region <> 'click' THEN p.point + qhat ELSE coalesce(a.point, f.point) * 1.1 END + 1e-9, 6) AS upper
+    FROM regions g CROSS JOIN (SELECT unnest(generate_series(1, 96)) AS i) n JOIN qhat q ON q.region = g.region
+    LEFT JOIN path p ON p.region = g.region AND p.step = n.i
+    LEFT JOIN path a ON a.region = g.region AND a.step = (SELECT max(steps) FROM horizons WHERE steps <= n.i)
+    LEFT JOIN path f ON f.region = g.region AND f.step = 1""", *NEEDS, "regions", extra=EXTRA + QHAT))
+def region_series(spark, d):
+    """Series of a day: paths with bounds for all regions but one, for which only anchors are kept."""
+    banded = naive_interval(spark, d)
+    arrays = fc.path_arrays(banded, ["point", "lower", "upper"]).filter("region <> 'click'")
+    anchors = fc.path_anchor(src.path(spark, d)).select(
+        "region", "step", "point", F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper")
+    )
+    return rounded(fc.region_series(arrays, anchors, src.latest(spark, d).drop("ts"), "24h"))

@@ -164,3 +164,33 @@ def test_step_times_do_not_shift_with_the_session_zone(spark, hours):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert first.ts == dt.datetime(2024, 4, 1) and first.step == 1 and math.isclose(first.point, 0.0)
+
+
+def test_region_series_prefers_paths_then_anchors_then_load(spark):
+    paths = spark.createDataFrame(
+        [("p", "1h", [1.0, 2.0], [0.5], [3.0, 4.0]), ("q", "1h", [5.0, 6.0, 7.0, 8.0, 9.0], [], [])],
+        "region string, horizon string, point array<double>, lower array<double>, upper array<double>",
+    )
+    anchors = spark.createDataFrame(
+        [("a", 1, 10.0, None, None), ("a", 24, 99.0, None, None), ("p", 4, 77.0, None, None)],
+        "region string, step int, point double, lower double, upper double",
+    )
+    latest = spark.createDataFrame([(r, 20.0) for r in "pqaz"], "region string, load double")
+    got = {}
+    for r in fc.region_series(paths, anchors, latest, "1h").orderBy("step").collect():
+        got.setdefault(r.region, []).append((r.point, r.lower, r.upper))
+    assert got["p"] == [(1, 0.5, 3), (2, 0.5, 4), (2, 0.5, 4), (2, 0.5, 4)]
+    assert [v[0] for v in got["q"]] == [5, 6, 7, 8] and got["q"][0][1:] == pytest.approx((4.5, 5.5))
+    assert [v[0] for v in got["a"]] == [10] * 4 and [v[0] for v in got["z"]] == [20] * 4
+    total = fc.path_sum(fc.region_series(paths, anchors, latest, "1h"), ["point", "lower"]).orderBy("step").first()
+    assert total.point == 36
+
+
+def test_horizon_tables(spark):
+    from loadspan.config import HOURLY_HORIZON_STEPS
+    from loadspan.operators.reshape import horizon_dim
+
+    assert fc.validate_horizons(horizon_dim(spark, HORIZON_STEPS)).count() == 0
+    assert fc.validate_horizons(horizon_dim(spark, HOURLY_HORIZON_STEPS, 60)).count() == 0
+    assert {r.horizon for r in fc.validate_horizons(horizon_dim(spark, {"24h": 24, "1h": 4, "2y": 1})).collect()} == {"24h", "2y"}
+    assert fc.history_hours() == 240
