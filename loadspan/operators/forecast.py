@@ -122,39 +122,42 @@ def edge_pad(path: Column, n: int | Column) -> Column:
     return F.concat(F.slice(path, 1, size), F.array_repeat(F.element_at(path, -1), missing))
 
 
-def with_fallback(anchors: DataFrame, latest: DataFrame) -> DataFrame:
-    """Give regions without any anchor their latest load as an anchor at step 1."""
-    missing = latest.join(anchors.select("region").distinct(), "region", "left_anti").select(
-        "region", F.lit(1).alias("step"), F.col("load").alias("point"),
-        F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"),
-    )
-    return anchors.select("region", "step", "point", "lower", "upper").unionByName(missing)
-
-
 def region_series(paths: DataFrame, anchors: DataFrame, latest: DataFrame, horizon: str) -> DataFrame:
     """Forecast series of each region up to a horizon: its path where it has one, else its anchors.
 
     ``paths`` (region, horizon, point, lower, upper as arrays) are cut or extended to the horizon;
     missing bounds become 10 % below or above the value. Regions with neither repeat their load.
+    Paths and anchors of a region are one row each, so two joins by region suffice.
     """
     n = HORIZON_STEPS[horizon]
-    own = paths.filter((F.col("horizon") == horizon) & (F.size("point") > 0))
+    own = paths.filter(F.col("horizon") == horizon).select("region", "point", "lower", "upper")
+    listed = anchors.filter(F.col("step") <= n).groupBy("region").agg(
+        F.array_sort(F.collect_list(F.struct("step", "point", "lower", "upper"))).alias("_anchors")
+    )
+    steps = F.sequence(F.lit(1), F.lit(n))
     point = edge_pad(F.col("point"), n)
 
     def bound(name: str, factor: float) -> Column:
         usable = (F.size("lower") > 0) & (F.size("upper") > 0)
         return F.when(usable, edge_pad(F.col(name), n)).otherwise(F.transform(point, lambda x: x * factor))
 
-    zipped = F.arrays_zip(
-        F.sequence(F.lit(1), F.lit(n)).alias("step"), point.alias("point"),
-        bound("lower", 0.9).alias("lower"), bound("upper", 1.1).alias("upper"),
-    )
-    from_path = own.select("region", F.inline(zipped)).toDF("region", "step", "point", "lower", "upper")
-    rest = latest.join(own.select("region"), "region", "left_anti")
-    known = anchors.filter(F.col("step") <= n).join(rest.select("region"), "region", "left_semi")
-    return from_path.unionByName(
-        anchor_step_fill(with_fallback(known, rest), n).select("region", "step", "point", "lower", "upper")
+    def at(step: Column) -> Column:
+        reached = F.filter("_anchors", lambda a: a["step"] <= step)
+        anchor = F.when(F.size(reached) > 0, F.element_at(reached, -1)).otherwise(F.col("_anchors")[0])
+        value = F.coalesce(anchor["point"], F.col("load"))
+        both = anchor["lower"].isNotNull() & anchor["upper"].isNotNull()
+        return F.struct(
+            step.alias("step"), value.alias("point"),
+            F.when(both, anchor["lower"]).otherwise(value * 0.9).alias("lower"),
+            F.when(both, anchor["upper"]).otherwise(value * 1.1).alias("upper"),
+        )
+
+    from_path = F.arrays_zip(
+        steps.alias("step"), point.alias("point"), bound("lower", 0.9).alias("lower"), bound("upper", 1.1).alias("upper")
     )
+    joined = latest.select("region", "load").join(own, "region", "left").join(listed, "region", "left")
+    series = F.when(F.size("point") > 0, from_path).otherwise(F.transform(steps, at))
+    return joined.select("region", F.inline(series)).toDF("region", "step", "point", "lower", "upper")
 
 
 def anchor_step_fill(anchors: DataFrame, n_steps: int, keys: Sequence[str] = ("region",)) -> DataFrame:
