@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadspan.config import (
-    FEATURE_COLUMNS, LAG_HOURS, LAG_STEPS, SLOTS_PER_HOUR, STEP_MINUTES, WINDOW_ROWS,
+    FEATURE_COLUMNS, LAG_HOURS, LAG_STEPS, SLOTS_PER_HOUR, STEP_MINUTES, WEATHER_COLUMNS, WINDOW_ROWS,
 )
 from loadspan.functions.time import calendar, floor_hour
 from loadspan.plans.blocks import with_window_columns
@@ -45,7 +45,7 @@ def lead_target(load: DataFrame, steps: int, value: str = "load", name: str = "t
 def hourly_resample(df: DataFrame, values: Iterable[str]) -> DataFrame:
     """Hourly means per region; a window aggregate with map-side partial sums."""
     return df.groupBy("region", floor_hour("ts").alias("ts")).agg(
-        *[F.round(F.avg(v), 6).alias(v) for v in values]
+        *[F.avg(v).alias(v) for v in values]
     )
 
 
@@ -58,18 +58,26 @@ def drop_warmup(features: DataFrame) -> DataFrame:
     return features.na.drop("any")
 
 
-def quarter_hour_features(load: DataFrame, weather: DataFrame) -> DataFrame:
-    """The 13 features at 15-minute cadence next to the load itself."""
-    joined = weather_join(calendar_features(lag_features(load)), weather)
-    return drop_warmup(joined).select("region", "ts", "load", *FEATURE_COLUMNS)
+def quarter_hour_features(load: DataFrame, weather: DataFrame | None = None) -> DataFrame:
+    """The 13 features at 15-minute cadence next to the load itself.
 
-
-def hourly_features(load: DataFrame, weather: DataFrame) -> DataFrame:
-    hourly = hourly_resample(load, ["load"])
-    lagged = lag_features(hourly, LAG_HOURS, minutes=60)
-    hourly_weather = hourly_resample(weather, ["temperature", "humidity", "solar_irradiance"])
-    joined = weather_join(calendar_features(lagged), hourly_weather)
-    return drop_warmup(joined).select("region", "ts", "load", *FEATURE_COLUMNS)
+    Without ``weather`` the weather columns come with ``load`` (``tables.series_table``) and no
+    join runs.
+    """
+    features = calendar_features(lag_features(load))
+    if weather is not None:
+        features = weather_join(features, weather)
+    return drop_warmup(features).select("region", "ts", "load", *FEATURE_COLUMNS)
+
+
+def hourly_features(load: DataFrame, weather: DataFrame | None = None) -> DataFrame:
+    """The same features at hourly cadence, from hourly means."""
+    if weather is None:
+        features = calendar_features(lag_features(hourly_resample(load, ["load", *WEATHER_COLUMNS]), LAG_HOURS, minutes=60))
+    else:
+        lagged = lag_features(hourly_resample(load, ["load"]), LAG_HOURS, minutes=60)
+        features = weather_join(calendar_features(lagged), hourly_resample(weather, WEATHER_COLUMNS))
+    return drop_warmup(features).select("region", "ts", "load", *FEATURE_COLUMNS)
 
 
 def rolling_mean(df: DataFrame, rows: int, value: str, name: str, keys: tuple[str, ...] = ("region",)) -> DataFrame:

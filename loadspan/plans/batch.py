@@ -15,22 +15,22 @@ from loadspan.sources.stage import staged
 DIRECT_COLUMNS = [*FEATURE_COLUMNS, "load", "steps"]
 
 
-def training_rows(load: DataFrame, weather: DataFrame, minimum: int = 200) -> DataFrame:
-    """Direct-forecast samples of the first 80 % of each series.
+def training_rows(series: DataFrame, minimum: int = 200) -> DataFrame:
+    """Direct-forecast samples of the first 80 % of each series of load and weather.
 
     The samples of each region and horizon are split 90/10 into fit (``train``) and calibration
     (``test``), in order of time.
     """
-    table = reshape.chrono_split(features.quarter_hour_features(load, weather))
+    table = reshape.chrono_split(features.quarter_hour_features(series))
     train = models.min_sample_guard(table.filter("part = 'train'").drop("idx", "n", "part"), minimum)
     samples = models.direct_rows(train)
     return reshape.chrono_split(samples, 0.9, 0.9, ["region", "horizon"]).drop("idx", "n")
 
 
-def train(load: DataFrame, weather: DataFrame, algorithms: Sequence[str] = ("boosted", "forest", "linear"),
+def train(series: DataFrame, algorithms: Sequence[str] = ("boosted", "forest", "linear"),
           level: float = 0.95) -> tuple[models.Ensemble, DataFrame]:
     """Pooled ensemble with the horizon as a feature, and the error quantile per region and horizon."""
-    rows = staged(training_rows(load, weather), "training")
+    rows = staged(training_rows(series), "training")
     ensemble = models.fit_ensemble(rows.filter("part = 'train'"), DIRECT_COLUMNS, algorithms=algorithms)
     scored = ensemble.transform(rows.filter("part = 'test'"))
     residuals = scored.withColumn("abs_error", F.abs(F.col("label") - F.col("point")))
@@ -38,16 +38,17 @@ def train(load: DataFrame, weather: DataFrame, algorithms: Sequence[str] = ("boo
 
 
 def deploy(
-    load: DataFrame, weather: DataFrame, ensemble: models.Ensemble, qhat: DataFrame,
+    series: DataFrame, ensemble: models.Ensemble, qhat: DataFrame,
     thresholds: Thresholds = DEFAULTS, timestamp: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Snapshot documents and findings for the newest step.
 
-    ``load`` and ``weather`` need the last 8 days: the longest lag and the window of statistics.
+    ``series`` (region, ts, load and weather) needs the last 8 days: the longest lag and a day.
     """
-    load = staged(load, "recent")
-    end = load.agg(F.max("ts").alias("v")).scalar()
-    table = features.quarter_hour_features(load, weather)
+    series = staged(series, "recent")
+    load = series.select("region", "ts", "load")
+    end = series.agg(F.max("ts").alias("v")).scalar()
+    table = features.quarter_hour_features(series)
     scored = ensemble.transform(models.direct_scoring_rows(table))
     anchors = forecast.prediction_interval(scored, qhat, ["region", "horizon"]).select(
         "region", "horizon", F.col("steps").alias("step"), "point", "lower", "upper"
@@ -58,8 +59,8 @@ def deploy(
     found = anomaly.all_rules(
         week, anchors.withColumn("origin", end), path, end, thresholds, "latest"
     )
-    latest = anomaly.scored_rows(load, "latest")
-    means = stats.weather_average(anomaly.scored_rows(weather, "latest"))
+    latest = anomaly.scored_rows(load, "latest", end)
+    means = stats.weather_average(anomaly.scored_rows(series, "latest", end))
     return snapshot.build_snapshot(latest, path, found, means, timestamp=timestamp), found
 
 

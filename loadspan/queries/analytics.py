@@ -82,8 +82,8 @@ def share_stats(spark, d):
     return rounded(stats.share_stats(stats.load_share(src.recent(spark, d))))
 
 
-@query("weather_average", sql("""SELECT round(avg(temperature), 6) AS temperature, round(avg(humidity), 6) AS humidity,
-    round(avg(solar_irradiance), 6) AS solar_irradiance FROM weather, bounds WHERE ts = hi""", "weather", "bounds"))
+@query("weather_average", sql("""SELECT round(avg(temperature) + 1e-9, 6) AS temperature, round(avg(humidity) + 1e-9, 6) AS humidity,
+    round(avg(solar_irradiance) + 1e-9, 6) AS solar_irradiance FROM weather, bounds WHERE ts = hi""", "weather", "bounds"))
 def weather_average(spark, d):
     return rounded(stats.weather_average(src.latest_weather(spark, d)))
 

@@ -28,7 +28,7 @@ FEATURE_SQL = ", ".join(
 @query("load_series", sql("SELECT l.region, l.ts, load, temperature, humidity, solar_irradiance "
        "FROM load l LEFT JOIN weather w ON w.region = l.region AND w.ts = l.ts", "load", "weather"))
 def load_series(spark, d):
-    return fx.weather_join(src.load(spark, d), src.weather(spark, d))
+    return src.series(spark, d)
 
 
 @query("dense_grid", sql("SELECT region, ts, load FROM load", "load"))
@@ -85,7 +85,7 @@ def narrow_types(spark, d):
 @query("drop_warmup", sql(f"SELECT region, ts, round(load + 1e-9, 6) AS load, {FEATURE_SQL} FROM features "
        "WHERE lag_168h IS NOT NULL", "features"))
 def drop_warmup(spark, d):
-    return rounded(fx.quarter_hour_features(src.load(spark, d), src.weather(spark, d)))
+    return rounded(fx.quarter_hour_features(src.series(spark, d)))
 
 
 @query("chrono_split", sql("""SELECT region, ts, idx, n, CASE WHEN idx < floor(n * 0.8) THEN 'train'
@@ -134,8 +134,7 @@ def weather_join(spark, d):
     SELECT 1 FROM features f WHERE f.region = l.region AND f.ts = l.ts AND f.lag_168h IS NOT NULL)""",
     "load", "features"))
 def target_align(spark, d):
-    load = src.load(spark, d)
-    return reshape.target_align(load, fx.quarter_hour_features(load, src.weather(spark, d)))
+    return reshape.target_align(src.load(spark, d), fx.quarter_hour_features(src.series(spark, d)))
 
 
 @query("alignment_check", sql("""SELECT coalesce(o.region, w.region) AS region,
@@ -215,15 +214,14 @@ def lag_features(spark, d):
 
 
 HOURLY = """hourly AS (SELECT l.region, time_bucket(INTERVAL 1 HOUR, l.ts) AS ts, round(avg(load) + 1e-9, 6) AS load,
-    round(avg(temperature), 6) AS temperature, round(avg(humidity), 6) AS humidity,
-    round(avg(solar_irradiance), 6) AS solar_irradiance
+    round(avg(temperature) + 1e-9, 6) AS temperature, round(avg(humidity) + 1e-9, 6) AS humidity,
+    round(avg(solar_irradiance) + 1e-9, 6) AS solar_irradiance
     FROM load l JOIN weather w ON w.region = l.region AND w.ts = l.ts GROUP BY 1, 2)"""
 
 
 @query("hourly_resample", sql("SELECT * FROM hourly", "load", "weather", extra=HOURLY))
 def hourly_resample(spark, d):
-    both = fx.weather_join(src.load(spark, d), src.weather(spark, d))
-    return fx.hourly_resample(both, ["load", "temperature", "humidity", "solar_irradiance"])
+    return rounded(fx.hourly_resample(src.series(spark, d), ["load", "temperature", "humidity", "solar_irradiance"]))
 
 
 @query("hourly_lag_features", sql("""SELECT * FROM (SELECT region, ts, load, CAST(hour(ts) AS INTEGER) AS hour,
@@ -235,7 +233,7 @@ def hourly_resample(spark, d):
     FROM hourly WINDOW w AS (PARTITION BY region ORDER BY ts)) q WHERE lag_168h IS NOT NULL""",
     "load", "weather", "holidays", extra=HOURLY))
 def hourly_lag_features(spark, d):
-    return rounded(fx.hourly_features(src.load(spark, d), src.weather(spark, d)))
+    return rounded(fx.hourly_features(src.series(spark, d)))
 
 
 @query("lead_target", sql("""SELECT region, ts, load, lead(load, 96) OVER (PARTITION BY region ORDER BY ts) AS target
@@ -281,7 +279,7 @@ def left_pad_window(spark, d):
         ROWS BETWEEN 96 PRECEDING AND 1 PRECEDING)) AS w
     FROM features WHERE lag_168h IS NOT NULL) q WHERE len(w) = 1248""", "features"))
 def flatten_window(spark, d):
-    features = fx.quarter_hour_features(src.load(spark, d), src.weather(spark, d))
+    features = fx.quarter_hour_features(src.series(spark, d))
     windows = fx.full_windows(fx.sliding_window_array(features, FEATURE_COLUMNS))
     flat = windows.withColumn("w", fx.flatten_window("window"))
     return flat.select("region", "ts", F.size("w").cast("bigint").alias("n_values"), _digest(F.col("w")).alias("digest"))

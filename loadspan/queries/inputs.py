@@ -46,6 +46,11 @@ def recent(spark: SparkSession, d: str) -> DataFrame:
     return tables.load_table(events(spark, d), axis(spark, d), SLOTS_PER_WEEK)
 
 
+def series(spark: SparkSession, d: str) -> DataFrame:
+    """Load and weather side by side, from one pass over the events."""
+    return tables.series_table(events(spark, d), axis(spark, d))
+
+
 def weather(spark: SparkSession, d: str) -> DataFrame:
     return tables.weather_table(events(spark, d), axis(spark, d))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loadspan.config import FEATURE_COLUMNS
+from loadspan.config import FEATURE_COLUMNS, SLOTS_PER_WEEK
 from loadspan.operators import features as fx
 from loadspan.operators import models, reshape, stats
 from loadspan.operators.forecast import residual_quantile
@@ -14,6 +14,7 @@ from loadspan.queries.base import REGIONS
 from loadspan.queries.inputs import rounded
 from loadspan.queries.registry import query
 from loadspan.session import shared_dir
+from loadspan.sources import tables
 from loadspan.sources.stage import staged
 
 COLUMNS = [*FEATURE_COLUMNS, "load"]
@@ -21,7 +22,7 @@ COLUMNS = [*FEATURE_COLUMNS, "load"]
 
 def split_rows(spark, d):
     """Next-step rows with their chronological part."""
-    table = fx.quarter_hour_features(src.load(spark, d), src.weather(spark, d))
+    table = fx.quarter_hour_features(src.series(spark, d))
     rows = models.min_sample_guard(models.next_step_rows(table))
     return staged(reshape.chrono_split(rows).drop("idx", "n"), "next-step")
 
@@ -42,7 +43,7 @@ def score(scored):
 def feature_select(spark, d):
     from pyspark.ml.functions import vector_to_array
 
-    table = fx.quarter_hour_features(src.load(spark, d), src.weather(spark, d))
+    table = fx.quarter_hour_features(src.series(spark, d))
     vector = models.feature_select(table).withColumn("a", vector_to_array("raw"))
     return vector.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("a")).alias("width"))
 
@@ -82,9 +83,9 @@ def model_conformal(spark, d):
 @query("direct_forecast")
 def direct_forecast(spark, d):
     """Forecast of each region at each horizon from its newest features, with its interval."""
-    load, weather = src.load(spark, d), src.weather(spark, d)
-    ensemble, qhat = batch.train(load, weather, ("forest", "linear"))
-    newest = models.direct_scoring_rows(fx.quarter_hour_features(load, weather))
+    series = src.series(spark, d)
+    ensemble, qhat = batch.train(series, algorithms=("forest", "linear"))
+    newest = models.direct_scoring_rows(fx.quarter_hour_features(series))
     from loadspan.operators.forecast import prediction_interval
 
     scored = prediction_interval(ensemble.transform(newest), qhat, ["region", "horizon"])
@@ -132,8 +133,9 @@ def model_store(spark, d):
 @query("deployment")
 def deployment(spark, d):
     """One run of the deployment plan, its document flattened to anchors."""
-    load, weather = src.load(spark, d), src.weather(spark, d)
-    ensemble, qhat = batch.train(load, weather, ("linear",))
-    document, _ = batch.deploy(load, weather, ensemble, staged(qhat, "qhat"))
+    ensemble, qhat = batch.train(src.series(spark, d), algorithms=("linear",))
+    # the longest lag before the window of statistics: 8 days would do, two weeks are two whole seasons
+    recent = tables.series_table(src.events(spark, d), src.axis(spark, d), 2 * SLOTS_PER_WEEK)
+    document, _ = batch.deploy(recent, ensemble, staged(qhat, "qhat"))
     anchors = document.select("timestamp", F.explode("predictions").alias("region", "m"))
     return rounded(anchors.select("region", F.explode("m").alias("horizon", "point")), 4)

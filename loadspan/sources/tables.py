@@ -12,7 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadspan.config import STEP_MINUTES
+from loadspan.config import STEP_MINUTES, WEATHER_COLUMNS
 from loadspan.functions.time import floor_15min, floor_day
 from loadspan.session import shuffle_width
 
@@ -107,11 +107,13 @@ def observed_load(events: DataFrame) -> DataFrame:
     )
 
 
-def observed_weather(events: DataFrame) -> DataFrame:
+def observed_series(events: DataFrame) -> DataFrame:
+    """Load and weather per region and observed step, in one pass over the events."""
     reading = F.get_json_object("props", "$.k").cast("double")
     return (
         events.groupBy(F.col("event_type").alias("region"), floor_15min("ts").alias("ts"))
         .agg(
+            F.round(F.sum("value"), 6).alias("load"),
             F.round(F.avg(reading), 6).alias("temperature"),
             F.count(F.lit(1)).cast("double").alias("humidity"),
             F.max("value").alias("solar_irradiance"),
@@ -119,6 +121,11 @@ def observed_weather(events: DataFrame) -> DataFrame:
     )
 
 
+def observed_weather(events: DataFrame) -> DataFrame:
+    """Weather per region and observed step; the unused sum is pruned from the plan."""
+    return observed_series(events).drop("load")
+
+
 def load_table(events: DataFrame, axis: Axis, trailing_rows: int | None = None) -> DataFrame:
     """Dense load of all regions, or of the last ``trailing_rows`` steps.
 
@@ -132,6 +139,16 @@ def load_table(events: DataFrame, axis: Axis, trailing_rows: int | None = None)
     return dense_grid(observed_load(events), regions, lo, axis.hi, ["load"])
 
 
+def series_table(events: DataFrame, axis: Axis, trailing_rows: int | None = None) -> DataFrame:
+    """Dense load and weather side by side: one scan, one aggregation, one join with the grid."""
+    regions = region_keys(events, "event_type")
+    lo = axis.lo
+    if trailing_rows is not None:
+        lo = axis.back(trailing_rows)
+        events = events.filter(F.col("ts") >= lo)
+    return dense_grid(observed_series(events), regions, lo, axis.hi, ["load", *WEATHER_COLUMNS])
+
+
 def weather_table(events: DataFrame, axis: Axis, trailing_rows: int | None = None) -> DataFrame:
     """Dense weather of all regions, or of the last ``trailing_rows`` steps."""
     regions = region_keys(events, "event_type")
@@ -139,9 +156,7 @@ def weather_table(events: DataFrame, axis: Axis, trailing_rows: int | None = Non
     if trailing_rows is not None:
         lo = axis.back(trailing_rows)
         events = events.filter(F.col("ts") >= lo)
-    return dense_grid(
-        observed_weather(events), regions, lo, axis.hi, ["temperature", "humidity", "solar_irradiance"]
-    )
+    return dense_grid(observed_weather(events), regions, lo, axis.hi, WEATHER_COLUMNS)
 
 
 def observed_daily(orders: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:

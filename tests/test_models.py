@@ -67,9 +67,10 @@ def test_direct_rows_label_each_horizon(series, weather):
 
 
 def test_train_deploy_and_snapshot(spark, series, weather, tmp_path):
-    ensemble, qhat = batch.train(series, weather, ("linear", "forest"))
+    both = series.join(weather, ["region", "ts"])
+    ensemble, qhat = batch.train(both, ("linear", "forest"))
     assert {(r.region, r.horizon) for r in qhat.collect()} == {(r, h) for r in ("region_1", "region_2") for h in HORIZON_STEPS}
-    documents, found = batch.deploy(series, weather, ensemble, qhat)
+    documents, found = batch.deploy(both, ensemble, qhat)
     path = str(tmp_path / "snapshot")
     snapshot.write_snapshot(documents, path)
     doc = snapshot.read_snapshot(spark, path).first()
