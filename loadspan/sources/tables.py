@@ -68,14 +68,19 @@ def spine(regions: DataFrame, lo: Column, hi: Column, minutes: int = STEP_MINUTE
     Regions are spread over the full shuffle width before the explode: they are few bytes, so
     adaptive coalescing would otherwise give the whole expansion to one task. The hash of the
     region is the key because a repartition by the region itself is planned away after a
-    grouping by region.
+    grouping by region. Days come first and their steps second, because a sequence between two
+    constants would be folded into the plan, step by step.
     """
     width = shuffle_width(regions.sparkSession)
+    first_day, last_day = (t.cast("date").cast("timestamp_ntz") for t in (lo, hi))
     step = F.expr(f"INTERVAL {minutes} MINUTES")
+    last_step = F.col("_day") + F.expr(f"INTERVAL {24 * 60 - minutes} MINUTES")
     return (
         regions.select("region")
         .repartition(width, F.xxhash64("region"))
-        .select("region", F.explode(F.sequence(lo, hi, step)).alias("ts"))
+        .select("region", F.explode(F.sequence(first_day, last_day, F.expr("INTERVAL 1 DAY"))).alias("_day"))
+        .select("region", F.explode(F.sequence(F.col("_day"), last_step, step)).alias("ts"))
+        .filter(F.col("ts").between(lo, hi))
     )
 
 
