@@ -12,6 +12,7 @@ from loadspan.config import (
 )
 from loadspan.functions.time import calendar, floor_hour
 from loadspan.plans.blocks import with_window_columns
+from loadspan.plans.skew import salted_join
 
 
 def reach(rows: int, minutes: int = STEP_MINUTES) -> str:
@@ -53,6 +54,14 @@ def weather_join(features: DataFrame, weather: DataFrame) -> DataFrame:
     return features.join(weather, ["region", "ts"], "left")
 
 
+def impute_weather(series: DataFrame, columns: Iterable[str] = WEATHER_COLUMNS) -> DataFrame:
+    """Missing readings become the mean of their region, for learners that need a row for every step; null where a region has none."""
+    columns = list(columns)
+    means = series.groupBy("region").agg(*[F.avg(c).alias(f"_{c}") for c in columns])
+    filled = salted_join(series, means, ["region"], ["ts"])
+    return filled.select([F.coalesce(c, f"_{c}").alias(c) if c in columns else F.col(c) for c in series.columns])
+
+
 def drop_warmup(features: DataFrame) -> DataFrame:
     """Drop rows with any missing feature, which is the warm-up of the longest lag."""
     return features.na.drop("any")

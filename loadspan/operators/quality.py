@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadspan.config import STEP_MINUTES
@@ -10,17 +10,22 @@ from loadspan.functions.time import minutes_between
 from loadspan.plans.blocks import with_previous
 
 
-def grid_regularity(series: DataFrame, minutes: int = STEP_MINUTES, block_days: float = 1 / 24) -> DataFrame:
+def grid_regularity(series: DataFrame, minutes: int = STEP_MINUTES, block_days: float = 1 / 1440) -> DataFrame:
     """Per region: steps that are not ``minutes`` long, timestamps off the grid, with seconds.
 
-    Raw events may be many per region and minute, so a sort group covers an hour of one region.
+    Rows of equal time are counted before they move, and a sort group covers the different times of one minute of a region.
     """
+    times = series.groupBy("region", "ts").agg(F.count(F.lit(1)).alias("_n"))
     gap = minutes_between("ts", "previous")
-    return with_previous(series, ["region"], "ts", days=block_days).groupBy("region").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("previous").isNotNull() & (gap != minutes)).alias("irregular_steps"),
-        F.count_if(F.minute("ts") % minutes != 0).alias("off_grid_minutes"),
-        F.count_if(F.extract(F.lit("SECOND"), F.col("ts")) != 0).alias("with_seconds"),
+
+    def counted(condition) -> Column:
+        return F.sum(F.when(condition, F.col("_n")).otherwise(0))
+
+    irregular = F.col("_n") - 1 + F.when(F.col("previous").isNotNull() & (gap != minutes), 1).otherwise(0)
+    return with_previous(times, ["region"], "ts", days=block_days).groupBy("region").agg(
+        F.sum("_n").alias("rows"), F.sum(irregular).alias("irregular_steps"),
+        counted(F.minute("ts") % minutes != 0).alias("off_grid_minutes"),
+        counted(F.extract(F.lit("SECOND"), F.col("ts")) != 0).alias("with_seconds"),
     )
 
 

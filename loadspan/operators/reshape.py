@@ -10,26 +10,28 @@ from pyspark.sql import types as T
 
 from loadspan.functions.time import steps_after
 from loadspan.plans.blocks import with_position
+from loadspan.plans.skew import salted_join
 from loadspan.config import STEP_MINUTES
 
 
-def region_canonical(df: DataFrame, source: str = "source_name", max_regions: int = 8) -> DataFrame:
-    """Rename the first ``max_regions`` source names, in order, to ``region_1..n``; others keep theirs.
+def region_canonical(df: DataFrame, source: str = "source_name") -> DataFrame:
+    """Rename all source names, in order, to ``region_1..n``; a null name stays null.
 
-    The mapping holds at most ``max_regions`` rows, so broadcasting it is bounded.
+    One task ranks the distinct names, no other rows; a name with many rows is joined by many tasks.
     """
-    first = df.select(F.col(source)).distinct().orderBy(source).limit(max_regions)
+    names = df.select(F.col(source)).where(F.col(source).isNotNull()).distinct()
     rank = F.row_number().over(Window.orderBy(source))
-    mapping = first.select(source, F.concat(F.lit("region_"), rank.cast("string")).alias("_canonical"))
-    return (
-        df.join(F.broadcast(mapping), source, "left")
-        .withColumn("region", F.coalesce("_canonical", source))
-        .drop("_canonical")
-    )
+    mapping = names.select(source, F.concat(F.lit("region_"), rank.cast("string")).alias("region"))
+    return salted_join(df, mapping, [source], df.columns, "left")
+
+
+def region_names(df: DataFrame) -> list[str]:
+    """Names of all regions, in order, for the columns of a wide table; a wide table has one for each anyway."""
+    return [r.region for r in df.select("region").where(F.col("region").isNotNull()).distinct().orderBy("region").collect()]
 
 
 def long_to_wide(df: DataFrame, regions: Sequence[str], value: str) -> DataFrame:
-    """One column per named region. The list is given, so no job runs to find it."""
+    """One column per named region. With the list given, no job runs to find it."""
     return df.groupBy("ts").pivot("region", list(regions)).agg(F.first(value))
 
 

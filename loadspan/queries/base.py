@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loadspan.config import (
-    FEATURE_COLUMNS, HORIZON_STEPS, LAG_COLUMNS, ROLLING_LAG_HOURS, ROLLING_WINDOWS, SLOTS_PER_HOUR, WINDOW_ROWS,
+    FEATURE_COLUMNS, HORIZON_STEPS, LAG_COLUMNS, ROLLING_LAG_HOURS, ROLLING_WINDOWS, SLOTS_PER_HOUR, WEATHER_COLUMNS,
+    WINDOW_ROWS,
 )
 from loadspan.functions.time import calendar, floor_15min, steps_after, us_holiday
 from loadspan.operators import features as fx
@@ -18,7 +19,9 @@ from loadspan.queries.registry import query
 from loadspan.queries.sqlbase import sql
 from loadspan.sources import tables
 
+# Columns of the wide table in the SQL; the query takes its names from the data.
 REGIONS = ["click", "error", "purchase", "signup", "view"]
+COMPLETE = "lag_168h IS NOT NULL AND temperature IS NOT NULL AND humidity IS NOT NULL AND solar_irradiance IS NOT NULL"
 FEATURE_SQL = ", ".join(
     f"round({c} + 1e-9, 6) AS {c}" if c in LAG_COLUMNS + ["temperature", "humidity", "solar_irradiance"] else c
     for c in FEATURE_COLUMNS
@@ -53,13 +56,14 @@ def region_canonical(spark, d):
 @query("long_to_wide", sql("SELECT ts, " + ", ".join(
     f"max(load) FILTER (WHERE region = '{r}') AS \"{r}\"" for r in REGIONS) + " FROM load GROUP BY ts", "load"))
 def long_to_wide(spark, d):
-    return reshape.long_to_wide(src.load(spark, d), REGIONS, "load")
+    load = src.load(spark, d)
+    return reshape.long_to_wide(load, reshape.region_names(src.regions(spark, d)), "load")
 
 
 @query("wide_to_long", sql("SELECT region, ts, load FROM load", "load"))
 def wide_to_long(spark, d):
-    wide = reshape.long_to_wide(src.load(spark, d), REGIONS, "load")
-    return reshape.wide_to_long(wide, REGIONS, "load")
+    names = reshape.region_names(src.regions(spark, d))
+    return reshape.wide_to_long(reshape.long_to_wide(src.load(spark, d), names, "load"), names, "load")
 
 
 @query("narrow_types", """SELECT column_name, min_value, max_value,
@@ -83,7 +87,7 @@ def narrow_types(spark, d):
 
 
 @query("drop_warmup", sql(f"SELECT region, ts, round(load + 1e-9, 6) AS load, {FEATURE_SQL} FROM features "
-       "WHERE lag_168h IS NOT NULL", "features"))
+       f"WHERE {COMPLETE}", "features"))
 def drop_warmup(spark, d):
     return rounded(fx.quarter_hour_features(src.series(spark, d)))
 
@@ -130,8 +134,8 @@ def weather_join(spark, d):
     return fx.weather_join(tables.observed_load(events), tables.observed_weather(events).filter("humidity > 1"))
 
 
-@query("target_align", sql("""SELECT region, ts, load FROM load l WHERE EXISTS (
-    SELECT 1 FROM features f WHERE f.region = l.region AND f.ts = l.ts AND f.lag_168h IS NOT NULL)""",
+@query("target_align", sql(f"""SELECT region, ts, load FROM load l WHERE EXISTS (
+    SELECT 1 FROM features f WHERE f.region = l.region AND f.ts = l.ts AND {COMPLETE})""",
     "load", "features"))
 def target_align(spark, d):
     return reshape.target_align(src.load(spark, d), fx.quarter_hour_features(src.series(spark, d)))
@@ -230,7 +234,8 @@ def hourly_resample(spark, d):
     CAST(CAST(ts AS DATE) IN (SELECT d FROM holidays) AS INTEGER) AS is_holiday,
     lag(load, 1) OVER w AS lag_1h, lag(load, 6) OVER w AS lag_6h, lag(load, 24) OVER w AS lag_24h,
     lag(load, 48) OVER w AS lag_48h, lag(load, 168) OVER w AS lag_168h, temperature, humidity, solar_irradiance
-    FROM hourly WINDOW w AS (PARTITION BY region ORDER BY ts)) q WHERE lag_168h IS NOT NULL""",
+    FROM hourly WINDOW w AS (PARTITION BY region ORDER BY ts)) q WHERE lag_168h IS NOT NULL AND temperature IS NOT NULL
+        AND humidity IS NOT NULL AND solar_irradiance IS NOT NULL""",
     "load", "weather", "holidays", extra=HOURLY))
 def hourly_lag_features(spark, d):
     return rounded(fx.hourly_features(src.series(spark, d)))
@@ -275,11 +280,12 @@ def left_pad_window(spark, d):
 @query("flatten_window", sql("""SELECT region, ts, len(w) AS n_values,
     md5(array_to_string([CAST(CAST(round(x * 100) AS BIGINT) AS VARCHAR) FOR x IN w], ',')) AS digest FROM (
     SELECT region, ts, flatten(list([hour, day_of_week, month, is_weekend, is_holiday, lag_1h, lag_6h, lag_24h, lag_48h,
-        lag_168h, temperature, humidity, solar_irradiance]) OVER (PARTITION BY region ORDER BY ts
+        lag_168h, coalesce(temperature, 0), coalesce(humidity, 0), coalesce(solar_irradiance, 0)]) OVER (PARTITION BY region ORDER BY ts
         ROWS BETWEEN 96 PRECEDING AND 1 PRECEDING)) AS w
     FROM features WHERE lag_168h IS NOT NULL) q WHERE len(w) = 1248""", "features"))
 def flatten_window(spark, d):
-    features = fx.quarter_hour_features(src.series(spark, d))
+    # windows count rows, so they need every step: missing weather is 0 here, by choice of this query
+    features = fx.quarter_hour_features(src.series(spark, d).na.fill(0.0, WEATHER_COLUMNS))
     windows = fx.full_windows(fx.sliding_window_array(features, FEATURE_COLUMNS))
     flat = windows.withColumn("w", fx.flatten_window("window"))
     return flat.select("region", "ts", F.size("w").cast("bigint").alias("n_values"), _digest(F.col("w")).alias("digest"))

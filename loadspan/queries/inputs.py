@@ -13,7 +13,7 @@ from loadspan.sources import tables
 
 # Tables opened and time axes read so far by the running query; cleared before each one.
 _tables: dict[tuple[str, str], DataFrame] = {}
-_axes: dict[str, tables.Axis] = {}
+_axes: dict[str | tuple[str, str], tables.Axis] = {}
 
 
 def forget() -> None:
@@ -32,6 +32,10 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events")
 
 
+def regions(spark: SparkSession, d: str) -> DataFrame:
+    return tables.region_keys(events(spark, d), "event_type")
+
+
 def axis(spark: SparkSession, d: str) -> tables.Axis:
     if d not in _axes:
         _axes[d] = tables.read_axis(events(spark, d))
@@ -97,7 +101,9 @@ def latest_anchors(spark: SparkSession, d: str) -> DataFrame:
 
 def load_daily(spark: SparkSession, d: str, latest_only: bool = False) -> DataFrame:
     orders, customer, nation, region = (table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
-    days = tables.read_axis(orders, "o_orderdate", minutes=24 * 60)
+    if (d, "days") not in _axes:
+        _axes[d, "days"] = tables.read_axis(orders, "o_orderdate", minutes=24 * 60)
+    days = _axes[d, "days"]
     return tables.daily_table(orders, customer, nation, region, days, latest_only)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "bounds": ((), """SELECT date_trunc('day', min(ts)) AS lo,
-        date_trunc('day', max(ts)) + INTERVAL 23 HOUR + INTERVAL 45 MINUTE AS hi FROM events"""),
+        time_bucket(INTERVAL 15 MINUTE, max(ts)) AS hi FROM events"""),
     "regions": ((), "SELECT DISTINCT event_type AS region FROM events"),
     "spine": (("bounds",), "SELECT unnest(generate_series(lo, hi, INTERVAL 15 MINUTE)) AS ts FROM bounds"),
     "observed": ((), """SELECT event_type AS region, time_bucket(INTERVAL 15 MINUTE, ts) AS ts,
@@ -14,8 +14,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "sensed": ((), """SELECT event_type AS region, time_bucket(INTERVAL 15 MINUTE, ts) AS ts,
         round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS temperature,
         CAST(count(*) AS DOUBLE) AS humidity, max(value) AS solar_irradiance FROM events GROUP BY 1, 2"""),
-    "weather": (("regions", "spine", "sensed"), """SELECT r.region, s.ts, coalesce(o.temperature, 0.0) AS temperature,
-        coalesce(o.humidity, 0.0) AS humidity, coalesce(o.solar_irradiance, 0.0) AS solar_irradiance
+    "weather": (("regions", "spine", "sensed"), """SELECT r.region, s.ts, o.temperature, o.humidity, o.solar_irradiance
         FROM regions r CROSS JOIN spine s LEFT JOIN sensed o ON o.region = r.region AND o.ts = s.ts"""),
     "recent": (("load", "bounds"), """SELECT region, ts, load FROM load, bounds
         WHERE ts > hi - INTERVAL 7 DAY"""),

@@ -1,13 +1,15 @@
 """Canonical tables from raw event, order and line tables.
 
 ``load(region, ts, load)`` and ``weather(region, ts, temperature, humidity, solar_irradiance)``
-are dense: every region has every 15-minute step between the first and the last UTC day.
+are dense: every region has every 15-minute step from the first UTC day to the newest step. Steps without
+events have load 0 and no weather.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,13 +25,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Axis:
-    """First and last UTC day of a table, as constants.
+    """First UTC day and newest step of a table, as constants.
 
     Constants reach the scans as pushed filters and keep one subquery per use out of the plans.
     """
 
     first: date
-    last: date
+    newest: datetime
     minutes: int = STEP_MINUTES
 
     @property
@@ -38,16 +40,22 @@ class Axis:
 
     @property
     def hi(self) -> Column:
-        """Last step of the last day."""
-        return ntz(self.last) + F.expr(f"INTERVAL {24 * 60 - self.minutes} MINUTES")
+        """The newest step: the one that holds the newest row, not the end of its day."""
+        return ntz(self.newest)
 
     def back(self, rows: int) -> Column:
         """First step of the last ``rows`` steps."""
         return self.hi - F.expr(f"INTERVAL {(rows - 1) * self.minutes} MINUTES")
 
 
-def ntz(day: date) -> Column:
-    return F.lit(day.isoformat()).cast("timestamp_ntz")
+def ntz(at: date | datetime) -> Column:
+    return F.lit(at.isoformat()).cast("timestamp_ntz")
+
+
+def floor_step(at: datetime, minutes: int) -> datetime:
+    """Begin of the step of the day that holds a time."""
+    day = at.replace(hour=0, minute=0, second=0, microsecond=0)
+    return day + timedelta(minutes=(at - day) // timedelta(minutes=minutes) * minutes)
 
 
 def read_axis(facts: DataFrame, ts: str = "ts", minutes: int = STEP_MINUTES) -> Axis:
@@ -55,7 +63,7 @@ def read_axis(facts: DataFrame, ts: str = "ts", minutes: int = STEP_MINUTES) ->
     row = facts.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
     if row.lo is None:
         raise ValueError("the table has no timestamps")
-    return Axis(row.lo.date(), row.hi.date(), minutes)
+    return Axis(row.lo.date(), floor_step(row.hi, minutes), minutes)
 
 
 def region_keys(facts: DataFrame, region: str) -> DataFrame:
@@ -90,14 +98,14 @@ def dense_grid(
     lo: Column,
     hi: Column,
     values: list[str],
-    fill: float = 0.0,
+    fills: Mapping[str, float] = {"load": 0.0},
     minutes: int = STEP_MINUTES,
 ) -> DataFrame:
-    """Left-join facts keyed by ``(region, ts)`` to the spine and fill the gaps."""
+    """Left-join facts keyed by ``(region, ts)`` to the spine. Gaps of the values named in ``fills`` are filled, others stay null."""
     return (
         spine(regions, lo, hi, minutes)
         .join(facts, ["region", "ts"], "left")
-        .select("region", "ts", *[F.coalesce(F.col(v), F.lit(fill)).alias(v) for v in values])
+        .select("region", "ts", *[F.coalesce(F.col(v), F.lit(fills[v])).alias(v) if v in fills else F.col(v) for v in values])
     )
 
 
