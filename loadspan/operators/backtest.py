@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadspan.config import HORIZON_STEPS, SLOTS_PER_WEEK, WINDOW_ROWS
-from loadspan.operators.forecast import with_horizons
+from loadspan.config import HORIZON_STEPS, SLOTS_PER_WEEK, STEP_MINUTES, WINDOW_ROWS
+from loadspan.operators.forecast import horizon_array, with_horizons
 from loadspan.operators.stats import coverage, mae, mape, rmse, scaled
-from loadspan.plans.blocks import with_position
+from loadspan.plans.blocks import with_position, with_window_columns
+from loadspan.plans.skew import salted_join
 
 TRAIN_ROWS = 2880
 
@@ -58,34 +59,53 @@ def fold_rows(series: DataFrame, folds: DataFrame) -> DataFrame:
     return joined.withColumn("part", F.when(F.col("idx") >= F.col("test_start"), "test").otherwise("train"))
 
 
-def with_season(series: DataFrame, season: int = SLOTS_PER_WEEK) -> DataFrame:
-    """Value ``season`` positions earlier, by an equi-join on the position."""
-    earlier = series.select("region", (F.col("idx") + season).alias("idx"), F.col("load").alias("seasonal"))
-    return series.join(earlier, ["region", "idx"], "left")
+def seasonal_positions(load: DataFrame, season: int = SLOTS_PER_WEEK) -> DataFrame:
+    """Rows of a dense load with the value one season earlier, their position, and the length of their series."""
+    lagged = with_window_columns(
+        load, ["region"], "ts", lambda w: {"seasonal": F.lag("load", season).over(w)}, back=f"{season * STEP_MINUTES} MINUTES",
+    )
+    return with_position(lagged, ["region"], "ts", size="n")
+
+
+def in_folds(series: DataFrame, weeks: int = 4, test: int = SLOTS_PER_WEEK, train: int = TRAIN_ROWS) -> DataFrame:
+    """Each row once for every fold it is in. A fold follows from the length of the series, so no table of folds is joined."""
+
+    def fold(week: Column) -> Column:
+        start = F.col("n") - (weeks - week + 1) * test
+        return F.struct(
+            week.alias("week"), F.greatest(F.lit(0), start - train).cast("bigint").alias("train_start"),
+            start.cast("bigint").alias("test_start"), (start + test).cast("bigint").alias("test_end"),
+        )
+
+    def holds(f: Column) -> Column:
+        inside = (F.col("idx") >= f["train_start"]) & (F.col("idx") < f["test_end"])
+        return inside & (f["train_start"] < f["test_start"]) & (f["test_end"] <= F.col("n"))
+
+    folds = F.filter(F.transform(F.sequence(F.lit(1), F.lit(weeks)), fold), holds)
+    rows = series.select("*", F.explode(folds).alias("_f")).select(*series.columns, "_f.*").drop("n")
+    return rows.withColumn("part", F.when(F.col("idx") >= F.col("test_start"), "test").otherwise("train"))
 
 
 def scored_folds(load: DataFrame, weeks: int = 4, season: int = SLOTS_PER_WEEK) -> DataFrame:
     """Fold rows with the forecast of test rows and the seasonal difference of training rows.
 
     The forecast is the value one season earlier when the fold trains on at least a season, else
-    the last training value.
+    the last training value, of which there is one for each region and fold.
     """
-    series = with_position(load, ["region"], "ts")
-    sizes = series.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
-    folds = backtest_folds(sizes, weeks)
-    last = folds.join(
-        series.select("region", (F.col("idx") + 1).alias("test_start"), F.col("load").alias("last_train")),
-        ["region", "test_start"],
-    )
-    rows = fold_rows(with_season(series, season), last)
+    rows = in_folds(seasonal_positions(load, season), weeks)
+    last = rows.filter(F.col("idx") == F.col("test_start") - 1).select("region", "week", F.col("load").alias("last_train"))
+    rows = salted_join(rows, last, ["region", "week"], ["ts"], "left")
     enough = F.col("test_start") - F.col("train_start") >= season
     is_test = F.col("part") == "test"
     return rows.withColumn(
         "predicted", F.when(is_test, F.when(enough, F.col("seasonal")).otherwise(F.col("last_train")))
-    ).withColumn(
-        "naive_error",
-        F.when(~is_test & (F.col("idx") - season >= F.col("train_start")), F.abs(F.col("load") - F.col("seasonal"))),
-    )
+    ).withColumn("naive_error", naive_error(season))
+
+
+def naive_error(season: int = SLOTS_PER_WEEK) -> Column:
+    """Seasonal difference of a training row whose earlier value is in the training rows too."""
+    trained = (F.col("part") == "train") & (F.col("idx") - season >= F.col("train_start"))
+    return F.when(trained, F.abs(F.col("load") - F.col("seasonal")))
 
 
 def rolling_backtest(load: DataFrame, weeks: int = 4, predictions: DataFrame | None = None) -> DataFrame:
@@ -121,14 +141,13 @@ def backtest_overall(regions: DataFrame, weeks: int = 4) -> DataFrame:
     ).withColumn("total_weeks", F.lit(weeks))
 
 
-def horizon_origins(folds: DataFrame, window: int = WINDOW_ROWS, every: int = 4, limit: int | None = 50) -> DataFrame:
+def horizon_origins(folds: DataFrame, window: int = WINDOW_ROWS, every: int = 4, limit: int | None = None) -> DataFrame:
     """Forecast origins per fold and horizon: the last index seen before forecasting.
 
     Origins follow each other ``every`` steps from one window into the test rows; the horizon must
-    end inside them. ``limit`` bounds the offset, as a sampling choice; None takes the whole test.
+    end inside them. ``limit`` bounds the offset where a caller wants fewer.
     """
-    length = F.col("test_end") - F.col("test_start")
-    last = length - F.col("steps") - window - 1
+    last = F.col("test_end") - F.col("test_start") - F.col("steps") - window - 1
     if limit is not None:
         last = F.least(last, F.lit(limit - 1))
     offsets = F.when(last >= 0, F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"), F.lit(every).cast("bigint")))
@@ -140,43 +159,53 @@ def horizon_origins(folds: DataFrame, window: int = WINDOW_ROWS, every: int = 4,
     )
 
 
+def horizon_entries(horizons: Mapping[str, int], window: int, every: int, limit: int | None) -> Column:
+    """Horizons for which a test row is the target of an origin.
+
+    Origins follow each other ``every`` steps from one window into the test rows, and the horizon must end inside them.
+    """
+    offset = F.col("idx") - F.col("test_start")
+    length = F.col("test_end") - F.col("test_start")
+
+    def holds(h: Column) -> Column:
+        origin = offset - h["steps"] - (window - 1)
+        ok = (origin >= 0) & (origin % every == 0) & (origin + window + h["steps"] < length)
+        return ok if limit is None else ok & (origin < limit)
+
+    return F.filter(horizon_array(horizons), holds)
+
+
 def horizon_backtest(
-    load: DataFrame, weeks: int = 4, every: int = 4, limit: int | None = 50, band: float = 0.1,
-    horizons: dict[str, int] = HORIZON_STEPS,
+    load: DataFrame, weeks: int = 4, every: int = 4, limit: int | None = None, band: float = 0.1,
+    horizons: Mapping[str, int] = HORIZON_STEPS, window: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """Errors per region and horizon of the seasonal-naive forecast at many origins, last fold.
+    """Errors per region, fold and horizon of the seasonal-naive forecast at all origins.
 
-    The band is ``band`` of the forecast on both sides. Scale of MASE: seasonal differences of the
-    training rows.
+    The band is ``band`` of the forecast on both sides. Scale of MASE: seasonal differences of the training rows, which are
+    summed in the same pass as a group without a horizon. Steps without a value a season earlier have no forecast and are no samples. ``limit`` bounds the origins where a caller wants fewer.
     """
-    series = with_season(with_position(load, ["region"], "ts"))
-    sizes = series.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
-    folds = backtest_folds(sizes, weeks).filter(F.col("week") == weeks)
-    origins = horizon_origins(folds, every=every, limit=limit).select(
-        "region", "horizon", "steps", (F.col("origin") + F.col("steps")).alias("idx")
-    )
-    scored = origins.join(series, ["region", "idx"]).select(
-        "region", "horizon", "steps", "load", F.col("seasonal").alias("predicted")
-    )
+    rows = in_folds(seasonal_positions(load), weeks).withColumn("naive_error", naive_error())
+    none = F.array(F.struct(F.lit(None).cast("string").alias("horizon"), F.lit(None).cast("int").alias("steps"),
+                            F.lit(None).cast("int").alias("cadence_minutes")))
+    entries = F.when(F.col("part") == "train", none).when(F.col("seasonal").isNotNull(), horizon_entries(horizons, window, every, limit))
+    each = rows.select("region", "week", "load", F.col("seasonal").alias("predicted"), "naive_error", F.explode(entries).alias("_h"))
     width = F.abs("predicted") * band
-    errors = scored.groupBy("region", "horizon", "steps").agg(
+    errors = each.select("*", "_h.horizon", "_h.steps").groupBy("region", "week", "horizon", "steps").agg(
         mape("load", "predicted").alias("mape"),
         rmse("load", "predicted").alias("rmse"),
         mae("load", "predicted").alias("_mae"),
         coverage("load", F.col("predicted") - width, F.col("predicted") + width).alias("coverage"),
-        F.count(F.lit(1)).alias("samples"),
+        F.count(F.lit(1)).alias("samples"), F.avg("naive_error").alias("_naive"),
     )
-    rows = fold_rows(series, folds)
-    trained = (F.col("part") == "train") & (F.col("idx") - SLOTS_PER_WEEK >= F.col("train_start"))
-    naive = rows.filter(trained).groupBy("region").agg(F.avg(F.abs(F.col("load") - F.col("seasonal"))).alias("_naive"))
-    return errors.join(naive, "region", "left").select(
-        "region", "horizon", "steps", "mape", "rmse", scaled(F.col("_mae"), F.col("_naive")).alias("mase"),
+    scale = F.max(F.when(F.col("horizon").isNull(), F.col("_naive"))).over(Window.partitionBy("region", "week"))
+    return errors.withColumn("_scale", scale).filter(F.col("horizon").isNotNull()).select(
+        "region", "week", "horizon", "steps", "mape", "rmse", scaled(F.col("_mae"), F.col("_scale")).alias("mase"),
         "coverage", "samples",
     )
 
 
 def error_by_horizon(errors: DataFrame) -> DataFrame:
-    """Means over regions per horizon, then an ``overall`` row with the mean over horizons."""
+    """Means over regions and folds per horizon, then an ``overall`` row with the mean over horizons."""
     measures = ["mape", "rmse", "mase", "coverage"]
     by_horizon = errors.groupBy("horizon").agg(
         *[F.avg(m).alias(m) for m in measures], F.sum("samples").alias("samples")

@@ -52,6 +52,14 @@ def history_hours(window: int = WINDOW_ROWS, longest_lag: int = SLOTS_PER_WEEK,
     return max(least, (longest_lag + window) * STEP_MINUTES // 60, hourly_window + longest_hourly_lag)
 
 
+def horizon_of(step: str | Column) -> Column:
+    """Name of the shortest horizon that reaches a step, else null."""
+    out = F.lit(None).cast("string")
+    for horizon, steps in sorted(HORIZON_STEPS.items(), key=lambda kv: -kv[1]):
+        out = F.when(as_col(step) <= steps, horizon).otherwise(out)
+    return out
+
+
 def horizon_ending_at(step: str | Column) -> Column:
     """Name of the horizon whose last step this is, else null."""
     out = F.lit(None).cast("string")

@@ -81,9 +81,9 @@ def mape(spark, d):
     return rounded(naive_residuals(src.load(spark, d)).groupBy("region").agg(stats.mape("load", "predicted").alias("mape")))
 
 
-@query("mase", sql("""SELECT region, round(mase + 1e-9, 6) AS mase FROM weekly WHERE week = 4""", "load", extra=SERIES))
+@query("mase", sql("""SELECT region, CAST(week AS INTEGER) AS week, round(mase + 1e-9, 6) AS mase FROM weekly""", "load", extra=SERIES))
 def mase(spark, d):
-    return rounded(weekly(spark, d).filter("week = 4").select("region", "mase"))
+    return rounded(weekly(spark, d).select("region", "week", "mase"))
 
 
 @query("interval_coverage", sql("""SELECT s.region, round(100.0 * avg(CAST(load BETWEEN seasonal - qhat AND seasonal + qhat AS DOUBLE)) + 1e-9, 6) AS coverage,
@@ -124,22 +124,22 @@ def conformal_calibrate(spark, d):
     return rounded(calibrate(naive_residuals(src.load(spark, d))))
 
 
-HORIZON_ERRORS = SERIES + """, origin AS (SELECT f.region, h.horizon, h.steps, f.train_start, f.test_start,
+HORIZON_ERRORS = SERIES + """, origin AS (SELECT f.region, f.week, h.horizon, h.steps, f.train_start, f.test_start,
         f.test_start + o + 95 + h.steps AS idx FROM fold f CROSS JOIN horizons h
-        CROSS JOIN (SELECT unnest(generate_series(0, 671)) AS o) g WHERE f.week = 4 AND o + 96 + h.steps < 672),
-    naive AS (SELECT region, avg(naive_error) AS naive FROM scored WHERE week = 4 GROUP BY region),
-    horizon_errors AS (SELECT o.region, o.horizon, o.steps, avg(abs((load - seasonal) / load)) FILTER (WHERE load <> 0) * 100 AS mape,
+        CROSS JOIN (SELECT unnest(generate_series(0, 671)) AS o) g WHERE o + 96 + h.steps < 672),
+    naive AS (SELECT region, week, avg(naive_error) AS naive FROM scored GROUP BY region, week),
+    horizon_errors AS (SELECT o.region, o.week, o.horizon, o.steps, avg(abs((load - seasonal) / load)) FILTER (WHERE load <> 0) * 100 AS mape,
         sqrt(avg((load - seasonal) * (load - seasonal))) AS rmse, avg(abs(load - seasonal)) / nullif(max(naive), 0) AS mase,
         avg(CAST(load BETWEEN seasonal - 0.1 * abs(seasonal) AND seasonal + 0.1 * abs(seasonal) AS DOUBLE)) * 100 AS coverage,
-        count(*) AS samples FROM origin o JOIN series s ON s.region = o.region AND s.idx = o.idx
-        JOIN naive v ON v.region = o.region GROUP BY 1, 2, 3)"""
+        count(*) AS samples FROM origin o JOIN series s ON s.region = o.region AND s.idx = o.idx AND seasonal IS NOT NULL
+        JOIN naive v ON v.region = o.region AND v.week = o.week GROUP BY 1, 2, 3, 4)"""
 
 
 def horizon_errors(spark, d):
-    return bt.horizon_backtest(src.load(spark, d), every=1, limit=None)
+    return bt.horizon_backtest(src.load(spark, d), every=1)
 
 
-@query("horizon_backtest", sql("""SELECT region, horizon, steps, round(mape + 1e-9, 6) AS mape, round(rmse + 1e-9, 6) AS rmse,
+@query("horizon_backtest", sql("""SELECT region, CAST(week AS INTEGER) AS week, horizon, steps, round(mape + 1e-9, 6) AS mape, round(rmse + 1e-9, 6) AS rmse,
     round(mase + 1e-9, 6) AS mase, round(coverage + 1e-9, 6) AS coverage, samples FROM horizon_errors""",
     "load", "horizons", extra=HORIZON_ERRORS))
 def horizon_backtest(spark, d):
@@ -167,10 +167,15 @@ def format_metrics(spark, d):
     )
 
 
-@query("backtest_summary_text", sql("""SELECT printf('  %s: MAPE=%6s, MASE=%6s, Weeks=%d', region,
-    CASE WHEN mape IS NULL THEN 'N/A' ELSE printf('%.1f%%', mape) END,
-    CASE WHEN mase IS NULL THEN 'N/A' ELSE printf('%.3f', mase) END, weeks_tested) AS line FROM by_region""",
-    "load", extra=SERIES))
+PERCENT = "CASE WHEN {0} IS NULL THEN 'N/A' ELSE printf('%.1f%%', {0}) END"
+NUMBER = "CASE WHEN {0} IS NULL THEN 'N/A' ELSE printf('%.3f', {0}) END"
+SUMMARY_LINES = (
+    f"SELECT printf('  %s: MAPE=%6s, MASE=%6s, Weeks=%d', region, {PERCENT.format('mape')}, {NUMBER.format('mase')}, weeks_tested) "
+    "AS line FROM by_region"
+)
+
+
+@query("backtest_summary_text", sql(SUMMARY_LINES, "load", extra=SERIES))
 def backtest_summary_text(spark, d):
     from loadspan.functions.text import summary_line
 

@@ -71,21 +71,18 @@ def edge_pad(spark, d):
     )
 
 
-FILL_ANCHORS = ", fill AS (SELECT region, origin, horizon, steps, point FROM anchors WHERE steps <= 48 AND horizon <> '15min')"
-
-
 @query("anchor_step_fill", sql("""SELECT a.region, a.origin, CAST(n.i AS INTEGER) AS step, a.point, round(a.point * 0.9 + 1e-9, 6) AS lower,
-    round(a.point * 1.1 + 1e-9, 6) AS upper FROM (SELECT unnest(generate_series(1, 48)) AS i) n
+    round(a.point * 1.1 + 1e-9, 6) AS upper FROM (SELECT unnest(generate_series(1, 192)) AS i) n
     JOIN (SELECT *, lead(steps) OVER (PARTITION BY region, origin ORDER BY steps) AS next_steps,
-        lag(steps) OVER (PARTITION BY region, origin ORDER BY steps) AS prev_steps FROM fill) a
-    ON (n.i >= a.steps OR a.prev_steps IS NULL) AND n.i < coalesce(a.next_steps, 49)""",
-    *NEEDS, extra=EXTRA + FILL_ANCHORS))
+        lag(steps) OVER (PARTITION BY region, origin ORDER BY steps) AS prev_steps FROM anchors) a
+    ON (n.i >= a.steps OR a.prev_steps IS NULL) AND n.i < coalesce(a.next_steps, 193)""",
+    *NEEDS, extra=EXTRA))
 def anchor_step_fill(spark, d):
-    anchors = src.anchors(spark, d).filter((F.col("steps") <= 48) & (F.col("horizon") != "15min")).select(
+    anchors = src.anchors(spark, d).select(
         "region", "origin", F.col("steps").alias("step"), "point",
         F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"),
     )
-    return rounded(fc.anchor_step_fill(anchors, 48, ["region", "origin"]))
+    return rounded(fc.anchor_step_fill(anchors, 192, ["region", "origin"]))
 
 
 @query("region_horizon_lookup", sql("""SELECT r.region, h.horizon, h.steps, coalesce(p.point, 0.0) AS point
