@@ -6,6 +6,7 @@ against the same statistics. Scores are rounded to 6 places before they meet a t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loadspan.config import DEFAULTS, Thresholds
 from loadspan.operators.forecast import path_prefix, path_sum
-from loadspan.operators.stats import load_share, region_stats, safe_std, share_stats, system_total
+from loadspan.operators.stats import load_share, region_stats, safe_std, share_stats, system_total, with_share
 from loadspan.plans.blocks import with_window_columns
 
 FINDING = {
@@ -29,12 +30,15 @@ RULES = [
 ]
 
 
-def findings(df: DataFrame, rule: str, **columns: Column) -> DataFrame:
-    """Project to the common schema; columns not given are null."""
+def finding_columns(rule: str, **columns: Column) -> list[Column]:
+    """Columns of the common schema; those not given are null."""
     columns = {"rule": F.lit(rule), **columns}
-    return df.select(
-        *[columns.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in FINDING.items()]
-    )
+    return [columns.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in FINDING.items()]
+
+
+def findings(df: DataFrame, rule: str, **columns: Column) -> DataFrame:
+    """Project to the common schema."""
+    return df.select(*finding_columns(rule, **columns))
 
 
 def zscore(value: Column, mean: Column, std: Column) -> Column:
@@ -77,18 +81,24 @@ def anomaly_region(window: DataFrame, thresholds: Thresholds = DEFAULTS, scope:
                    exclude_current: bool = False) -> DataFrame:
     """Region against its own history."""
     hit = region_status(window, thresholds, scope, exclude_current).filter("is_anomaly")
-    return findings(
-        hit, "anomaly_region", region=F.col("region"), severity=severity(F.col("z_score"), thresholds),
-        z_score=F.col("z_score"), current_load=F.col("load"),
+    return hit.select(region_finding(F.col("z_score"), thresholds).alias("f")).select("f.*")
+
+
+def region_finding(z: Column, thresholds: Thresholds) -> Column:
+    """Finding of a row with ``load`` and its region's ``mean`` and ``std``."""
+    return F.struct(*finding_columns(
+        "anomaly_region", region=F.col("region"), severity=severity(z, thresholds), z_score=z, current_load=F.col("load"),
         expected_low=F.col("mean") - 2 * F.col("std"), expected_high=F.col("mean") + 2 * F.col("std"), ts=F.col("ts"),
-    )
+    ))
 
 
 def anomaly_forecast_anchor(window: DataFrame, anchors: DataFrame, thresholds: Thresholds = DEFAULTS) -> DataFrame:
     """Forecast at a horizon against the region's history. ``anchors``: region, origin, horizon, point."""
-    scored = anchors.join(region_stats(window), "region").withColumn(
-        "z", zscore(F.col("point"), F.col("mean"), F.col("std"))
-    )
+    return _anchor_findings(anchors.join(region_stats(window), "region"), thresholds)
+
+
+def _anchor_findings(known: DataFrame, thresholds: Thresholds) -> DataFrame:
+    scored = known.withColumn("z", zscore(F.col("point"), F.col("mean"), F.col("std")))
     return findings(
         scored.filter(F.col("z") > thresholds.forecast), "anomaly_forecast_anchor",
         region=F.col("region"), horizon=F.col("horizon"), severity=F.lit("forecast"), z_score=F.col("z"),
@@ -101,11 +111,14 @@ def anomaly_peer(window: DataFrame, thresholds: Thresholds = DEFAULTS, scope: st
     rows = scored_rows(window, scope)
     peers = rows.groupBy("ts").agg(F.avg("load").alias("mean"), safe_std("load").alias("std"))
     scored = rows.join(peers, "ts").withColumn("z", zscore(F.col("load"), F.col("mean"), F.col("std")))
-    return findings(
-        scored.filter(F.col("z") > thresholds.peer), "anomaly_peer", region=F.col("region"),
-        severity=severity(F.col("z"), thresholds), type=F.lit("peer"), z_score=F.col("z"),
+    return scored.filter(F.col("z") > thresholds.peer).select(peer_finding(F.col("z"), thresholds).alias("f")).select("f.*")
+
+
+def peer_finding(z: Column, thresholds: Thresholds) -> Column:
+    return F.struct(*finding_columns(
+        "anomaly_peer", region=F.col("region"), severity=severity(z, thresholds), type=F.lit("peer"), z_score=z,
         current_load=F.col("load"), ts=F.col("ts"),
-    )
+    ))
 
 
 def anomaly_share(window: DataFrame, thresholds: Thresholds = DEFAULTS, scope: str = "latest",
@@ -113,22 +126,33 @@ def anomaly_share(window: DataFrame, thresholds: Thresholds = DEFAULTS, scope: s
     """Share of the total: unusual, at least 40 %, or at least 15 points above its mean."""
     shares = load_share(window)
     history = share_stats(shares, stats)
-    share = F.round(F.col("share"), 6)
-    scored = (
-        scored_rows(shares, scope).join(history, "region")
-        .withColumn("z", zscore(F.col("share"), F.col("share_mean"), F.col("share_std")))
-        .withColumn("_large", share >= thresholds.share_absolute)
-        .withColumn("_grown", F.round(F.col("share") - F.col("share_mean"), 6) >= thresholds.share_increase)
-    )
-    hit = scored.filter((F.col("z") > thresholds.peer) | F.col("_large") | F.col("_grown"))
-    spread = 2 * F.col("share_std")
-    return findings(
-        hit, "anomaly_share", region=F.col("region"), type=F.lit("share"), z_score=F.col("z"),
-        severity=F.when(F.col("_large") | (F.col("z") > thresholds.high), "high").otherwise("medium"),
+    scored = scored_rows(shares, scope).join(history, "region")
+    return scored.filter(share_hit(thresholds)).select(share_finding(thresholds).alias("f")).select("f.*")
+
+
+def share_score() -> Column:
+    return zscore(F.col("share"), F.col("share_mean"), F.col("share_std"))
+
+
+def large_share(thresholds: Thresholds) -> Column:
+    return F.round(F.col("share"), 6) >= thresholds.share_absolute
+
+
+def share_hit(thresholds: Thresholds) -> Column:
+    grown = F.round(F.col("share") - F.col("share_mean"), 6) >= thresholds.share_increase
+    return (share_score() > thresholds.peer) | large_share(thresholds) | grown
+
+
+def share_finding(thresholds: Thresholds) -> Column:
+    """Finding of a row with its ``share`` and its region's ``share_mean`` and ``share_std``."""
+    z, spread = share_score(), 2 * F.col("share_std")
+    return F.struct(*finding_columns(
+        "anomaly_share", region=F.col("region"), type=F.lit("share"), z_score=z,
+        severity=F.when(large_share(thresholds) | (z > thresholds.high), "high").otherwise("medium"),
         current_share=F.col("share"),
         expected_low=F.greatest(F.col("share_mean") - spread, F.lit(0.0)),
         expected_high=F.least(F.col("share_mean") + spread, F.lit(1.0)), ts=F.col("ts"),
-    )
+    ))
 
 
 def total_stats(window: DataFrame) -> tuple[Column, Column]:
@@ -222,16 +246,18 @@ def anomaly_spike(window: DataFrame, anchors: DataFrame, thresholds: Thresholds
     return findings(
         jumps.filter((n > 10) & (F.col("z") > thresholds.spike)), "anomaly_spike", region=F.lit("TOTAL"),
         horizon=F.lit("15min"), severity=F.lit("forecast"), z_score=F.col("z"), predicted_load=F.col("point"),
-        note=F.lit("Spike vs recent total diffs"), ts=F.col("ts"),
+        note=F.lit("forecast jump against recent changes of the total"), ts=F.col("ts"),
     )
 
 
 def anomaly_region_path(window: DataFrame, forecast: DataFrame, end: Column,
                         thresholds: Thresholds = DEFAULTS) -> DataFrame:
     """Worst step of each region's path within each horizon."""
-    scored = path_prefix(forecast).join(region_stats(window), "region").withColumn(
-        "z", zscore(F.col("point"), F.col("mean"), F.col("std"))
-    )
+    return _path_findings(path_prefix(forecast).join(region_stats(window), "region"), end, thresholds)
+
+
+def _path_findings(known: DataFrame, end: Column, thresholds: Thresholds) -> DataFrame:
+    scored = known.withColumn("z", zscore(F.col("point"), F.col("mean"), F.col("std")))
     worst = worst_step(scored, ["region", "horizon"]).filter(F.col("z") > thresholds.forecast)
     return findings(
         worst, "anomaly_region_path", region=F.col("region"), horizon=F.col("horizon"), severity=F.lit("forecast"),
@@ -246,17 +272,33 @@ def anomaly_union(parts: list[DataFrame]) -> DataFrame:
 
 def all_rules(window: DataFrame, anchors: DataFrame, forecast: DataFrame, end: Column,
               thresholds: Thresholds = DEFAULTS, scope: str = "latest", share: str = "observed",
-              missing: str = "skip") -> DataFrame:
+              missing: str = "skip", keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Findings of all nine rules, from one aggregation per timestamp and one per region.
+
+    The rules on rows of regions are judged side by side on one scored row, the rules on the total on one row per timestamp.
+    ``keep`` may write the three shared tables (rows with totals, timestamps, regions) and read them back, so that the window is
+    read twice instead of once for each rule and statistic.
+    """
+    times = keep(window.groupBy("ts").agg(
+        F.sum("load").alias("total"), F.avg("load").alias("peer_mean"), safe_std("load").alias("peer_std"),
+    ))
+    rows = keep(with_share(window.join(times, "ts")))
+    known = keep(region_stats(rows).join(share_stats(rows, share), "region"))
+    z_load = zscore(F.col("load"), F.col("mean"), F.col("std"))
+    z_peer = zscore(F.col("load"), F.col("peer_mean"), F.col("peer_std"))
+    judged = scored_rows(rows, scope, end).join(known, "region")
+    on_rows = judged.select(F.explode(F.filter(F.array(
+        F.struct((z_load > thresholds.region).alias("hit"), region_finding(z_load, thresholds).alias("f")),
+        F.struct((z_peer > thresholds.peer).alias("hit"), peer_finding(z_peer, thresholds).alias("f")),
+        F.struct(share_hit(thresholds).alias("hit"), share_finding(thresholds).alias("f")),
+    ), lambda x: x["hit"])).alias("e")).select("e.f.*")
+    on_anchors = _anchor_findings(anchors.join(known, "region"), thresholds)
+    on_paths = _path_findings(path_prefix(forecast).join(known, "region"), end, thresholds)
+    totals = times.select("ts", F.col("total").alias("load"))
     return anomaly_union([
-        anomaly_region(window, thresholds, scope),
-        anomaly_forecast_anchor(window, anchors, thresholds),
-        anomaly_peer(window, thresholds, scope),
-        anomaly_share(window, thresholds, scope, share),
-        anomaly_total(window, thresholds, scope),
-        anomaly_total_anchor(window, anchors, thresholds, missing),
-        anomaly_total_path(window, forecast, end, thresholds),
-        anomaly_spike(window, anchors, thresholds, scope),
-        anomaly_region_path(window, forecast, end, thresholds),
+        on_rows, on_anchors, on_paths,
+        anomaly_total(totals, thresholds, scope), anomaly_total_anchor(totals, anchors, thresholds, missing),
+        anomaly_total_path(totals, forecast, end, thresholds), anomaly_spike(totals, anchors, thresholds, scope),
     ])
 
 

@@ -34,10 +34,15 @@ def load_share(load: DataFrame) -> DataFrame:
 
     ``share`` and ``share_percent`` are null-free; ``ratio`` is null where the total is 0.
     """
-    total = system_total(load)
+    shared = with_share(load.join(system_total(load), "ts"))
+    return shared.select("region", "ts", "load", "total", "share", "share_percent", "ratio")
+
+
+def with_share(rows: DataFrame) -> DataFrame:
+    """Rows with ``load`` and ``total``, and their shares."""
     positive = F.col("total") > 0
-    return load.join(total, "ts").select(
-        "region", "ts", "load", "total",
+    return rows.select(
+        "*",
         F.when(positive, F.col("load") / F.col("total")).otherwise(0.0).alias("share"),
         F.when(positive, F.col("load") / F.col("total") * 100).otherwise(0.0).alias("share_percent"),
         F.try_divide(F.col("load"), F.col("total")).alias("ratio"),

@@ -98,7 +98,7 @@ def rule_sql(peer: float) -> dict[str, str]:
             JOIN total_anchors a ON a.origin = t.ts AND a.horizon = '15min' CROSS JOIN diff_stats s) q
             WHERE n > 10 AND z > 3.0""",
             region="'TOTAL'", horizon="'15min'", severity="'forecast'", z_score="z", predicted_load="point",
-            note="'Spike vs recent total diffs'", ts="ts"),
+            note="'forecast jump against recent changes of the total'", ts="ts"),
         "anomaly_region_path": finding_sql(
             "anomaly_region_path",
             f"""(SELECT *, row_number() OVER (PARTITION BY region, horizon ORDER BY z DESC, step) AS rn FROM (
@@ -170,7 +170,8 @@ def every_finding(spark, d):
     fortnight = staged(src.two_weeks(spark, d), "fortnight")
     week = fortnight.filter(F.col("ts") >= axis.back(SLOTS_PER_WEEK))
     anchors = fc.seasonal_anchors(fortnight, axis.back(SLOTS_PER_WEEK), axis.hi)
-    return an.all_rules(week, anchors, fc.seasonal_naive(week, axis.hi), axis.hi, THRESHOLDS, "window")
+    return an.all_rules(week, anchors, fc.seasonal_naive(week, axis.hi), axis.hi, THRESHOLDS, "window",
+                        keep=lambda df: staged(df, "rules"))
 
 
 ALL_SQL = " UNION ALL ".join(RULE_SQL[name] for name in an.RULES)
