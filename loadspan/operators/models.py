@@ -6,26 +6,27 @@ does not grow with the regions and one region with a third of the rows is traine
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadspan.config import FEATURE_COLUMNS
-from loadspan.operators.forecast import residual_quantile, with_horizons
+from loadspan.operators.forecast import horizon_of, residual_quantile, with_horizons
 from loadspan.operators.reshape import chrono_split
-from loadspan.plans.blocks import with_window_columns
 from loadspan.plans.skew import salted_join
 
 SEED = 42
 
-# Up to this many regions get a column each; more are hashed, which keeps vectors and driver small.
-ONE_HOT_REGIONS = 1000
+# Width of the vector that hashed region names share.
 HASHED_WIDTH = 1024
 
+log = logging.getLogger(__name__)
+
 
 def min_sample_guard(rows: DataFrame, minimum: int = 200, keys: Sequence[str] = ("region",)) -> DataFrame:
     """Rows of the series that have at least ``minimum`` samples."""
@@ -47,12 +48,13 @@ def scaler(columns: Sequence[str] = FEATURE_COLUMNS) -> Pipeline:
     ])
 
 
-def members(label: str = "label", seed: int = SEED) -> dict[str, object]:
-    """The three regressors of the ensemble."""
+def members(label: str = "label", seed: int = SEED, rounds: int = 200, depth: int = 6, rate: float = 0.05,
+            trees: int = 100) -> dict[str, object]:
+    """The three regressors of the ensemble. A short run passes fewer ``rounds`` and ``trees``."""
     common = {"featuresCol": "features", "labelCol": label}
     return {
-        "boosted": GBTRegressor(**common, predictionCol="p_boosted", maxIter=10, maxDepth=4, stepSize=0.1, seed=seed),
-        "forest": RandomForestRegressor(**common, predictionCol="p_forest", numTrees=20, maxDepth=6, seed=seed),
+        "boosted": GBTRegressor(**common, predictionCol="p_boosted", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed),
+        "forest": RandomForestRegressor(**common, predictionCol="p_forest", numTrees=trees, maxDepth=depth, seed=seed),
         "linear": LinearRegression(**common, predictionCol="p_linear", regParam=0.01),
     }
 
@@ -80,9 +82,15 @@ def preparation(columns: Sequence[str], regions: str | None = "one-hot") -> list
 class Ensemble:
     """Fitted members after one shared preparation; the forecast is their mean."""
 
-    def __init__(self, prepared: PipelineModel, fitted: Mapping[str, Model]):
+    def __init__(self, prepared: PipelineModel, fitted: Mapping[str, Model], failed: Mapping[str, str] | None = None):
         self.prepared = prepared
         self.fitted = dict(fitted)
+        self.failed = dict(failed or {})
+
+    @property
+    def region_labels(self) -> list[str]:
+        """Names behind the one-hot columns, in their order."""
+        return next((list(s.labels) for s in self.prepared.stages if hasattr(s, "labels")), [])
 
     def transform(self, rows: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
         out = self.prepared.transform(rows)
@@ -114,65 +122,69 @@ def ensemble_mean(predicted: DataFrame, names: Sequence[str], weights: Mapping[s
 
 
 def fit_ensemble(train: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS, label: str = "label",
-                 algorithms: Sequence[str] = ("boosted", "forest", "linear"), regions: bool = True) -> Ensemble:
-    """Fit the named members on the pooled rows. A member that fails is left out; none left is an error.
+                 algorithms: Sequence[str] = ("boosted", "forest", "linear"), regions: str | None = "one-hot",
+                 **settings) -> Ensemble:
+    """Fit the named members on the pooled rows, with ``settings`` of :func:`members`.
+
+    ``regions`` is the encoding of the region, chosen by the caller: ``"one-hot"``, ``"hashed"`` into a fixed
+    width for very many regions, or None. A member that fails is logged, named in ``failed`` and left out; none left is an error.
 
     Prepared rows are kept between the fits, spilling to disk, because each fit passes over them
     many times.
     """
-    kind = None
-    if regions:
-        many = train.agg(F.approx_count_distinct("region").alias("n")).first().n > ONE_HOT_REGIONS
-        kind = "hashed" if many else "one-hot"
-    prepared = Pipeline(stages=preparation(columns, kind)).fit(train)
+    prepared = Pipeline(stages=preparation(columns, regions)).fit(train)
     rows = prepared.transform(train).select("features", label).persist()
     fitted, failures = {}, {}
     try:
-        for name, estimator in members(label).items():
+        for name, estimator in members(label, **settings).items():
             if name not in algorithms:
                 continue
             try:
                 fitted[name] = estimator.fit(rows)
             except Exception as error:  # noqa: BLE001  one failing member must not lose the others
-                failures[name] = error
+                failures[name] = f"{type(error).__name__}: {error}"
+                log.error("ensemble member %s could not be fitted: %s", name, error)
     finally:
         rows.unpersist()
     if not fitted:
         raise RuntimeError(f"no member could be fitted: {failures}")
-    return Ensemble(prepared, fitted)
+    return Ensemble(prepared, fitted, failures)
 
 
 def fit_per_region(train: DataFrame, regions: Sequence[str], columns: Sequence[str] = FEATURE_COLUMNS,
-                   label: str = "label", algorithms: Sequence[str] = ("linear",)) -> dict[str, Ensemble]:
+                   label: str = "label", algorithms: Sequence[str] = ("linear",), **settings) -> dict[str, Ensemble]:
     """One ensemble per named region, for a handful of regions; the pooled model scales further."""
     return {
-        r: fit_ensemble(train.filter(F.col("region") == r), columns, label, algorithms, regions=False)
+        r: fit_ensemble(train.filter(F.col("region") == r), columns, label, algorithms, regions=None, **settings)
         for r in regions
     }
 
 
 def next_step_rows(features: DataFrame, steps: int = 1) -> DataFrame:
-    """Features with the load ``steps`` ahead as label; rows without one are dropped."""
-    labelled = with_window_columns(
-        features, ["region"], "ts", lambda w: {"label": F.lead("load", steps).over(w)}, ahead=f"{steps * 15} MINUTES"
-    )
-    return labelled.filter(F.col("label").isNotNull())
+    """Features with the load ``steps`` ahead as label, found by its time; rows without one are dropped."""
+    target = features.select("region", (F.col("ts") - F.expr(f"INTERVAL {steps * 15} MINUTES")).alias("ts"), F.col("load").alias("label"))
+    return features.join(target, ["region", "ts"])
 
 
 def direct_rows(features: DataFrame) -> DataFrame:
     """One row per horizon with the load that many steps ahead as label and ``steps`` as a feature.
 
-    The label is looked up by an equi-join on the target time, so all horizons take one shuffle.
+    Each load goes to the rows it is the label of, as few narrow columns; the labels of a row are gathered and joined to its
+    features once, and only the joined rows are multiplied.
     """
-    target = features.select("region", F.col("ts").alias("target_ts"), F.col("load").alias("label"))
-    ahead = F.col("ts") + F.make_dt_interval(mins=F.col("steps") * F.col("cadence_minutes"))
-    return with_horizons(features).withColumn("target_ts", ahead).join(target, ["region", "target_ts"])
+    origin = F.col("ts") - F.make_dt_interval(mins=F.col("steps") * F.col("cadence_minutes"))
+    label = F.struct("horizon", "steps", "cadence_minutes", F.col("ts").alias("target_ts"), F.col("load").alias("label"))
+    labels = with_horizons(features.select("region", "ts", "load")).select("region", origin.alias("ts"), label.alias("_l"))
+    gathered = labels.groupBy("region", "ts").agg(F.collect_list("_l").alias("_labels"))
+    joined = features.join(gathered, ["region", "ts"])
+    return joined.select(*features.columns, F.explode("_labels").alias("_l")).select(*features.columns, "_l.*")
 
 
-def direct_scoring_rows(features: DataFrame) -> DataFrame:
-    """The newest feature row of each region, once per horizon."""
+def direct_scoring_rows(features: DataFrame, steps: int = 192) -> DataFrame:
+    """The newest feature row of each region, once for each step ahead, with the horizon the step falls in."""
     newest = features.groupBy("region").agg(F.max_by(F.struct(*[c for c in features.columns if c != "region"]), "ts").alias("_r"))
-    return with_horizons(newest.select("region", "_r.*"))
+    ahead = F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("steps")
+    return newest.select("region", "_r.*", ahead).withColumn("horizon", horizon_of("steps"))
 
 
 def conformal_calibrate(residuals: DataFrame, level: float = 0.95, share: float = 0.9,
@@ -188,18 +200,32 @@ def feature_importance(ensemble: Ensemble, scored: DataFrame, columns: Sequence[
     The vector of importances is as long as the feature vector, whatever the rows.
     """
     spark = scored.sparkSession
+    labels = ensemble.region_labels
     trees = [m for m in ensemble.fitted.values() if hasattr(m, "featureImportances")]
     if not trees:
         raise ValueError("no tree member has importances")
     size = trees[0].featureImportances.size
-    names = [*columns, *[f"region_{i}" for i in range(size - len(columns))]]
+    names = [*columns, *[f"region={labels[i]}" if i < len(labels) else f"region#{i}" for i in range(size - len(columns))]]
     mean = [float(sum(t.featureImportances[i] for t in trees) / len(trees)) for i in range(size)]
     return spark.createDataFrame(list(zip(names, mean)), "feature string, importance double")
 
 
+def importance_by_horizon(importances: DataFrame, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(region, horizon, feature, importance): the importances of the pooled model within each region and horizon.
+
+    A feature that does not vary there decides nothing there, so its importance is weighted by its deviation in the group over that
+    of all rows; each group sums to 1, or is all 0. One pass over ``rows`` (region, horizon, columns).
+    """
+    spread = [F.stddev_pop(F.col(c).cast("double")).alias(c) for c in columns]
+    every = rows.agg(*spread).unpivot([], list(columns), "feature", "all_std")
+    each = rows.groupBy("region", "horizon").agg(*spread).unpivot(["region", "horizon"], list(columns), "feature", "own_std")
+    weight = F.col("importance") * F.coalesce(F.try_divide("own_std", "all_std"), F.lit(0.0))
+    weighted = each.join(every, "feature").join(importances, "feature").withColumn("_w", weight)
+    total = F.sum("_w").over(Window.partitionBy("region", "horizon"))
+    return weighted.select("region", "horizon", "feature", F.coalesce(F.try_divide(F.col("_w"), total), F.lit(0.0)).alias("importance"))
+
+
 def top_importances(importances: DataFrame, n: int = 15, keys: Sequence[str] = ()) -> DataFrame:
     """The ``n`` largest importances per group; ties go by name. A group is one model's features."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(*keys).orderBy(F.col("importance").desc(), "feature")
     return importances.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)

@@ -28,40 +28,53 @@ def training_rows(series: DataFrame, minimum: int = 200) -> DataFrame:
 
 
 def train(series: DataFrame, algorithms: Sequence[str] = ("boosted", "forest", "linear"),
-          level: float = 0.95) -> tuple[models.Ensemble, DataFrame]:
-    """Pooled ensemble with the horizon as a feature, and the error quantile per region and horizon."""
+          level: float = 0.95, **settings) -> tuple[models.Ensemble, DataFrame]:
+    """Pooled ensemble with the steps ahead as a feature, and the error quantile per region and horizon."""
+    ensemble, qhat, _ = train_all(series, algorithms, level, **settings)
+    return ensemble, qhat
+
+
+def train_all(series: DataFrame, algorithms: Sequence[str] = ("boosted", "forest", "linear"), level: float = 0.95,
+              **settings) -> tuple[models.Ensemble, DataFrame, DataFrame]:
+    """As :func:`train`, and the importances per region and horizon if a tree member was fitted, else none."""
     rows = staged(training_rows(series), "training")
-    ensemble = models.fit_ensemble(rows.filter("part = 'train'"), DIRECT_COLUMNS, algorithms=algorithms)
+    fit_rows = rows.filter("part = 'train'")
+    ensemble = models.fit_ensemble(fit_rows, DIRECT_COLUMNS, algorithms=algorithms, **settings)
+    importances = rows.sparkSession.createDataFrame([], "region string, horizon string, feature string, importance double")
+    if any(hasattr(m, "featureImportances") for m in ensemble.fitted.values()):
+        pooled = models.feature_importance(ensemble, rows, DIRECT_COLUMNS)
+        importances = models.importance_by_horizon(pooled, fit_rows, DIRECT_COLUMNS)
     scored = ensemble.transform(rows.filter("part = 'test'"))
     residuals = scored.withColumn("abs_error", F.abs(F.col("label") - F.col("point")))
-    return ensemble, forecast.residual_quantile(residuals, level, ["region", "horizon"])
+    return ensemble, forecast.residual_quantile(residuals, level, ["region", "horizon"]), importances
 
 
 def deploy(
     series: DataFrame, ensemble: models.Ensemble, qhat: DataFrame,
-    thresholds: Thresholds = DEFAULTS, timestamp: Column | None = None,
+    thresholds: Thresholds = DEFAULTS, timestamp: Column | None = None, importances: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Snapshot documents and findings for the newest step.
+    """Snapshot documents and findings for the newest step, with a scored value for each of 192 steps.
 
-    ``series`` (region, ts, load and weather) needs the last 8 days: the longest lag and a day.
+    ``series`` (region, ts, load and weather) needs the last 8 days: the longest lag and a day. The interval of a step is that of
+    the horizon it falls in. ``importances`` (region, horizon, feature, importance) go into the documents.
     """
     series = staged(series, "recent")
     load = series.select("region", "ts", "load")
     end = series.agg(F.max("ts").alias("v")).scalar()
     table = features.quarter_hour_features(series)
     scored = ensemble.transform(models.direct_scoring_rows(table))
-    anchors = forecast.prediction_interval(scored, qhat, ["region", "horizon"]).select(
-        "region", "horizon", F.col("steps").alias("step"), "point", "lower", "upper"
+    path = forecast.prediction_interval(scored, qhat, ["region", "horizon"]).select(
+        "region", F.col("steps").alias("step"), forecast.steps_after(end, F.col("steps")).alias("ts"), "point", "lower", "upper"
     )
-    anchors = staged(anchors, "anchors")
-    path = forecast.anchor_step_fill(anchors, 192).withColumn("ts", forecast.steps_after(end, F.col("step")))
+    path = staged(path, "path")
+    anchors = forecast.path_anchor(path)
     week = load.filter(F.col("ts") > end - F.expr("INTERVAL 7 DAYS"))
     found = anomaly.all_rules(
         week, anchors.withColumn("origin", end), path, end, thresholds, "latest"
     )
     latest = anomaly.scored_rows(load, "latest", end)
     means = stats.weather_average(anomaly.scored_rows(series, "latest", end))
-    return snapshot.build_snapshot(latest, path, found, means, timestamp=timestamp), found
+    return snapshot.build_snapshot(latest, path, found, means, importances, timestamp), found
 
 
 def run_backtest(load: DataFrame, path: str, weeks: int = 4) -> DataFrame:

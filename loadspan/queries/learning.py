@@ -1,35 +1,51 @@
-"""Queries on fitted models. Their results depend on the learner, so they have no SQL."""
+"""Queries on fitted models. Where the fitted numbers themselves are the result, there is no SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loadspan.config import FEATURE_COLUMNS, SLOTS_PER_WEEK
+from loadspan.config import FEATURE_COLUMNS, SLOTS_PER_WEEK, WEATHER_COLUMNS
 from loadspan.operators import features as fx
 from loadspan.operators import models, reshape, stats
 from loadspan.operators.forecast import residual_quantile
 from loadspan.plans import batch
 from loadspan.queries import inputs as src
-from loadspan.queries.base import REGIONS
+from loadspan.queries.base import COMPLETE
 from loadspan.queries.inputs import rounded
 from loadspan.queries.registry import query
+from loadspan.queries.sqlbase import sql
 from loadspan.session import shared_dir
 from loadspan.sources import tables
 from loadspan.sources.stage import staged
 
 COLUMNS = [*FEATURE_COLUMNS, "load"]
+ALL = ("boosted", "forest", "linear")
+# Sizes of the registered fits; the defaults of the operator are 200 rounds and 100 trees.
+SIZES = {"rounds": 20, "depth": 4, "rate": 0.1, "trees": 30}
+
+
+FEATURE_LIST = ", ".join(FEATURE_COLUMNS)
+# Feature rows with missing weather imputed, those with a next step, and their chronological parts.
+IMPUTED = ", ".join(f"coalesce({c}, avg({c}) OVER (PARTITION BY region)) AS {c}" for c in WEATHER_COLUMNS)
+ROWS = f"""imputed AS (SELECT region, ts, load, {', '.join(c for c in FEATURE_COLUMNS if c not in WEATHER_COLUMNS)}, {IMPUTED} FROM features),
+    complete AS (SELECT region, ts, load, {FEATURE_LIST} FROM imputed WHERE {COMPLETE}),
+    labelled AS (SELECT c.*, n.load AS label FROM complete c JOIN complete n ON n.region = c.region AND n.ts = c.ts + INTERVAL 15 MINUTE),
+    enough AS (SELECT region FROM labelled GROUP BY region HAVING count(*) >= 200),
+    parts AS (SELECT *, CASE WHEN idx < floor(n * 0.8) THEN 'train' WHEN idx < floor(n * 0.9) THEN 'validation' ELSE 'test' END AS part
+        FROM (SELECT l.*, row_number() OVER (PARTITION BY l.region ORDER BY ts) - 1 AS idx, count(*) OVER (PARTITION BY l.region) AS n
+            FROM labelled l JOIN enough e ON e.region = l.region) q)"""
 
 
 def split_rows(spark, d):
     """Next-step rows with their chronological part."""
-    table = fx.quarter_hour_features(src.series(spark, d))
+    table = fx.quarter_hour_features(fx.impute_weather(src.series(spark, d)))
     rows = models.min_sample_guard(models.next_step_rows(table))
     return staged(reshape.chrono_split(rows).drop("idx", "n"), "next-step")
 
 
-def fitted(spark, d, algorithms=("boosted", "forest", "linear")):
+def fitted(spark, d, algorithms=ALL):
     rows = split_rows(spark, d)
-    return models.fit_ensemble(rows.filter("part = 'train'"), COLUMNS, algorithms=algorithms), rows
+    return models.fit_ensemble(rows.filter("part = 'train'"), COLUMNS, algorithms=algorithms, **SIZES), rows
 
 
 def score(scored):
@@ -39,7 +55,7 @@ def score(scored):
     )
 
 
-@query("feature_select")
+@query("feature_select", sql(f"SELECT region, count(*) AS rows, {len(FEATURE_COLUMNS)} AS width FROM features WHERE {COMPLETE} GROUP BY region", "features"))
 def feature_select(spark, d):
     from pyspark.ml.functions import vector_to_array
 
@@ -48,7 +64,10 @@ def feature_select(spark, d):
     return vector.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("a")).alias("width"))
 
 
-@query("scale_features")
+@query("scale_features", sql("""SELECT part, CAST("column" AS INTEGER) AS "column", round(avg(v) + 1e-9, 4) AS mean, round(stddev_samp(v) + 1e-9, 4) AS std FROM (
+    """ + " UNION ALL ".join(f"""SELECT part, {i} AS "column", CASE WHEN s > 0 THEN ({c} - m) / s ELSE 0 END AS v
+    FROM parts CROSS JOIN (SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM parts WHERE part = 'train') t""" for i, c in enumerate(FEATURE_COLUMNS))
+    + ') u GROUP BY part, "column"', "features", extra=ROWS))
 def scale_features(spark, d):
     from pyspark.ml.functions import vector_to_array
 
@@ -75,16 +94,16 @@ def ensemble_mean(spark, d):
 @query("model_conformal")
 def model_conformal(spark, d):
     """Error quantile of the fitted model over the validation part of each region."""
-    ensemble, rows = fitted(spark, d, ("linear",))
+    ensemble, rows = fitted(spark, d)
     scored = ensemble.transform(rows.filter("part = 'validation'"))
     return rounded(residual_quantile(scored.withColumn("abs_error", F.abs(F.col("label") - F.col("point")))), 4)
 
 
 @query("direct_forecast")
 def direct_forecast(spark, d):
-    """Forecast of each region at each horizon from its newest features, with its interval."""
-    series = src.series(spark, d)
-    ensemble, qhat = batch.train(series, algorithms=("forest", "linear"))
+    """Forecast of each region at each step from its newest features, with its interval."""
+    series = fx.impute_weather(src.series(spark, d))
+    ensemble, qhat = batch.train(series, **SIZES)
     newest = models.direct_scoring_rows(fx.quarter_hour_features(series))
     from loadspan.operators.forecast import prediction_interval
 
@@ -100,15 +119,15 @@ def feature_importance(spark, d):
 
 @query("top_importances")
 def top_importances(spark, d):
-    ensemble, rows = fitted(spark, d, ("forest",))
-    return rounded(models.top_importances(models.feature_importance(ensemble, rows, COLUMNS)))
+    """The largest importances of each region and horizon."""
+    _, _, importances = batch.train_all(fx.impute_weather(src.series(spark, d)), ("boosted", "forest"), **SIZES)
+    return rounded(models.top_importances(importances, keys=["region", "horizon"]))
 
 
 @query("per_region_models")
 def per_region_models(spark, d):
     rows = split_rows(spark, d)
-    present = [r for r in REGIONS]
-    ensembles = models.fit_per_region(rows.filter("part = 'train'"), present, COLUMNS)
+    ensembles = models.fit_per_region(rows.filter("part = 'train'"), reshape.region_names(rows), COLUMNS)
     out = None
     for region, ensemble in ensembles.items():
         part = score(ensemble.transform(rows.filter((F.col("part") == "test") & (F.col("region") == region))))
@@ -116,7 +135,8 @@ def per_region_models(spark, d):
     return rounded(out, 4)
 
 
-@query("model_store")
+@query("model_store", sql("SELECT region, count(*) AS rows, CAST(0 AS DOUBLE) AS difference FROM parts WHERE part = 'test' GROUP BY region",
+       "features", extra=ROWS))
 def model_store(spark, d):
     """Forecasts of a saved and reloaded ensemble next to those of the original."""
     ensemble, rows = fitted(spark, d, ("forest", "linear"))
@@ -132,10 +152,16 @@ def model_store(spark, d):
 
 @query("deployment")
 def deployment(spark, d):
-    """One run of the deployment plan, its document flattened to anchors."""
-    ensemble, qhat = batch.train(src.series(spark, d), algorithms=("linear",))
+    """One run of the deployment plan: a row for each region and step of the documents, with bounds, anomalies and importances."""
+    ensemble, qhat, importances = batch.train_all(fx.impute_weather(src.series(spark, d)), **SIZES)
     # the longest lag before the window of statistics: 8 days would do, two weeks are two whole seasons
     recent = tables.series_table(src.events(spark, d), src.axis(spark, d), 2 * SLOTS_PER_WEEK)
-    document, _ = batch.deploy(recent, ensemble, staged(qhat, "qhat"))
-    anchors = document.select("timestamp", F.explode("predictions").alias("region", "m"))
-    return rounded(anchors.select("region", F.explode("m").alias("horizon", "point")), 4)
+    documents, _ = batch.deploy(fx.impute_weather(recent), ensemble, staged(qhat, "qhat"), importances=importances)
+    documents = staged(documents, "documents")
+    longest = documents.select(
+        F.explode("forecast_paths").alias("region", "p"), "interval_paths", "feature_importances", F.size("anomalies").alias("anomalies"),
+    ).select("region", F.col("p")["48h"].alias("p"), F.col("interval_paths")[F.col("region")]["48h"].alias("i"),
+             F.size(F.col("feature_importances")[F.col("region")]).alias("horizons_explained"), "anomalies")
+    steps = longest.select("region", F.posexplode("p").alias("at", "point"), "i", "horizons_explained", "anomalies")
+    return rounded(steps.select("region", (F.col("at") + 1).alias("step"), "point", F.col("i")["lower"][F.col("at")].alias("lower"),
+                                F.col("i")["upper"][F.col("at")].alias("upper"), "horizons_explained", "anomalies"), 4)

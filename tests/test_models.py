@@ -68,22 +68,32 @@ def test_direct_rows_label_each_horizon(series, weather):
 
 def test_train_deploy_and_snapshot(spark, series, weather, tmp_path):
     both = series.join(weather, ["region", "ts"])
-    ensemble, qhat = batch.train(both, ("linear", "forest"))
+    ensemble, qhat = batch.train(both, ("linear", "forest"), trees=20)
     assert {(r.region, r.horizon) for r in qhat.collect()} == {(r, h) for r in ("region_1", "region_2") for h in HORIZON_STEPS}
     documents, found = batch.deploy(both, ensemble, qhat)
     path = str(tmp_path / "snapshot")
     snapshot.write_snapshot(documents, path)
-    doc = snapshot.read_snapshot(spark, path).first()
-    assert set(doc.current_load) == {"region_1", "region_2"}
-    assert len(doc.forecast_paths["region_1"]["48h"]) == 192
-    assert doc.intervals["region_2"]["24h"].lower < doc.predictions["region_2"]["24h"] < doc.intervals["region_2"]["24h"].upper
-    assert 40 < doc.predictions["region_1"]["24h"] < 65 and 75 < doc.predictions["region_2"]["24h"] < 130
-    assert len(doc.anomalies) == found.count()
+    docs = {next(iter(d.current_load), "TOTAL"): d for d in snapshot.read_snapshot(spark, path).collect()}
+    assert set(docs) == {"region_1", "region_2", "TOTAL"}
+    one, two = docs["region_1"], docs["region_2"]
+    values = one.forecast_paths["region_1"]["48h"]
+    assert len(values) == 192 and len(set(values)) > 6
+    assert two.intervals["region_2"]["24h"].lower < two.predictions["region_2"]["24h"] < two.intervals["region_2"]["24h"].upper
+    assert 40 < one.predictions["region_1"]["24h"] < 65 and 75 < two.predictions["region_2"]["24h"] < 130
+    assert sum(len(d.anomalies) for d in docs.values()) == found.count()
+
+
+def test_importances_by_region_and_horizon(series, weather):
+    both = series.join(weather, ["region", "ts"])
+    _, _, importances = batch.train_all(both, ("forest",), trees=10)
+    rows = importances.groupBy("region", "horizon").agg(F.sum("importance").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    assert {(r.region, r.horizon) for r in rows} == {(r, h) for r in ("region_1", "region_2") for h in HORIZON_STEPS}
+    assert all(r.s == pytest.approx(1) and r.n == len(batch.DIRECT_COLUMNS) for r in rows)
 
 
 def test_saved_models_forecast_the_same(spark, series, weather, tmp_path):
     rows = models.next_step_rows(fx.quarter_hour_features(series, weather))
-    ensemble = models.fit_ensemble(rows, [*models.FEATURE_COLUMNS, "load"], algorithms=["linear", "forest"])
+    ensemble = models.fit_ensemble(rows, [*models.FEATURE_COLUMNS, "load"], algorithms=["linear", "forest"], trees=20)
     ensemble.save(str(tmp_path / "m"))
     again = models.Ensemble.load(str(tmp_path / "m"))
     assert set(again.fitted) == {"linear", "forest"}
@@ -104,4 +114,4 @@ def test_backtest_report(spark, series, tmp_path):
     assert {r.region: len(r.weekly_results) for r in regions.collect()} == {"region_1": 2, "region_2": 2}
     assert summary.first().regions_tested == 2
     lines = [r.value for r in spark.read.text(str(tmp_path / "summary_text")).collect()]
-    assert lines[0] == "Weeks Tested: 4" and lines[4].startswith("  region_1: MAPE=")
+    assert lines[0] == "weeks per region: 4" and lines[4].startswith("  region_1: MAPE=")
