@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loadspan.functions.text import number_text, percent_text, summary_line
 from loadspan.operators.backtest import backtest_overall, backtest_regions
+from loadspan.sources.versions import newest, write_version
 
 
 def report_rows(weekly: DataFrame) -> DataFrame:
@@ -17,11 +18,11 @@ def report_rows(weekly: DataFrame) -> DataFrame:
 
 
 def write_backtest_report(weekly: DataFrame, path: str, weeks: int = 4) -> None:
-    """``regions`` holds one JSON line per region, ``summary`` one line."""
-    report_rows(weekly).write.mode("overwrite").json(f"{path}/regions")
+    """``regions`` holds one JSON line per region, ``summary`` one line, each as a new version of its folder."""
+    write_version(report_rows(weekly), f"{path}/regions")
     summary = backtest_overall(backtest_regions(weekly), weeks)
     stamped = summary.withColumn("backtest_date", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
-    stamped.write.mode("overwrite").json(f"{path}/summary")
+    write_version(stamped, f"{path}/summary")
 
 
 REGION_DDL = """region STRING, mape DOUBLE, mase DOUBLE, weeks_tested BIGINT,
@@ -31,18 +32,18 @@ SUMMARY_DDL = """overall_mape DOUBLE, overall_mase DOUBLE, regions_tested BIGINT
 
 def read_backtest_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return (
-        spark.read.schema(REGION_DDL).json(f"{path}/regions"),
-        spark.read.schema(SUMMARY_DDL).json(f"{path}/summary"),
+        spark.read.schema(REGION_DDL).json(newest(spark, f"{path}/regions") or f"{path}/regions"),
+        spark.read.schema(SUMMARY_DDL).json(newest(spark, f"{path}/summary") or f"{path}/summary"),
     )
 
 
 def summary_text(regions: DataFrame, overall: DataFrame) -> DataFrame:
     """Readable lines, numbered: the overall scores, then a line per region."""
     head = overall.select(F.explode(F.array(
-        F.struct(F.lit(0).alias("part"), F.format_string("Weeks Tested: %d", "total_weeks").alias("line")),
-        F.struct(F.lit(1).alias("part"), F.format_string("Regions: %d", "regions_tested").alias("line")),
-        F.struct(F.lit(2).alias("part"), F.concat(F.lit("- Average MAPE: "), percent_text("overall_mape")).alias("line")),
-        F.struct(F.lit(3).alias("part"), F.concat(F.lit("- Average MASE: "), number_text("overall_mase")).alias("line")),
+        F.struct(F.lit(0).alias("part"), F.format_string("weeks per region: %d", "total_weeks").alias("line")),
+        F.struct(F.lit(1).alias("part"), F.format_string("regions scored: %d", "regions_tested").alias("line")),
+        F.struct(F.lit(2).alias("part"), F.concat(F.lit("mean percentage error: "), percent_text("overall_mape")).alias("line")),
+        F.struct(F.lit(3).alias("part"), F.concat(F.lit("mean scaled error: "), number_text("overall_mase")).alias("line")),
     )).alias("l")).select("l.part", F.lit("").alias("region"), "l.line")
     body = regions.select(F.lit(4).alias("part"), "region", summary_line().alias("line"))
     return head.unionByName(body)
@@ -50,4 +51,4 @@ def summary_text(regions: DataFrame, overall: DataFrame) -> DataFrame:
 
 def write_summary_text(regions: DataFrame, overall: DataFrame, path: str) -> None:
     lines = summary_text(regions, overall).orderBy("part", "region").select("line")
-    lines.write.mode("overwrite").text(path)
+    write_version(lines.coalesce(1), path, "text")

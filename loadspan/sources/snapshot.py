@@ -10,10 +10,13 @@ from pyspark.sql import types as T
 from loadspan.config import HORIZON_STEPS
 from loadspan.operators.anomaly import FINDING
 from loadspan.operators.forecast import map_by, nest_long, path_arrays
-from loadspan.sources.stage import staged
+from loadspan.sources.stage import staging
+from loadspan.sources.versions import newest, write_version
 
+# Fixed values of the document format: its version, region names, keys and key types.
 SCHEMA_VERSION = "1.2.0"
 REGION_PATTERN = "^region_[0-9]+$"
+TOTAL = "TOTAL"
 
 # Keys every document must have, and the weather given to documents from before 1.2.0.
 REQUIRED_KEYS = ["schema_version", "timestamp", "current_load", "predictions", "intervals", "anomalies"]
@@ -23,6 +26,7 @@ _FINDING_TYPE = "STRUCT<" + ", ".join(
     f"{name}: {'STRING' if kind == 'timestamp_ntz' else kind}" for name, kind in FINDING.items()
 ) + ">"
 
+# Key names and types.
 SNAPSHOT_DDL = f"""
 schema_version STRING, timestamp STRING,
 current_load MAP<STRING, DOUBLE>,
@@ -61,19 +65,14 @@ def build_snapshot(
     weather: DataFrame,
     importances: DataFrame | None = None,
     timestamp: Column | None = None,
-    regions_per_document: int = 1000,
 ) -> DataFrame:
-    """Snapshot documents in the current schema.
+    """Snapshot documents in the current schema: one for each region and one for the total.
 
     ``latest`` (region, load), ``forecast`` (region, step, point, lower, upper), ``findings`` in the
     schema of the rules, ``weather`` one row of means, ``importances`` (region, horizon, feature,
-    importance). Up to ``regions_per_document`` regions share a document, which is one document
-    for a usual grid; more regions spread over several by the hash of their name, so that no row
-    holds an unbounded number of paths. Findings on the total go to document 0.
+    importance). A document holds the paths, importances and findings of its region, so its size does not depend on
+    how many regions there are. The document of the total has the findings on it and no paths.
     """
-    size = latest.agg(F.ceil(F.count(F.lit(1)) / regions_per_document).alias("n")).scalar()
-    document = F.pmod(F.xxhash64("region"), size).cast("int")
-
     # one row per region and horizon holds its path, whose last step is the anchor
     arrays = path_arrays(forecast, ["point", "lower", "upper"])
     last = {n: F.element_at(n, -1) for n in ("point", "lower", "upper")}
@@ -94,21 +93,24 @@ def build_snapshot(
         )
         nested.append("feature_importances")
 
-    documents = parts.withColumn("document", document).groupBy("document").agg(
-        *[map_by("region", F.col(n)).alias(n) for n in nested]
-    )
-    found = findings.withColumn("ts", iso(F.col("ts"))).select(
-        F.when(F.col("region") == "TOTAL", 0).otherwise(document).alias("document"), F.struct(*FINDING).alias("_a")
-    )
-    listed = found.groupBy("document").agg(F.array_sort(F.collect_list("_a")).alias("anomalies"))
+    kinds = {f.name: f.dataType for f in snapshot_schema()}
+    empty = {n: F.create_map().cast(kinds[n]) for n in [*nested, "feature_importances"]}
+
+    def alone(name: str) -> Column:
+        return F.when(F.col(name).isNull(), empty[name]).otherwise(F.create_map("region", name).cast(kinds[name]))
+
+    documents = parts.select("region", *[alone(n).alias(n) for n in nested])
+    total = latest.sparkSession.range(1).select(F.lit(TOTAL).alias("region"), *[empty[n].alias(n) for n in nested])
+    found = findings.withColumn("ts", iso(F.col("ts"))).select("region", F.struct(*FINDING).alias("_a"))
+    listed = found.groupBy("region").agg(F.array_sort(F.collect_list("_a")).alias("anomalies"))
     means = [weather.select(n).scalar().alias(n) for n in ("temperature", "humidity", "solar_irradiance")]
-    out = documents.join(listed, "document", "left").withColumns({
+    out = documents.unionByName(total).join(listed, "region", "left").withColumns({
         "weather": F.struct(*means),
         "anomalies": F.coalesce("anomalies", F.array().cast(f"array<{_FINDING_TYPE}>")),
     })
     if importances is None:
-        out = out.withColumn("feature_importances", F.create_map().cast("map<string,map<string,map<string,double>>>"))
-    return stamp(out.drop("document"), timestamp)
+        out = out.withColumn("feature_importances", empty["feature_importances"])
+    return stamp(out.drop("region"), timestamp)
 
 
 def stamp(documents: DataFrame, timestamp: Column | None = None) -> DataFrame:
@@ -119,39 +121,52 @@ def stamp(documents: DataFrame, timestamp: Column | None = None) -> DataFrame:
 
 
 def write_snapshot(documents: DataFrame, path: str, region_pattern: str = REGION_PATTERN) -> None:
-    """Validate and write JSON lines; a reader sees the old files or the new ones.
+    """Validate and write JSON lines as a new version below ``path``; a reader sees the version before or this one.
 
-    Documents are computed once, into the shared folder, and checked there. Raises ``ValueError`` on violations, before anything is written.
+    Documents are computed once, into the shared folder, and checked there. Raises ``ValueError`` on violations, before anything is
+    written.
     """
-    documents = staged(documents, "snapshot")
-    texts = documents.select(F.to_json(F.struct(*documents.columns)).alias("body"))
-    bad = validate(texts.withColumn("doc_id", F.lit("snapshot")), region_pattern).limit(5).collect()
-    if bad:
-        raise ValueError(f"snapshot breaks its schema: {[(r.rule, r.path) for r in bad]}")
-    documents.write.mode("overwrite").json(path)
+    with staging("snapshot") as keep:
+        documents = keep(documents)
+        texts = documents.select(F.to_json(F.struct(*documents.columns)).alias("body"))
+        bad = validate(texts.withColumn("doc_id", F.lit("snapshot")), region_pattern).limit(5).collect()
+        if bad:
+            raise ValueError(f"snapshot breaks its schema: {[(r.rule, r.path) for r in bad]}")
+        write_version(documents, path)
+
 
+def read_snapshot(spark: SparkSession, path: str, multiline: bool = False, region_pattern: str = REGION_PATTERN) -> DataFrame | None:
+    """Migrated documents with their ``issues``, or None where the path does not exist.
 
-def read_snapshot(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame | None:
-    """Migrated documents, or None where the path does not exist. Broken ones stay, in ``_corrupt_record``."""
-    reader = spark.read.schema(snapshot_schema(corrupt=True)).option("mode", "PERMISSIVE")
+    Below ``path`` the newest finished version is read, or the files themselves where there are no versions. A line that is no document keeps
+    its text in ``_corrupt_record``; it is not migrated, so it gets no version and no defaults. Documents that break the schema keep
+    what could be read and carry their issues; whoever uses them decides. With ``multiline`` each file is one document.
+    """
     try:
-        raw = reader.option("multiLine", multiline).json(path)
+        lines = spark.read.option("wholetext", multiline).text(newest(spark, path) or path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    return migrate(raw)
+    checked = with_issues(lines.where(F.trim("value") != "").select(F.col("value").alias("body")), region_pattern)
+    broken = F.try_parse_json("body").isNull()
+    parsed = F.from_json("body", snapshot_schema(), {"mode": "PERMISSIVE"})
+    # a missing version is what migration repairs
+    left = F.filter("issues", lambda i: ~((i["rule"] == "missing_key") & (i["path"] == "schema_version")))
+    documents = checked.select(parsed.alias("_d"), F.when(broken, F.col("body")).alias("_corrupt_record"), left.alias("issues"))
+    return migrate(documents.select("_d.*", "_corrupt_record", "issues"))
 
 
 def migrate(documents: DataFrame) -> DataFrame:
     """Bring documents to the current version, one version after the other.
 
     1.0.0, or no version, gets empty path maps and becomes 1.1.0; 1.1.0 gets default weather and
-    becomes 1.2.0. Other versions stay as they are.
+    becomes 1.2.0. Other versions, and rows that are no documents (``_corrupt_record``), stay as they are.
     """
+    whole = F.col("_corrupt_record").isNull() if "_corrupt_record" in documents.columns else F.lit(True)
     kinds = {f.name: f.dataType for f in snapshot_schema()}
     version = F.coalesce("schema_version", F.lit("1.0.0"))
-    first, second = version == "1.0.0", version.isin("1.0.0", "1.1.0")
+    first, second = whole & (version == "1.0.0"), whole & version.isin("1.0.0", "1.1.0")
 
     def or_empty(name: str) -> Column:
         empty = F.create_map().cast(kinds[name])
@@ -163,7 +178,7 @@ def migrate(documents: DataFrame) -> DataFrame:
             "forecast_paths": or_empty("forecast_paths"),
             "interval_paths": or_empty("interval_paths"),
             "weather": F.when(second & F.col("weather").isNull(), default).otherwise(F.col("weather")),
-            "schema_version": F.when(second, SCHEMA_VERSION).otherwise(version),
+            "schema_version": F.when(second, SCHEMA_VERSION).otherwise(F.col("schema_version")),
         }.get(c, F.col(c)).alias(c)
         for c in documents.columns
     ])
@@ -174,12 +189,18 @@ HORIZON_PATTERN = "^(" + "|".join(HORIZON_STEPS) + ")$"
 
 
 def validate(documents: DataFrame, region_pattern: str = REGION_PATTERN) -> DataFrame:
-    """Violations ``(doc_id, rule, path)`` of a column of JSON texts ``body``; none for valid documents.
+    """Violations ``(doc_id, rule, path)`` of a column of JSON texts ``body``; none for valid documents."""
+    found = with_issues(documents.select("doc_id", "body"), region_pattern)
+    return found.select("doc_id", F.explode("issues").alias("i")).select("doc_id", "i.rule", "i.path")
+
+
+def with_issues(documents: DataFrame, region_pattern: str = REGION_PATTERN) -> DataFrame:
+    """Documents with an array ``issues`` of the violations (rule, path) of their JSON text ``body``.
 
     Checks required keys, types, region and horizon names, numbers, and that intervals have both
     bounds. Unknown names are violations.
     """
-    doc = documents.select("doc_id", F.try_parse_json("body").alias("v"))
+    doc = documents.withColumn("v", F.try_parse_json("body"))
 
     def part(path: str, kind: str) -> Column:
         return F.try_variant_get("v", path, kind)
@@ -280,5 +301,5 @@ def validate(documents: DataFrame, region_pattern: str = REGION_PATTERN) -> Data
         regions_of("feature_importances", features),
         finding_keys, weather,
     )
-    return doc.select("doc_id", F.explode(issues).alias("i")).select("doc_id", "i.rule", "i.path")
+    return doc.withColumn("issues", issues).drop("v")
 

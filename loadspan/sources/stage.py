@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 
 from loadspan.session import shared_dir
@@ -15,3 +18,25 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staging(purpose: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Stage tables for a plan that ends inside the block; their folders are removed when it does.
+
+    For plans that write their result in the block. A lazy result that leaves it needs :func:`staged`.
+    """
+    made: list[tuple[DataFrame, str]] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = shared_dir(df.sparkSession, purpose)
+        made.append((df, path))
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        for df, path in made:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)

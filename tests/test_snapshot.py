@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadspan.operators.anomaly import FINDING
-from loadspan.sources import snapshot
+from loadspan.sources import snapshot, versions
 
 GOOD = {
     "schema_version": "1.2.0", "timestamp": "2024-01-01T00:00:00", "current_load": {"region_1": 1.5, "region_2": 3},
@@ -71,9 +71,18 @@ def test_migration_keeps_what_is_there(spark):
 def test_missing_file_and_broken_lines(spark, tmp_path):
     assert snapshot.read_snapshot(spark, str(tmp_path / "nothing")) is None
     (tmp_path / "s").mkdir()
-    (tmp_path / "s" / "a.json").write_text(json.dumps(changed(intervals={})) + "\nnot json\n")
-    rows = snapshot.read_snapshot(spark, str(tmp_path / "s")).collect()
-    assert sorted(r._corrupt_record is None for r in rows) == [False, True]
+    wrong = changed(predictions={"region_1": {"1h": "much"}})
+    lines = [changed(intervals={}), wrong, {"predictions": {}, "anomalies": []}]
+    (tmp_path / "s" / "a.json").write_text("\n".join(map(json.dumps, lines)) + "\nnot json\n")
+    rows = {bool(r._corrupt_record): r for r in snapshot.read_snapshot(spark, str(tmp_path / "s")).orderBy(F.size("issues").desc()).collect()}
+    broken = rows[True]
+    assert broken._corrupt_record == "not json" and broken.schema_version is None and broken.weather is None and broken.forecast_paths is None
+    assert ("not_json", "$") in {(i["rule"], i.path) for i in broken.issues}
+    whole = snapshot.read_snapshot(spark, str(tmp_path / "s")).where("_corrupt_record IS NULL").collect()
+    found = sorted(sorted((i["rule"], i.path) for i in r.issues) for r in whole)
+    assert found[0] == [] and [("not_a_number", "predictions.region_1.1h")] in found
+    assert all(r.schema_version == "1.2.0" for r in whole)
+    assert not any(path == "schema_version" for issues in found for _, path in issues)
 
 
 def inputs(spark, regions=2):
@@ -93,25 +102,42 @@ def test_write_and_read_back(spark, tmp_path):
     path = str(tmp_path / "snap")
     importances = spark.createDataFrame([("region_1", "1h", "hour", 0.5)], "region string, horizon string, feature string, importance double")
     snapshot.write_snapshot(snapshot.build_snapshot(*inputs(spark), importances), path)
-    doc = snapshot.read_snapshot(spark, path).first()
-    assert doc.schema_version == snapshot.SCHEMA_VERSION and doc.current_load == {"region_1": 5, "region_2": 5}
-    assert doc.predictions["region_2"] == {"15min": 1, "1h": 4, "6h": 24, "12h": 48, "24h": 96, "48h": 192}
+    docs = snapshot.read_snapshot(spark, path).collect()
+    by_region = {next(iter(d.current_load), "TOTAL"): d for d in docs}
+    assert set(by_region) == {"region_1", "region_2", "TOTAL"} and not any(d.issues for d in docs)
+    doc = by_region["region_1"]
+    assert doc.schema_version == snapshot.SCHEMA_VERSION and doc.current_load == {"region_1": 5}
+    assert by_region["region_2"].predictions["region_2"] == {"15min": 1, "1h": 4, "6h": 24, "12h": 48, "24h": 96, "48h": 192}
     assert doc.forecast_paths["region_1"]["1h"] == [1, 2, 3, 4]
     assert doc.interval_paths["region_1"]["1h"].upper == [2, 3, 4, 5]
     assert doc.intervals["region_1"]["15min"].lower == 0
-    assert [a.region for a in doc.anomalies] == ["TOTAL", "region_1"]
+    assert [a.region for a in doc.anomalies] == ["region_1"]
+    assert [a.region for a in by_region["TOTAL"].anomalies] == ["TOTAL"] and by_region["TOTAL"].predictions == {}
     assert doc.feature_importances == {"region_1": {"1h": {"hour": 0.5}}}
 
 
-def test_many_regions_spread_over_documents(spark):
-    docs = snapshot.build_snapshot(*inputs(spark, 30), regions_per_document=10).collect()
-    assert len(docs) == 3
-    assert sum(len(d.current_load) for d in docs) == 30
+@pytest.mark.parametrize("regions", [1, 30])
+def test_a_document_for_each_region_however_many(spark, regions):
+    docs = snapshot.build_snapshot(*inputs(spark, regions)).collect()
+    assert len(docs) == regions + 1
     for d in docs:
-        assert set(d.current_load) == set(d.predictions) == set(d.forecast_paths)
+        assert set(d.current_load) == set(d.predictions) == set(d.forecast_paths) and len(d.current_load) <= 1
     assert sum(a.region == "TOTAL" for d in docs for a in d.anomalies) == 1
 
 
+def test_readers_see_the_newest_finished_version(spark, tmp_path):
+    path = str(tmp_path / "v")
+    for _ in range(3):
+        snapshot.write_snapshot(snapshot.build_snapshot(*inputs(spark, 1)), path)
+    kept = versions.versions(spark, path)
+    assert len(kept) == 2
+    torn = tmp_path / "v" / "version=99999999999999999999-x"
+    torn.mkdir()
+    (torn / "part.json").write_text("half")
+    assert versions.newest(spark, path) == kept[-1]
+    assert snapshot.read_snapshot(spark, path).where("_corrupt_record IS NOT NULL").count() == 0
+
+
 def test_an_invalid_snapshot_is_not_written(spark, tmp_path):
     docs = snapshot.build_snapshot(*inputs(spark))
     with pytest.raises(ValueError, match="unknown_region"):
