@@ -1,16 +1,27 @@
-"""Queries that run a stream over the event file to its end."""
+"""Queries that run a stream over the event files to their end."""
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
-from loadspan.operators.stats import region_stats
+from loadspan.operators import anomaly as an
+from loadspan.operators import forecast as fc
+from loadspan.operators.stats import weather_average
 from loadspan.queries import inputs as src
+from loadspan.queries.anomalies import THRESHOLDS
+from loadspan.queries.inputs import rounded
 from loadspan.queries.registry import query
+from loadspan.queries.sqlbase import sql
 from loadspan.session import shared_dir
+from loadspan.sources import snapshot
 from loadspan.sources.stage import staged
 from loadspan.streaming import jobs
 
+# The stream emits an interval when the newest row is half an hour past its end.
+CLOSED = """closed AS (SELECT o.*, o.ts + INTERVAL 15 MINUTE <= (SELECT max(ts) - INTERVAL 30 MINUTE FROM events) AS closed FROM observed o)"""
+
 
 def events(spark, d):
     return jobs.event_stream(spark, d, "events.parquet")
@@ -24,27 +35,77 @@ def finished(spark, stream, purpose):
     return spark.read.schema(stream.schema).parquet(f"{path}/table"), running
 
 
-@query("stream_load_15min")
+@query("stream_load_15min", sql("SELECT region, ts, load, closed FROM closed", "observed", extra=CLOSED))
 def stream_load_15min(spark, d):
-    return finished(spark, jobs.stream_load(events(spark, d)), "stream-load")[0]
+    """Intervals the stream has emitted, and those it still holds."""
+    emitted = finished(spark, jobs.stream_load(events(spark, d)), "stream-load")[0].withColumn("closed", F.lit(True))
+    return emitted.unionByName(jobs.open_windows(src.events(spark, d)).withColumn("closed", F.lit(False)))
 
 
-@query("stream_anomaly")
+@query("stream_anomaly", sql("""SELECT region, ts, load, z AS z_score, CASE WHEN z > 3 THEN 'high' ELSE 'medium' END AS severity FROM (
+    SELECT c.region, c.ts, c.load, round(abs((c.load - s.mean) / s.std), 6) AS z FROM closed c JOIN stats s ON s.region = c.region WHERE closed) q
+    WHERE z > 2.5""", "observed", "stats", extra=CLOSED))
 def stream_anomaly(spark, d):
-    stats = staged(region_stats(src.recent(spark, d)), "stats")
-    return finished(spark, jobs.stream_anomaly(events(spark, d), stats), "stream-anomaly")[0]
+    """Closed intervals that stand out from the trailing week, whose statistics each batch reads anew."""
+    path = shared_dir(spark, "stream-anomaly")
+    running = jobs.start_anomalies(
+        jobs.stream_load(events(spark, d)), lambda: src.recent(spark, d), f"{path}/table", f"{path}/checkpoint", every=None,
+    )
+    running.awaitTermination()
+    return spark.read.schema("region STRING, ts TIMESTAMP_NTZ, load DOUBLE, z_score DOUBLE, severity STRING").parquet(f"{path}/table/*")
+
+
+def documents(spark, d, latest):
+    """Snapshot of the newest closed intervals: seasonal-naive paths with intervals, findings of the rules, weather means."""
+    fortnight = staged(src.two_weeks(spark, d), "fortnight")
+    end = latest.agg(F.max("ts").alias("v")).scalar()
+    past = fortnight.filter(F.col("ts") <= end)
+    week = past.filter(F.col("ts") > end - F.expr("INTERVAL 7 DAYS"))
+    path = staged(fc.prediction_interval(fc.seasonal_naive(week, end)), "path")
+    found = an.all_rules(week, fc.path_anchor(path).withColumn("origin", end), path, end, THRESHOLDS, "latest")
+    return snapshot.build_snapshot(latest.select("region", "load"), path, found, weather_average(src.latest_weather(spark, d)), timestamp=end)
 
 
-@query("stream_snapshot")
+@query("stream_snapshot", sql("""SELECT c.region, round(c.load + 1e-9, 6) AS current_load, round(p.load + 1e-9, 6) AS point_24h, strftime(h.hi2, '%Y-%m-%dT%H:%M:%S') AS timestamp
+    FROM (SELECT region, arg_max(load, ts) AS load FROM closed WHERE closed GROUP BY region) c
+    CROSS JOIN (SELECT max(ts) AS hi2 FROM closed WHERE closed) h
+    LEFT JOIN load p ON p.region = c.region AND p.ts = h.hi2 + INTERVAL 24 HOUR - INTERVAL 7 DAY""", "observed", "load", extra=CLOSED))
 def stream_snapshot(spark, d):
+    """The current snapshot after the stream has read everything: the load and the forecast of a day of each region."""
     path = shared_dir(spark, "stream-snapshot")
-    running = jobs.start_snapshots(jobs.stream_load(events(spark, d)), f"{path}/out", f"{path}/checkpoint", every=None)
+    running = jobs.start_documents(
+        jobs.stream_load(events(spark, d)), lambda latest: documents(spark, d, latest), f"{path}/out", f"{path}/checkpoint", every=None,
+    )
     running.awaitTermination()
-    written = spark.read.schema("region STRING, ts TIMESTAMP_NTZ, load DOUBLE, batch_id INT").json(f"{path}/out/*")
-    return written.select("region", "ts", "load", F.col("batch_id"))
+    found = snapshot.read_snapshot(spark, f"{path}/out", region_pattern="^[a-z_0-9]+$")
+    one = found.select(F.explode("current_load").alias("region", "current_load"), "predictions", "timestamp")
+    return rounded(one.select("region", "current_load", F.col("predictions")[F.col("region")]["24h"].alias("point_24h"), "timestamp"))
 
 
-@query("stream_late_rows")
+@query("stream_late_rows", """SELECT CAST(count(*) AS BIGINT) AS rows_read, count(*) FILTER (WHERE ts < mid) > 0 AS any_dropped, CAST(3 AS BIGINT) AS files_read
+    FROM events CROSS JOIN (SELECT date_trunc('day', min(ts)) + (date_trunc('day', max(ts)) - date_trunc('day', min(ts))) / 2 AS mid FROM events) m""")
 def stream_late_rows(spark, d):
-    _, running = finished(spark, jobs.stream_load(events(spark, d)), "stream-late")
-    return jobs.progress_table(spark, running)
+    """The newer half of the events is read first, so that the older half comes too late: rows read, and whether any were dropped."""
+    given = src.events(spark, d)
+    axis = src.axis(spark, d)
+    mid = axis.lo + (F.date_trunc("day", axis.hi) - axis.lo) / 2
+    path = shared_dir(spark, "stream-late")
+    newer, even = F.col("ts") >= mid, F.col("event_id") % 2 == 0
+    # a batch drops what was late before the batch ahead of it, so two files of the newer half come first
+    for part in (newer & even, newer & ~even, ~newer):
+        given.filter(part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        time.sleep(1.5)  # files are read in the order of their times, which may count in seconds
+    log = jobs.ProgressLog(spark, f"{path}/progress")
+    spark.streams.addListener(log)
+    try:
+        stream = jobs.stream_load(jobs.event_stream(spark, f"{path}/in", files_per_batch=1))
+        running = jobs.start_table(stream, f"{path}/table", f"{path}/checkpoint")
+        running.awaitTermination()
+        spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+        time.sleep(1)
+    finally:
+        spark.streams.removeListener(log)
+    return log.table(running).agg(
+        F.sum("rows_read").alias("rows_read"), (F.sum("rows_dropped") > 0).alias("any_dropped"),
+        F.count_if(F.col("rows_read") > 0).alias("files_read"),
+    )

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from loadspan.config import DEFAULTS, Thresholds
 from loadspan.operators.anomaly import severity, zscore
+from loadspan.operators.stats import region_stats
+from loadspan.sources.versions import write_version
 
 EVENT_DDL = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 LATENESS = "30 minutes"
@@ -39,17 +43,71 @@ def stream_load(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 
 def stream_anomaly(events: DataFrame, stats: DataFrame, thresholds: Thresholds = DEFAULTS, lateness: str = LATENESS) -> DataFrame:
-    """Closed intervals scored against a batch table of region statistics; findings only."""
+    """Closed intervals scored against a table of region statistics that is listed once, at the start; findings only.
+
+    :func:`start_anomalies` reads the statistics anew for each batch.
+    """
+    return scored(stream_load(events, lateness), stats, thresholds)
+
+
+def scored(load: DataFrame, stats: DataFrame, thresholds: Thresholds = DEFAULTS) -> DataFrame:
     z = zscore(F.col("load"), F.col("mean"), F.col("std"))
     return (
-        stream_load(events, lateness)
-        .join(stats.select("region", "mean", "std"), "region")
+        load.join(stats.select("region", "mean", "std"), "region")
         .withColumn("z_score", z)
         .filter(F.col("z_score") > thresholds.region)
         .select("region", "ts", "load", "z_score", severity(F.col("z_score"), thresholds).alias("severity"))
     )
 
 
+def open_windows(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """15-minute sums that the stream still holds after all of ``events``: those its watermark has not passed.
+
+    The stream emits them with the next rows; until then this batch table is how to see them.
+    """
+    mark = events.agg((F.max("ts") - F.expr(f"INTERVAL {lateness}")).alias("v")).scalar()
+    slot = F.window(F.col("ts").cast("timestamp"), "15 minutes")
+    sums = events.groupBy(F.col("event_type").alias("region"), slot.alias("_w")).agg(F.round(F.sum("value"), 6).alias("load"))
+    return sums.filter(F.col("_w.end").cast("timestamp_ntz") > mark).select(
+        "region", F.col("_w.start").cast("timestamp_ntz").alias("ts"), "load"
+    )
+
+
+def start_anomalies(stream: DataFrame, week: Callable[[], DataFrame], path: str, checkpoint: str,
+                    thresholds: Thresholds = DEFAULTS, every: str | None = "15 minutes") -> StreamingQuery:
+    """Score each batch of closed intervals against the statistics of ``week()``, which is read anew for every batch.
+
+    A batch has a folder of its own, so one that is repeated after a failure replaces itself.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        found = scored(batch, region_stats(week()), thresholds)
+        found.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _start(stream, write, checkpoint, every)
+
+
+def start_documents(stream: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
+                    every: str | None = "15 minutes") -> StreamingQuery:
+    """Refresh the snapshot with each batch: ``build`` makes documents of the newest closed interval of each region.
+
+    ``build`` reads histories and statistics itself, so they are those of the time of the batch. The documents become a new version
+    below ``path``, of which readers see the newest; a batch without closed intervals leaves the current one.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        newest = latest_per_region(batch, batch_id).drop("batch_id")
+        if not newest.isEmpty():
+            write_version(build(newest), path)
+
+    return _start(stream, write, checkpoint, every)
+
+
+def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str | None) -> StreamingQuery:
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def latest_per_region(batch: DataFrame, batch_id: int) -> DataFrame:
     """Newest closed interval of each region in a batch."""
     return batch.groupBy("region").agg(F.max("ts").alias("ts"), F.max_by("load", "ts").alias("load")).withColumn(
@@ -76,20 +134,43 @@ def start_table(stream: DataFrame, path: str, checkpoint: str, every: str | None
 
 
 def start_snapshots(stream: DataFrame, path: str, checkpoint: str, every: str | None = "15 minutes") -> StreamingQuery:
-    trigger = {"processingTime": every} if every else {"availableNow": True}
-    return (
-        stream.writeStream.foreachBatch(snapshot_writer(path)).outputMode("append")
-        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
-    )
+    return _start(stream, snapshot_writer(path), checkpoint, every)
+
+
+PROGRESS_DDL = "run_id STRING, batch_id BIGINT, rows_read BIGINT, rows_dropped BIGINT"
+
+
+def progress_row(progress) -> tuple[str, int, int, int]:
+    dropped = sum(int(s.get("numRowsDroppedByWatermark", 0)) for s in progress.get("stateOperators", []))
+    return str(progress["runId"]), int(progress["batchId"]), int(progress["numInputRows"]), dropped
+
+
+class ProgressLog(StreamingQueryListener):
+    """Appends the progress of every batch to a table, so that none is forgotten however long a query runs."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        row = progress_row(json.loads(event.progress.json))
+        self.spark.createDataFrame([row], PROGRESS_DDL).coalesce(1).write.mode("append").parquet(self.path)
+
+    def table(self, query: StreamingQuery) -> DataFrame:
+        """Rows read and rows dropped behind the watermark, per batch of a query's run."""
+        rows = self.spark.read.schema(PROGRESS_DDL).parquet(self.path)
+        return rows.filter(F.col("run_id") == str(query.runId)).drop("run_id")
 
 
 def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Rows read and rows dropped behind the watermark, per batch the query still remembers."""
-    rows = [
-        (
-            int(p["batchId"]), int(p["numInputRows"]),
-            sum(int(s.get("numRowsDroppedByWatermark", 0)) for s in p.get("stateOperators", [])),
-        )
-        for p in query.recentProgress
-    ]
+    """As :meth:`ProgressLog.table`, for the batches the query still remembers (100 by default): a look at a short run."""
+    rows = [progress_row(p)[1:] for p in query.recentProgress]
     return spark.createDataFrame(rows, "batch_id bigint, rows_read bigint, rows_dropped bigint")

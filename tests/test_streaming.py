@@ -1,9 +1,11 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from loadspan.operators.stats import region_stats
+from loadspan.sources import versions
 from loadspan.sources.tables import observed_load
 from loadspan.streaming import jobs
 
@@ -78,3 +80,58 @@ def test_snapshots_of_a_stream(spark, folder, tmp_path):
     query.awaitTermination()
     rows = spark.read.json(f"{tmp_path}/s/*").collect()
     assert [r.region for r in rows] == ["a"]
+
+
+def test_statistics_are_read_anew_for_each_batch(spark, folder, tmp_path, hours):
+    put(spark, folder, [event(1, 0, value=10), event(2, 15, value=50), event(3, 300)], "b1")
+    weeks = [hours({"a": [9.0, 10.0, 11.0]}), hours({"a": [1.0, 500.0]})]
+    asked = []
+
+    def week():
+        asked.append(1)
+        return weeks[0] if len(asked) < 3 else weeks[1]
+
+    stream = jobs.stream_load(jobs.event_stream(spark, str(folder)))
+    out = (f"{tmp_path}/t", f"{tmp_path}/c")
+    jobs.start_anomalies(stream, week, *out, every=None).awaitTermination()
+    put(spark, folder, [event(4, 301, value=50), event(5, 600)], "b2")
+    jobs.start_anomalies(stream, week, *out, every=None).awaitTermination()
+    found = spark.read.schema("region STRING, ts TIMESTAMP_NTZ, load DOUBLE, z_score DOUBLE, severity STRING").parquet(f"{out[0]}/*")
+    assert [(r.load, r.z_score) for r in found.collect()] == [(50, 40)] and len(asked) > 2
+
+
+def test_documents_of_two_batches_leave_one_current_version(spark, folder, tmp_path):
+    def build(latest):
+        return latest.select("region", "load")
+
+    stream = jobs.stream_load(jobs.event_stream(spark, str(folder)))
+    path = f"{tmp_path}/s"
+    for name, start in (("b1", 0), ("b2", 300)):
+        put(spark, folder, [event(i, start + i * 10, value=start + 1) for i in range(12)], name)
+        jobs.start_documents(stream, build, path, f"{tmp_path}/c", every=None).awaitTermination()
+    rows = spark.read.json(versions.newest(spark, path)).collect()
+    assert [(r.region, r.load) for r in rows] == [("a", 602)]
+
+
+def test_progress_of_all_batches_is_kept(spark, folder, tmp_path):
+    for i in range(3):
+        put(spark, folder, [event(i, i * 100)], f"b{i}")
+    log = jobs.ProgressLog(spark, f"{tmp_path}/p")
+    spark.streams.addListener(log)
+    try:
+        stream = jobs.stream_load(jobs.event_stream(spark, str(folder), files_per_batch=1))
+        _, query = run(spark, stream, tmp_path)
+        spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+        time.sleep(1)
+    finally:
+        spark.streams.removeListener(log)
+    assert log.table(query).agg(F.sum("rows_read").alias("n")).first().n == 3
+
+
+def test_open_windows_are_what_the_stream_has_not_emitted(spark, folder, tmp_path):
+    rows = [event(i, i * 3, "ab"[i % 2], i) for i in range(100)]
+    put(spark, folder, rows, "one")
+    got, _ = run(spark, jobs.stream_load(jobs.event_stream(spark, str(folder))), tmp_path)
+    given = spark.read.parquet(str(folder / "one.parquet"))
+    both = got.unionByName(jobs.open_windows(given))
+    assert sorted(both.collect()) == sorted(observed_load(given).select("region", "ts", "load").collect())
