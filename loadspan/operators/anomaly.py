@@ -16,6 +16,7 @@ from loadspan.config import DEFAULTS, Thresholds
 from loadspan.operators.forecast import path_prefix, path_sum
 from loadspan.operators.stats import load_share, region_stats, safe_std, share_stats, system_total, with_share
 from loadspan.plans.blocks import with_window_columns
+from loadspan.plans.skew import salted_join
 
 FINDING = {
     "rule": "string", "region": "string", "horizon": "string", "severity": "string", "type": "string",
@@ -72,7 +73,7 @@ def region_status(window: DataFrame, thresholds: Thresholds = DEFAULTS, scope: s
                   exclude_current: bool = False) -> DataFrame:
     """Each scored row with its statistics and score: one row per region for the latest scope."""
     stats = window_stats(window, exclude_current)
-    scored = scored_rows(window, scope).join(stats, "region")
+    scored = salted_join(scored_rows(window, scope), stats, ["region"], ["ts"])
     z = zscore(F.col("load"), F.col("mean"), F.col("std"))
     return scored.withColumn("z_score", z).withColumn("is_anomaly", F.col("z_score") > thresholds.region)
 
@@ -94,7 +95,7 @@ def region_finding(z: Column, thresholds: Thresholds) -> Column:
 
 def anomaly_forecast_anchor(window: DataFrame, anchors: DataFrame, thresholds: Thresholds = DEFAULTS) -> DataFrame:
     """Forecast at a horizon against the region's history. ``anchors``: region, origin, horizon, point."""
-    return _anchor_findings(anchors.join(region_stats(window), "region"), thresholds)
+    return _anchor_findings(salted_join(anchors, region_stats(window), ["region"], ["origin"]), thresholds)
 
 
 def _anchor_findings(known: DataFrame, thresholds: Thresholds) -> DataFrame:
@@ -126,7 +127,7 @@ def anomaly_share(window: DataFrame, thresholds: Thresholds = DEFAULTS, scope: s
     """Share of the total: unusual, at least 40 %, or at least 15 points above its mean."""
     shares = load_share(window)
     history = share_stats(shares, stats)
-    scored = scored_rows(shares, scope).join(history, "region")
+    scored = salted_join(scored_rows(shares, scope), history, ["region"], ["ts"])
     return scored.filter(share_hit(thresholds)).select(share_finding(thresholds).alias("f")).select("f.*")
 
 
@@ -286,13 +287,13 @@ def all_rules(window: DataFrame, anchors: DataFrame, forecast: DataFrame, end: C
     known = keep(region_stats(rows).join(share_stats(rows, share), "region"))
     z_load = zscore(F.col("load"), F.col("mean"), F.col("std"))
     z_peer = zscore(F.col("load"), F.col("peer_mean"), F.col("peer_std"))
-    judged = scored_rows(rows, scope, end).join(known, "region")
+    judged = salted_join(scored_rows(rows, scope, end), known, ["region"], ["ts"])
     on_rows = judged.select(F.explode(F.filter(F.array(
         F.struct((z_load > thresholds.region).alias("hit"), region_finding(z_load, thresholds).alias("f")),
         F.struct((z_peer > thresholds.peer).alias("hit"), peer_finding(z_peer, thresholds).alias("f")),
         F.struct(share_hit(thresholds).alias("hit"), share_finding(thresholds).alias("f")),
     ), lambda x: x["hit"])).alias("e")).select("e.f.*")
-    on_anchors = _anchor_findings(anchors.join(known, "region"), thresholds)
+    on_anchors = _anchor_findings(salted_join(anchors, known, ["region"], ["origin"]), thresholds)
     on_paths = _path_findings(path_prefix(forecast).join(known, "region"), end, thresholds)
     totals = times.select("ts", F.col("total").alias("load"))
     return anomaly_union([

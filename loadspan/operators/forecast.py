@@ -11,6 +11,7 @@ from loadspan.config import HORIZON_STEPS, SLOTS_PER_WEEK, STEP_MINUTES, WINDOW_
 from loadspan.functions.time import as_col, minutes_between, steps_after
 from loadspan.operators.stats import exact_quantile
 from loadspan.plans.blocks import with_window_columns
+from loadspan.plans.skew import salted_join
 
 HORIZON_MINUTES = {name: steps * STEP_MINUTES for name, steps in HORIZON_STEPS.items()}
 
@@ -212,7 +213,7 @@ def prediction_interval(forecast: DataFrame, qhat: DataFrame | None = None, keys
     if qhat is None:
         joined = forecast.withColumn("qhat", F.lit(None).cast("double"))
     else:
-        joined = forecast.join(qhat, list(keys), "left")
+        joined = salted_join(forecast, qhat, list(keys), forecast.columns, "left")
     half = F.coalesce(F.col("qhat"), F.abs("point") * 0.1)
     return joined.withColumn("lower", F.col("point") - half).withColumn("upper", F.col("point") + half).drop("qhat")
 

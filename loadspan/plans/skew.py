@@ -26,21 +26,25 @@ def salted_join(
     return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
-def with_global_rank(df: DataFrame, value: Column, name: str = "rank", bins: int = 1024) -> DataFrame:
-    """Rank over all rows, largest value first, equal values sharing a rank.
+def with_global_rank(df: DataFrame, value: Column, name: str = "rank", bins: int = 256) -> DataFrame:
+    """Rank over all rows, largest value first, equal values sharing a rank; a null value has a null rank.
 
-    Values fall into equal-width bins in falling order; a row's rank is that in its bin plus the
-    rows of the bins before. At most ``bins`` counts meet in one task.
+    Equal values are counted first. The different values fall into bins between approximate quantiles, so an outlier
+    does not leave all others in one bin; a value's rank is one more than the rows above it in its bin and in the bins before. At most
+    ``bins`` counts meet in one task.
     """
     valued = df.withColumn("_v", value)
-    span = valued.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    place = F.floor(F.coalesce(F.try_divide(hi - F.col("_v"), hi - lo), F.lit(0.0)) * bins)
-    binned = valued.withColumn("_bin", F.least(place, F.lit(bins - 1)).cast("int"))
+    counted = valued.filter(F.col("_v").isNotNull()).groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    cuts = counted.agg(F.percentile_approx("_v", [i / bins for i in range(1, bins)] or [0.5], 10_000).alias("c")).scalar()
+    binned = counted.withColumn("_cuts", cuts).withColumn(
+        "_bin", F.size(F.filter("_cuts", lambda c: c > F.col("_v")))
+    ).drop("_cuts")
     earlier = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    before = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_bin", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    before = binned.groupBy("_bin").agg(F.sum("_n").alias("_all")).select(
+        "_bin", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before")
     )
-    inside = Window.partitionBy("_bin").orderBy(F.col("_v").desc())
-    ranked = binned.join(before, "_bin").withColumn(name, (F.rank().over(inside) + F.col("_before")).cast("int"))
-    return ranked.drop("_v", "_bin", "_before")
+    above = Window.partitionBy("_bin").orderBy(F.col("_v").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = binned.join(before, "_bin").select(
+        "_v", (F.coalesce(F.sum("_n").over(above), F.lit(0)) + F.col("_before") + 1).cast("int").alias(name)
+    )
+    return salted_join(valued, ranked, ["_v"], df.columns, "left").drop("_v")
