@@ -26,9 +26,11 @@ def horizon_array(horizons: Mapping[str, int] = HORIZON_STEPS, cadence: int = ST
     )
 
 
-def with_horizons(df: DataFrame, horizons: Mapping[str, int] = HORIZON_STEPS, reaching: str | None = None) -> DataFrame:
+def with_horizons(
+    df: DataFrame, horizons: Mapping[str, int] = HORIZON_STEPS, reaching: str | None = None, cadence: int = STEP_MINUTES
+) -> DataFrame:
     """Each row once per horizon; with ``reaching``, only horizons of at least that many steps."""
-    entries = horizon_array(horizons)
+    entries = horizon_array(horizons, cadence)
     if reaching is not None:
         entries = F.filter(entries, lambda h: h["steps"] >= F.col(reaching))
     return df.select("*", F.explode(entries).alias("_h")).select(*df.columns, "_h.*")

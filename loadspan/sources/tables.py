@@ -66,6 +66,10 @@ def read_axis(facts: DataFrame, ts: str = "ts", minutes: int = STEP_MINUTES) ->
     return Axis(row.lo.date(), floor_step(row.hi, minutes), minutes)
 
 
+def days_before(day: date, days: int) -> date:
+    return day - timedelta(days=days)
+
+
 def region_keys(facts: DataFrame, region: str) -> DataFrame:
     return facts.select(F.col(region).alias("region")).filter(F.col("region").isNotNull()).distinct()
 
