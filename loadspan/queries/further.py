@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loadspan.config import HOURLY_HORIZON_STEPS
+from loadspan.config import HOURLY_HORIZON_STEPS, SLOTS_PER_WEEK
 from loadspan.functions.text import metric_text
 from loadspan.operators import features as fx
 from loadspan.operators import forecast as fc
@@ -54,6 +54,17 @@ def series_by_day(spark, d):
     return tables.read_series(spark, path, tables.days_before(last, 2), tables.days_before(last, 1))
 
 
+@query("trailing_by_day", sql("SELECT region, ts, load FROM recent", "recent"))
+def trailing_by_day(spark, d):
+    """The trailing week of a table in folders of days, with names and axis from beside it."""
+    path = shared_dir(spark, "series")
+    load = src.load(spark, d)
+    tables.write_series(load, f"{path}/series")
+    tables.write_regions(load, f"{path}/regions")
+    axis = tables.axis_of_days(spark, f"{path}/series")
+    return tables.trailing_series(spark, f"{path}/series", spark.read.parquet(f"{path}/regions"), axis, SLOTS_PER_WEEK)
+
+
 @query("recent_hours", sql("SELECT region, ts, load FROM load, bounds WHERE ts BETWEEN hi - INTERVAL 36 HOUR AND hi", "load", "bounds"))
 def recent_hours(spark, d):
     return reshape.recent_history(src.load(spark, d), 36, src.end(spark, d))

@@ -247,6 +247,31 @@ def write_series(series: DataFrame, path: str) -> None:
     dated.repartitionByRange("day", "region", "ts").write.mode("overwrite").partitionBy("day").parquet(path)
 
 
+def write_regions(series: DataFrame, path: str) -> None:
+    """Names of the regions of a canonical table, beside it: trailing reads then need no pass over the whole table."""
+    region_keys(series, "region").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def axis_of_days(spark: SparkSession, path: str, minutes: int = STEP_MINUTES) -> Axis:
+    """Time axis of a table in folders of days: the days from the folders' names, the newest step from the newest folder alone."""
+    days = spark.read.parquet(path).agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
+    if days.lo is None:
+        raise ValueError("the table has no days")
+    newest = read_series(spark, path, days.hi, days.hi).agg(F.max("ts").alias("v")).first().v
+    return Axis(days.lo, floor_step(newest, minutes), minutes)
+
+
+def trailing_series(spark: SparkSession, path: str, regions: DataFrame, axis: Axis, rows: int) -> DataFrame:
+    """The last ``rows`` steps of a dense table in folders of days; only the folders of these days are read.
+
+    Regions of ``regions`` without a row in these days are added with load 0.
+    """
+    first = axis.newest - timedelta(minutes=(rows - 1) * axis.minutes)
+    recent = read_series(spark, path, first.date(), axis.newest.date()).filter(F.col("ts") >= axis.back(rows))
+    values = [c for c in recent.columns if c not in ("region", "ts")]
+    return dense_grid(recent, regions, axis.back(rows), axis.hi, values, minutes=axis.minutes)
+
+
 def read_series(spark: SparkSession, path: str, first: date | None = None, last: date | None = None) -> DataFrame:
     """Read a table written by :func:`write_series`; the days bound the folders listed and read."""
     series = spark.read.parquet(path)

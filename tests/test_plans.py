@@ -96,6 +96,13 @@ def test_trailing_table_equals_the_end_of_the_whole(spark, sf_dir):
     assert sorted(inputs.recent(spark, sf_dir).collect()) == sorted(whole.collect())
 
 
+def test_a_trailing_read_of_days_reads_only_their_folders(spark, sf_dir):
+    text = plan(QUERIES["trailing_by_day"](spark, sf_dir))
+    facts = [s for s in scans(text) if "load:double" in s]
+    assert facts and all("PartitionFilters: [isnotnull(day" in s and ">= " in s for s in facts)
+    assert all("event_type" not in s for s in scans(text))
+
+
 def test_an_empty_table_has_no_axis(spark):
     with pytest.raises(ValueError):
         tables.read_axis(spark.createDataFrame([], "ts timestamp_ntz"))
