@@ -6,14 +6,20 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from loadspan.llm.common import WordCache, map_texts
+from loadspan.llm.common import WordCache, map_texts, raw_texts, spread, stage
 
 #: A word of more bytes is not given to the library at once.
 LONG_BYTES = 512
+#: A text of more bytes is encoded by many tasks, in fragments of so many bytes or symbols.
+LARGE_BYTES = 1 << 20
+FRAGMENT = 1 << 17
 #: Symbols of a leaf of the tree.
 LEAF = 128
 #: A word of Latin letters and trailing marks: the pattern of the pre-tokenizer always cuts between the two.
@@ -34,7 +40,7 @@ def library_threads_off() -> None:
 class TreeEncoder:
     """Ids of a run of symbols that no pre-tokenizer splits.
 
-    Halves are encoded on their own, leaf by leaf in one call of the library, and joined upwards. A join
+    Halves are encoded on their own and joined upwards; halves of very long runs are rows of different tasks (``encode_large``). A join
     encodes a window of the last tokens of the left side and the first of the right one; if its
     first token is the first token of the left part and its last token the last of the right part, both
     sides agree: each neighbouring pair of tokens has then been seen by an encoding, which makes
@@ -49,11 +55,15 @@ class TreeEncoder:
     def plain(self, token: str, last: bool) -> str:
         return token[: len(token) - len(self.suffix)] if last and self.suffix else token
 
-    def encode(self, run: str, leaf: int = LEAF) -> list[str]:
+    def encode(self, run: str, leaf: int = LEAF, ends: bool = True) -> list[str]:
+        """Tokens of a run, or of a fragment that does not end its run."""
         spans = [(i, min(i + leaf, len(run))) for i in range(0, len(run), leaf)]
-        parts = [(self.final if e == len(run) else self.inner)(run[s:e]) for s, e in spans]
+        return self.concatenate([(self.final if ends and e == len(run) else self.inner)(run[s:e]) for s, e in spans], ends)
+
+    def concatenate(self, parts: list[list[str]], ends: bool = True) -> list[str]:
+        """Tokens of neighbouring parts in one list, joined two by two; ``ends`` tells that the last one ends the run."""
         while len(parts) > 1:
-            joined = [self.join(parts[i], parts[i + 1], i + 2 >= len(parts)) for i in range(0, len(parts) - 1, 2)]
+            joined = [self.join(parts[i], parts[i + 1], ends and i + 2 >= len(parts)) for i in range(0, len(parts) - 1, 2)]
             parts = joined + parts[len(joined) * 2:]
         return parts[0] if parts else []
 
@@ -104,18 +114,26 @@ class Bpe:
             )
         return self.tree
 
-    def long_word(self, word: str) -> tuple[int, ...]:
-        """Ids of a word of any length, its unsplit runs encoded as trees."""
-        ids: list[int] = []
+    def runs(self, word: str) -> Iterator[tuple[int, str]]:
+        """The unsplit runs of a word in order, as (-1, symbols), and its special tokens, as (id, "")."""
         for part in self.cut.split(word):
             if part in self.special:
-                ids.append(self.special[part])
+                yield self.special[part], ""
             elif part:
                 normal = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
                 for run, _ in self.library.pre_tokenizer.pre_tokenize_str(normal):
-                    ids += map(self.library.model.token_to_id, self.load_tree().encode(run))
+                    yield -1, run
+
+    def long_word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word of any length, its unsplit runs encoded as trees."""
+        ids: list[int] = []
+        for special, run in self.runs(word):
+            ids += [special] if special >= 0 else self.numbers(self.load_tree().encode(run))
         return tuple(ids)
 
+    def numbers(self, tokens: Sequence[str]) -> list[int]:
+        return list(map(self.library.model.token_to_id, tokens))
+
     def library_ids(self, words: Sequence[str]) -> list[tuple[int, ...]]:
         return [tuple(e.ids) for e in self.library.encode_batch_fast(list(words), add_special_tokens=False)]
 
@@ -166,12 +184,19 @@ def load(path: str) -> Bpe:
     return _LOADED[path]
 
 
+def sized(docs: DataFrame, large: bool) -> DataFrame:
+    """Documents above or up to ``LARGE_BYTES``; null texts are small."""
+    above = F.coalesce(F.octet_length("text") > LARGE_BYTES, F.lit(False))
+    return docs.where(above if large else ~above).select("doc_id", "text")
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<int>) of every whole text, a row for each row; null and empty texts give no ids.
 
     Tokens of these vocabularies never cross ASCII white space, so a text is cut there, which is
     exact, and each word is encoded once for each task's cache; runs longer than ``LONG_BYTES`` go through
-    ``TreeEncoder``. Repeated rows give repeated results; other columns of ``docs`` are not read.
+    ``TreeEncoder``, and texts above ``LARGE_BYTES`` are encoded by many tasks. Repeated rows give repeated results; other columns of
+    ``docs`` are not read.
     """
 
     def make():
@@ -184,12 +209,99 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
         return run
 
-    return map_texts(docs, make, "ids array<int>")
+    return map_texts(sized(docs, False), make, "ids array<int>").unionByName(encode_large(sized(docs, True), path))
+
+
+def fragments(bpe: Bpe, text: bytes, most: int) -> Iterator[tuple[str, bool, bool]]:
+    """(content, joins, ends) of a large text in order, each of about ``most`` bytes or symbols.
+
+    Words come as text; special tokens as their ids; an unsplit run as fragments of its symbols, of which all but the first join the one before
+    and only the last ends the run. A first letter tells the kinds apart: w, s, r.
+    """
+    held: list[bytes] = []
+    size = 0
+    for word in text.split():
+        if len(word) <= most:
+            held.append(word)
+            size += len(word) + 1
+        if held and (size > most or len(word) > most):
+            yield "w" + b" ".join(held).decode("utf-8", "replace"), False, True
+            held, size = [], 0
+        if len(word) > most:
+            for special, run in bpe.runs(word.decode("utf-8", "replace")):
+                if special >= 0:
+                    yield f"s{special}", False, True
+                for i in range(0, len(run), most):
+                    yield "r" + run[i:i + most], i > 0, i + most >= len(run)
+    if held:
+        yield "w" + b" ".join(held).decode("utf-8", "replace"), False, True
+
+
+def encode_large(docs: DataFrame, path: str, most: int = FRAGMENT) -> DataFrame:
+    """(doc_id, ids) of large texts. Their fragments are rows that many tasks encode; one task joins the ids of a text.
+
+    A join encodes only windows around the seams, so what a single task does to a whole text is linear and small.
+    """
+    id_field = docs.schema["doc_id"]
+    id_type = id_field.dataType.simpleString()
+
+    def cut(batches):
+        bpe = load(path)
+        for batch in batches:
+            for i, text in zip(range(len(batch)), raw_texts(batch.column(1))):
+                rows = list(fragments(bpe, text, most)) or [("w", False, True)]
+                n = len(rows)
+                content, joins, ends = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([uuid.uuid4().hex] * n), batch.column(0).take(pa.array([i] * n)), pa.array(range(n), pa.int32()),
+                     pa.array(content), pa.array(joins), pa.array(ends)],
+                    names=["text_key", "doc_id", "seq", "content", "joins", "ends"],
+                )
+
+    # written, as the keys of a text are drawn when it is cut
+    rows = stage(docs.mapInArrow(cut, f"text_key string, doc_id {id_type}, seq int, content string, joins boolean, ends boolean"), "fragments")
+
+    def encode_rows(batches):
+        bpe = load(path)
+        for batch in batches:
+            out = []
+            for content, ends in zip(batch.column("content").to_pylist(), batch.column("ends").to_pylist()):
+                kind, body = content[:1], content[1:]
+                if kind == "r":
+                    out.append(bpe.numbers(bpe.load_tree().encode(body, ends=ends)))
+                elif kind == "s":
+                    out.append([int(body)])
+                else:
+                    out.append([i for ids in bpe.ids(body.encode().split()) for i in ids])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in ("text_key", "doc_id", "seq", "joins", "ends")), pa.array(out, pa.list_(pa.int32()))],
+                names=["text_key", "doc_id", "seq", "joins", "ends", "ids"],
+            )
+
+    encoded = spread(rows).mapInArrow(
+        encode_rows, f"text_key string, doc_id {id_type}, seq int, joins boolean, ends boolean, ids array<int>",
+    )
+
+    def join(group):
+        bpe = load(path)
+        group = group.sort_by("seq")
+        ids: list[int] = []
+        open_run: list[list[str]] = []
+        for part, joins, ends in zip(*(group.column(n).to_pylist() for n in ("ids", "joins", "ends"))):
+            if not joins and ends:
+                ids += part
+                continue
+            open_run.append([bpe.strings[i] for i in part])
+            if ends:
+                ids += bpe.numbers(bpe.load_tree().concatenate(open_run))
+                open_run = []
+        return pa.table({"doc_id": group.column("doc_id").slice(0, 1), "ids": pa.array([ids], pa.list_(pa.int32()))})
+
+    return encoded.groupBy("text_key").applyInArrow(join, f"doc_id {id_type}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) of the ids of ``encode``; null ids give an empty text."""
-    import pyarrow as pa
     from pyspark.sql.types import StringType, StructField, StructType
 
     out = StructType([encoded.schema["doc_id"], StructField("text", StringType())])
@@ -236,4 +348,17 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
         return run
 
-    return map_texts(docs, make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    def digest(batches):
+        bpe = load(path)
+        for batch in batches:
+            ids = batch.column(1).to_pylist()
+            lines, texts = [" ".join(map(str, i)) for i in ids], [bpe.decode(i) for i in ids]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(list(map(len, ids)), pa.int64()),
+                 *(pa.array([hashlib.sha256(x.encode()).hexdigest() for x in column], pa.string()) for column in (lines, texts))],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    ddl = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    large = encode_large(sized(docs, True), path).mapInArrow(digest, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {ddl}")
+    return map_texts(sized(docs, False), make, ddl).unionByName(large)

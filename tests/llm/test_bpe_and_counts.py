@@ -101,3 +101,20 @@ def test_counts_of_the_whole_table(given, byte_bpe):
     for r in given("documents").collect():
         edited = f"[{r.source or ''}]\n" + edit_counts.PRIVATE.sub("[private]", r.text or "")
         assert (got[r.doc_id].n_tokens, got[r.doc_id].n_tokens_edited) == (full(library, r.text or ""), full(library, edited))
+
+
+def test_large_texts_are_encoded_in_fragments(docs, library, word_bpe, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(bpe_tree, "LARGE_BYTES", 3000)
+    texts = [
+        "".join(rng.choice("abcdehinorst") for _ in range(30_000)), "the cat sat. " * 2000, "x" * 2999,
+        " ".join("".join(rng.choice(["the", "é", "9", "!", "<|endoftext|>"]) for _ in range(rng.choice([2, 900]))) for _ in range(80)),
+        " \n" * 4000, None,
+    ]
+    monkeypatch.setattr(bpe_tree.encode_large, "__defaults__", (700,))
+    ids = sorted((r.doc_id, list(r.ids)) for r in bpe_tree.encode(docs(texts + texts[:1], ids=[*range(6), 0]), word_bpe).collect())
+    assert [i for i, _ in ids] == [0, 0, 1, 2, 3, 4, 5]
+    for i, got in ids:
+        assert got == library.encode(texts[i] or "", add_special_tokens=False).ids
+    rows = {r.doc_id: r for r in bpe_tree.round_trip(docs(texts), word_bpe).collect()}
+    assert all(rows[i].ids_sha256 == hashlib.sha256(" ".join(map(str, got)).encode()).hexdigest() for i, got in ids)
