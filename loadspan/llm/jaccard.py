@@ -26,7 +26,7 @@ COUNTED_AT_A_TIME = 2_000_000
 #: Bits of the filter that tells where texts are read which of them are compared: 8 MB.
 FILTER_BITS = 1 << 26
 #: Minima of a set that name its clusters; clusters of more documents are compared as a whole, in blocks of documents.
-MINIMA = 3
+MINIMA = 6
 CLUSTER = 16
 BLOCK = 512
 #: Shingles of a block of columns in the product.
@@ -64,7 +64,7 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 def minima(grams: np.ndarray) -> list[int]:
     """The smallest shingle in each of ``MINIMA`` random orders; two sets share one with the chance of their similarity."""
     with np.errstate(over="ignore"):
-        return [int(((grams ^ (grams >> np.uint64(23 + i))) * _P[i + 4]).min().view(np.int64)) for i in range(MINIMA)]
+        return [int(((grams ^ (grams >> np.uint64(23 + i))) * _P[(i + 4) % 8]).min().view(np.int64)) for i in range(MINIMA)]
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hot: np.ndarray | None = None) -> DataFrame:
