@@ -141,7 +141,7 @@ class Bpe:
         """Ids of lower-case letters or of marks: one pre-token, so the library's model alone is asked."""
         found = self.cores.get(core)
         if found is None:
-            if len(self.cores) > 250_000:
+            if len(self.cores) > 80_000:
                 self.cores = {}
             symbols = core if core.isascii() else "".join([BYTE_SYMBOLS[x] for x in core.encode()])
             found = self.cores[core] = tuple([t.id for t in self.library.model.tokenize(symbols)])
@@ -331,7 +331,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 (" ".join(map(str, ids)), bpe.decode(ids) if words_decode else ids) for ids in bpe.ids(words)
             ]
 
-        cache = WordCache(value, 150_000)
+        cache = WordCache(value, 60_000)
 
         def run(texts):
             words = [t.split() for t in texts]

@@ -73,6 +73,7 @@ def map_texts(
             arrays = [batch.column(0).cast(schema.field(0).type)]
             arrays += [pa.array(c, type=schema.field(i + 1).type) for i, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, out)
 
@@ -80,7 +81,7 @@ def map_texts(
 class WordCache:
     """Values of words, made for many new words at once and kept for the last ``cap`` to ``2 * cap`` words."""
 
-    def __init__(self, make: Callable[[list[bytes]], list], cap: int = 120_000) -> None:
+    def __init__(self, make: Callable[[list[bytes]], list], cap: int = 60_000) -> None:
         self.make, self.cap = make, cap
         self.fresh: dict[bytes, object] = {}
         self.old: dict[bytes, object] = {}

@@ -28,7 +28,7 @@ Edit = tuple[int, int, str]
 class Counter:
     """Tokens of pre-tokens, counted by the library's model once for each pre-token of a bounded cache."""
 
-    def __init__(self, path: str, cap: int = 400_000) -> None:
+    def __init__(self, path: str, cap: int = 150_000) -> None:
         library_threads_off()
         from tokenizers import Tokenizer
 

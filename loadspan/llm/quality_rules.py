@@ -119,7 +119,7 @@ class Rules:
         self.bands = bands
         size = self.pieces.get_piece_size()
         self.is_byte = np.array([self.pieces.is_byte(i) or self.pieces.is_unknown(i) for i in range(size)])
-        self.cache = WordCache(self.encode, 200_000)
+        self.cache = WordCache(self.encode, 50_000)
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         ids = self.pieces.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)

@@ -150,7 +150,7 @@ def scored(docs: DataFrame, weights: Weights) -> DataFrame:
     """(doc_id, score) of every whole text; null and empty texts get the score of the bias."""
 
     def make():
-        cache = WordCache(word_keys, 200_000)
+        cache = WordCache(word_keys, 50_000)
         slots = weights.table()
 
         def run(texts):
