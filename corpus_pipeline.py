@@ -9,6 +9,10 @@ from loadspan.llm import boosted, jaccard, packing, quality_rules
 from loadspan.llm.common import configure, stage
 from loadspan.llm.queries import PIECES, WORD_BPE, fold, tokenizer
 
+#: Words of a shingle and least similarity of the stage; the query of the join itself has its own.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
@@ -22,7 +26,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

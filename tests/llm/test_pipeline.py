@@ -1,5 +1,7 @@
 """The corpus pipeline, stage by stage."""
 
+import random
+
 import __spark_entry__ as contract
 import corpus_pipeline
 from loadspan.llm import boosted, jaccard, packing, quality_rules
@@ -44,3 +46,29 @@ def test_stages(spark, sf_dir, given, pieces):
 def test_run_gives_the_rows_of_the_stages(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and len({(r.doc_id, r.piece) for r in rows}) == len(rows)
+
+
+def five_words(text):
+    words = text.lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_duplicates_link_at_five_words_and_four_fifths(spark, docs):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for added in (16, 20, 21, 22, 23, 24, 27, 40):
+        body = [word() for _ in range(100)]
+        texts += [" ".join(body), " ".join(body + [word() for _ in range(added)])]
+    for edits in (1, 2, 3, 4):
+        body = [word() for _ in range(200)]
+        copy = list(body)
+        for k in range(edits):
+            copy[20 + 50 * k] = word()
+        texts += [" ".join(body), " ".join(copy)]
+    sets = [five_words(t) for t in texts]
+    similar = lambda a, b: len(a & b) / len(a | b)
+    assert sum(0.8 <= similar(sets[i], sets[i + 1]) < 0.85 for i in range(0, len(sets), 2)) >= 5
+    # the texts of different pairs share nothing, so a component is a pair
+    want = {i for i in range(len(sets)) if not any(similar(sets[i], sets[k]) >= 0.8 for k in range(i))}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs(texts), "").collect()} == want
