@@ -20,9 +20,6 @@ from loadspan.sources.stage import staged
 
 COLUMNS = [*FEATURE_COLUMNS, "load"]
 ALL = ("boosted", "forest", "linear")
-# Sizes of the registered fits; the defaults of the operator are 200 rounds and 100 trees.
-SIZES = {"rounds": 20, "depth": 4, "rate": 0.1, "trees": 30}
-
 
 FEATURE_LIST = ", ".join(FEATURE_COLUMNS)
 # Feature rows with missing weather imputed, those with a next step, and their chronological parts.
@@ -45,7 +42,7 @@ def split_rows(spark, d):
 
 def fitted(spark, d, algorithms=ALL):
     rows = split_rows(spark, d)
-    return models.fit_ensemble(rows.filter("part = 'train'"), COLUMNS, algorithms=algorithms, **SIZES), rows
+    return models.fit_ensemble(rows.filter("part = 'train'"), COLUMNS, algorithms=algorithms), rows
 
 
 def score(scored):
@@ -86,7 +83,7 @@ def fit_ensemble(spark, d):
 
 @query("ensemble_mean")
 def ensemble_mean(spark, d):
-    ensemble, rows = fitted(spark, d, ("forest", "linear"))
+    ensemble, rows = fitted(spark, d)
     scored = ensemble.transform(rows.filter("part = 'test'"), {"forest": 0.7, "linear": 0.3})
     return rounded(scored.select("region", "ts", "label", "point"), 4)
 
@@ -103,7 +100,7 @@ def model_conformal(spark, d):
 def direct_forecast(spark, d):
     """Forecast of each region at each step from its newest features, with its interval."""
     series = fx.impute_weather(src.series(spark, d))
-    ensemble, qhat = batch.train(series, **SIZES)
+    ensemble, qhat = batch.train(series)
     newest = models.direct_scoring_rows(fx.quarter_hour_features(series))
     from loadspan.operators.forecast import prediction_interval
 
@@ -120,7 +117,7 @@ def feature_importance(spark, d):
 @query("top_importances")
 def top_importances(spark, d):
     """The largest importances of each region and horizon."""
-    _, _, importances = batch.train_all(fx.impute_weather(src.series(spark, d)), ("boosted", "forest"), **SIZES)
+    _, _, importances = batch.train_all(fx.impute_weather(src.series(spark, d)), ("boosted", "forest"))
     return rounded(models.top_importances(importances, keys=["region", "horizon"]))
 
 
@@ -139,7 +136,7 @@ def per_region_models(spark, d):
        "features", extra=ROWS))
 def model_store(spark, d):
     """Forecasts of a saved and reloaded ensemble next to those of the original."""
-    ensemble, rows = fitted(spark, d, ("forest", "linear"))
+    ensemble, rows = fitted(spark, d)
     path = shared_dir(spark, "models")
     ensemble.save(path)
     test = rows.filter("part = 'test'")
@@ -153,7 +150,7 @@ def model_store(spark, d):
 @query("deployment")
 def deployment(spark, d):
     """One run of the deployment plan: a row for each region and step of the documents, with bounds, anomalies and importances."""
-    ensemble, qhat, importances = batch.train_all(fx.impute_weather(src.series(spark, d)), **SIZES)
+    ensemble, qhat, importances = batch.train_all(fx.impute_weather(src.series(spark, d)))
     # the longest lag before the window of statistics: 8 days would do, two weeks are two whole seasons
     recent = tables.series_table(src.events(spark, d), src.axis(spark, d), 2 * SLOTS_PER_WEEK)
     documents, _ = batch.deploy(fx.impute_weather(recent), ensemble, staged(qhat, "qhat"), importances=importances)
