@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadspan.llm import (
-    boosted, bpe_tree, edit_counts, embed_forest, html_template, jaccard, packing, quality_rules, token_align, toxicity,
-    url_automaton,
+    boosted, bpe_tree, edit_counts, embed_forest, html_template, jaccard, packing, phrase_index, quality_rules, token_align,
+    toxicity, url_automaton,
 )
 from loadspan.llm.common import configure
 
@@ -79,11 +79,15 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.measure(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE), tokenizer(PIECES))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_embedding_near_dedup, op2_bpe_round_trip, op3_best_fit_packing, op4_quality_rules, op5_quality_classifier,
         op6_ngram_jaccard_join, op7_token_counts, op8_html_extraction, op9_toxicity, op10_url_filters,
-        op11_token_alignment,
+        op11_token_alignment, op12_phrase_collocations,
     )
 }
-ORACLES = {"op10_url_filters": url_automaton.oracle()}
+ORACLES = {"op10_url_filters": url_automaton.oracle(), "op12_phrase_collocations": phrase_index.oracle()}
