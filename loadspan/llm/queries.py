@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadspan.llm import (
-    boosted, bpe_tree, edit_counts, embed_forest, html_template, jaccard, packing, phrase_index, quality_rules, token_align,
-    toxicity, url_automaton,
+    boosted, bpe_tree, edit_counts, embed_forest, html_template, jaccard, license_scan, packing, phrase_index, quality_rules,
+    token_align, toxicity, url_automaton,
 )
 from loadspan.llm.common import configure
 
@@ -83,11 +83,15 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_embedding_near_dedup, op2_bpe_round_trip, op3_best_fit_packing, op4_quality_rules, op5_quality_classifier,
         op6_ngram_jaccard_join, op7_token_counts, op8_html_extraction, op9_toxicity, op10_url_filters,
-        op11_token_alignment, op12_phrase_collocations,
+        op11_token_alignment, op12_phrase_collocations, op13_license_scan,
     )
 }
 ORACLES = {"op10_url_filters": url_automaton.oracle(), "op12_phrase_collocations": phrase_index.oracle()}
