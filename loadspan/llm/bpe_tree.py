@@ -20,12 +20,14 @@ LONG_BYTES = 512
 #: A text of more bytes is encoded by many tasks, in fragments of so many bytes or symbols.
 LARGE_BYTES = 1 << 20
 FRAGMENT = 1 << 17
+#: Letter runs and mark runs that a worker keeps the ids of, unless an operator asks for more.
+CORES = 80_000
 #: Symbols of a leaf of the tree.
 LEAF = 128
 #: A word of Latin letters and trailing marks: the pattern of the pre-tokenizer always cuts between the two.
 LETTERS_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|#$%&*]*)")
 
-#: Symbols that stand for the bytes of a text in byte-level vocabularies.
+#: The symbols that stand for the bytes of a text in byte-level vocabularies.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_SYMBOLS = {b: chr(b) for b in _SHOWN} | {
     b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in set(_SHOWN))
@@ -98,6 +100,7 @@ class Bpe:
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.cores: dict[str, tuple[int, ...]] = {"": ()}
+        self.most_cores = CORES
         self.tree: TreeEncoder | None = None
 
     def load_tree(self) -> TreeEncoder:
@@ -141,7 +144,7 @@ class Bpe:
         """Ids of lower-case letters or of marks: one pre-token, so the library's model alone is asked."""
         found = self.cores.get(core)
         if found is None:
-            if len(self.cores) > 80_000:
+            if len(self.cores) > self.most_cores:
                 self.cores = {}
             symbols = core if core.isascii() else "".join([BYTE_SYMBOLS[x] for x in core.encode()])
             found = self.cores[core] = tuple([t.id for t in self.library.model.tokenize(symbols)])

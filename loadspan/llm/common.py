@@ -88,12 +88,30 @@ class WordCache:
 
     def of(self, texts: Sequence[Sequence[bytes]]) -> dict[bytes, object]:
         """A mapping that has every word of ``texts``."""
+        self._turn()
+        missing: set[bytes] = set()
+        for words in texts:
+            missing |= set(words).difference(self.fresh)
+        self._add(missing)
+        return self.fresh
+
+    def values(self, texts: Sequence[Sequence[bytes]]) -> list[list]:
+        """The values of the words of each text, for values that are never None: words that are known are looked up once."""
+        self._turn()
+        get = self.fresh.get
+        out = [list(map(get, words)) for words in texts]
+        gaps = [i for i, found in enumerate(out) if None in found]
+        self._add({word for i in gaps for word, value in zip(texts[i], out[i]) if value is None})
+        for i in gaps:
+            out[i] = list(map(get, texts[i]))
+        return out
+
+    def _turn(self) -> None:
         if len(self.fresh) > self.cap:
             self.old, self.fresh = self.fresh, {}
+
+    def _add(self, missing: set[bytes]) -> None:
         fresh, old = self.fresh, self.old
-        missing: set[bytes] = set()
-        for words in texts:
-            missing |= set(words).difference(fresh)
         unknown = []
         for word in missing:
             value = old.get(word)
@@ -103,7 +121,6 @@ class WordCache:
                 fresh[word] = value
         if unknown:
             fresh.update(zip(unknown, self.make(unknown), strict=True))
-        return fresh
 
 
 def stage(df: DataFrame, purpose: str) -> DataFrame:
