@@ -28,8 +28,12 @@ FITTED_LEVELS = 9
 MOST_LEVELS = 22
 
 
-def vectors(table: DataFrame, id_column: str, vector_column: str, dim: int) -> DataFrame:
-    """(id, vec, k1, k2): vectors as bytes with two hashes; null if not of ``dim`` finite components with one that is not 0."""
+#: Components of a direction; longer vectors are folded onto them to be split, and compared in full.
+WIDE = 4096
+
+
+def vectors(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
+    """(id, vec, k1, k2): vectors as bytes with two hashes; null if not of finite components with one that is not 0."""
     kind = table.schema[vector_column].dataType.elementType
     dtype = np.float64 if isinstance(kind, DoubleType) else np.float32
     out = StructType([table.schema[id_column], *StructType.fromDDL("vec binary, k1 bigint, k2 bigint").fields])
@@ -39,7 +43,7 @@ def vectors(table: DataFrame, id_column: str, vector_column: str, dim: int) -> D
             vec, k1, k2 = [], [], []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = None
-                if i is not None and x.is_valid and len(x.values) == dim and x.values.null_count == 0:
+                if i is not None and x.is_valid and len(x.values) and x.values.null_count == 0:
                     values = x.values.to_numpy(zero_copy_only=False).astype(dtype) + dtype(0)
                     if np.isfinite(values).all() and values.any():
                         raw = values.tobytes()
@@ -54,13 +58,30 @@ def vectors(table: DataFrame, id_column: str, vector_column: str, dim: int) -> D
     return table.select(id_column, vector_column).mapInArrow(run, out).withColumnRenamed(id_column, "id")
 
 
-def unit(raws: list[bytes], dim: int, wide: bool) -> np.ndarray:
-    """Rows of length 1 in double precision; scaled first, so that no square overflows."""
-    x = np.frombuffer(b"".join(raws), np.float64 if wide else np.float32).reshape(-1, dim).astype(np.float64)
+def unit(raws: list[bytes], wide: bool) -> np.ndarray:
+    """Rows of length 1 in double precision, of vectors with equally many components; scaled first, so that no square overflows."""
+    x = np.frombuffer(b"".join(raws), np.float64 if wide else np.float32).reshape(len(raws), -1).astype(np.float64)
+    if not len(x):
+        return x
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def by_size(raws: list[bytes], wide: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(components, places, rows of length 1) of the vectors, those with equally many components together."""
+    sizes = np.array([len(r) for r in raws], np.int64)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        yield int(size) // (8 if wide else 4), at, unit([raws[i] for i in at], wide)
+
+
+def folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Rows of at most ``width`` components, the later ones of longer rows added to the first."""
+    if x.shape[1] <= width:
+        return x
+    return np.pad(x, ((0, 0), (0, -x.shape[1] % width))).reshape(len(x), -1, width).sum(1)
+
+
 @dataclass
 class Forest:
     """A direction for each tree and level, split points for the nodes of the upper levels and for whole lower levels."""
@@ -80,11 +101,12 @@ class Forest:
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, code) of every leaf of every row; codes of a tree are smaller than those of the next."""
+        x = folded(x, self.directions.shape[2])
         rows_out, codes_out = [], []
         for t in range(self.trees):
             rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)
             for level in range(self.levels):
-                at = (x @ self.directions[t, level])[rows] - self.split(t, level, node)
+                at = (x @ self.directions[t, level, :x.shape[1]])[rows] - self.split(t, level, node)
                 m = self.margins[t, level]
                 left, right = at < m, at >= -m
                 rows, node = np.concatenate((rows[left], rows[right])), np.concatenate((2 * node[left], 2 * node[right] + 1))
@@ -96,18 +118,18 @@ class Forest:
         return self.nodes[t][level][node] if level < len(self.nodes[t]) else self.medians[t, level]
 
 
-def grow(sample: np.ndarray, dim: int, levels: int, trees: int = TREES, spill: float = SPILL, seed: int = 11) -> Forest:
-    """Random unit directions; split points are medians of the sample in the node, of the whole sample where a node has few of it."""
+def grow(samples: list[np.ndarray], dim: int, levels: int, trees: int = TREES, spill: float = SPILL, seed: int = 11) -> Forest:
+    """Random unit directions; split points are medians of the samples in the node, of all of them where a node has few."""
     rng = np.random.default_rng(seed)
     directions = rng.standard_normal((trees, levels, dim))
     directions /= np.sqrt((directions**2).sum(-1, keepdims=True))
     medians, margins = np.zeros((trees, levels)), np.zeros((trees, levels))
     nodes: list[list[np.ndarray]] = []
     for t in range(trees):
-        node = np.zeros(len(sample), np.int64)
+        node = np.zeros(sum(map(len, samples)), np.int64)
         splits = []
         for level in range(levels):
-            along = sample @ directions[t, level]
+            along = np.concatenate([np.zeros(0), *(x @ directions[t, level, :x.shape[1]] for x in samples)])
             medians[t, level] = np.median(along) if len(along) else 0.0
             margins[t, level] = spill * along.std() if len(along) else 0.0
             if level < FITTED_LEVELS:
@@ -177,8 +199,9 @@ def near(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embe
 
     Vectors link if their cosine in double precision is at least ``least``; every link given is exact, and the forest finds nearly
     all (the README has the measured recall). ``n_links`` counts linked other rows, ``component_id`` is the smallest id reachable,
-    ``kept`` that it is the own one. Rows with a null id, or a vector that is null, of zeros, of another length than the
-    longest, or with null or non-finite components, link with nothing; a null id has a null component.
+    ``kept`` that it is the own one. Rows with a null id, or a vector that is null, empty, of zeros, or with null or
+    non-finite components, link with nothing; a null id has a null component. Vectors link only with those that have equally many
+    components: that number is part of a leaf's key.
 
     Equal vectors are one entry with its number of rows. Each tree splits by random directions at medians of a bounded sample;
     vectors near a split go to both sides. Leaves are tasks of bounded size: one of more than ``block`` vectors, which no
@@ -186,9 +209,7 @@ def near(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embe
     of pairs is kept: a leaf returns a count and a root for each member.
     """
     wide = isinstance(table.schema[vector_column].dataType.elementType, DoubleType)
-    dim = table.agg(F.max(F.size(vector_column))).first()[0] or 0
-    given = stage(vectors(table, id_column, vector_column, max(dim, 1)), "vectors")
-    dim = max(dim, 1)
+    given = stage(vectors(table, id_column, vector_column), "vectors")
     reps = stage(
         given.where("vec IS NOT NULL").groupBy("k1", "k2").agg(
             F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"),
@@ -197,52 +218,63 @@ def near(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embe
     total = reps.count()
     levels = min(MOST_LEVELS, max(0, int(np.ceil(np.log2(max(total, 1) / leaf)))))
     rows = reps.orderBy("k1", "k2").limit(SAMPLE).select("vec").toPandas()["vec"].tolist()
-    forest = grow(unit([bytes(r) for r in rows], dim, wide), dim, levels, trees, spill)
+    longest = reps.agg(F.max(F.octet_length("vec"))).first()[0] or 0
+    dim = min(WIDE, max(1, longest // (8 if wide else 4)))
+    forest = grow([folded(x, dim) for _, _, x in by_size([bytes(r) for r in rows], wide)], dim, levels, trees, spill)
 
     id_type = reps.schema["id"].dataType.simpleString()
 
+    def places(raws):
+        """(row, components, code) of all leaves of all vectors, by row and code."""
+        found = [(at[row], np.full(len(row), size), code) for size, at, x in by_size(raws, wide) for row, code in [forest.leaves(x)]]
+        row, size, code = (np.concatenate([np.zeros(0, np.int64), *parts]) for parts in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+        order = np.lexsort((code, row))
+        return row[order], size[order].astype(np.int32), code[order].astype(np.int32)
+
     def leaves(batches):
         for batch in batches:
-            x = unit(batch.column(1).to_pylist(), dim, wide)
-            row, code = forest.leaves(x)
-            order = np.lexsort((code, row))
-            row, code = row[order], code[order].astype(np.int32)
-            start = np.searchsorted(row, np.arange(len(x) + 1))
-            every = [code[start[i]:start[i + 1]] for i in range(len(x))]
+            row, size, code = places(batch.column(1).to_pylist())
+            start = np.searchsorted(row, np.arange(len(batch) + 1))
+            every = [code[start[i]:start[i + 1]] for i in range(len(batch))]
             take = pa.array(row)
             place = np.arange(len(row)) - start[row]
             earlier = [every[i][:k].tobytes() for i, k in zip(row.tolist(), place.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take),
-                 pa.array(code, pa.int32()), pa.array(earlier, pa.binary())],
-                names=["id", "vec", "copies", "code", "earlier"],
+                 pa.array(size, pa.int32()), pa.array(code, pa.int32()), pa.array(earlier, pa.binary())],
+                names=["id", "vec", "copies", "size", "code", "earlier"],
             )
 
-    dealt = reps.select("id", "vec", "copies").mapInArrow(leaves, f"id {id_type}, vec binary, copies bigint, code int, earlier binary")
+    dealt = reps.select("id", "vec", "copies").mapInArrow(leaves, f"id {id_type}, vec binary, copies bigint, size int, code int, earlier binary")
 
     def leaf_counts(batches):
         for batch in batches:
-            code, n = np.unique(forest.leaves(unit(batch.column(0).to_pylist(), dim, wide))[1].astype(np.int32), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+            _, size, code = places(batch.column(0).to_pylist())
+            keys, n = np.unique(size.astype(np.int64) << 32 | code, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["size", "code", "n"],
+            )
 
-    sizes = reps.select("vec").mapInArrow(leaf_counts, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-    large = stage(sizes.where(F.col("n") > block).select("code", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large-leaves")
+    sizes = reps.select("vec").mapInArrow(leaf_counts, "size int, code int, n bigint").groupBy("size", "code").agg(F.sum("n").alias("n"))
+    large = stage(
+        sizes.where(F.col("n") > block).select("size", "code", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large-leaves",
+    )
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    grouped = salted_join(dealt, large, ["code"], ["id"], "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn(
+    grouped = salted_join(dealt, large, ["size", "code"], ["id"], "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)),
     ).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
 
     def in_leaf(key, group):
-        code, p, q = (k.as_py() for k in key)
+        _, _, p, q = (k.as_py() for k in key)
         ids = group.column("id").to_numpy()
-        x = unit(group.column("vec").to_pylist(), dim, wide)
+        x = unit(group.column("vec").to_pylist(), wide)
         earlier = [np.frombuffer(e, np.int32) for e in group.column("earlier").to_pylist()]
         sides = group.column("own").to_numpy() if p != q else None
         got = compare(ids, x, group.column("copies").to_numpy(), earlier, sides, least)
         return pa.table(dict(zip(("id", "links", "root"), got)))
 
     found = stage(
-        grouped.select("id", "vec", "copies", "earlier", "own", "code", "p", "q").groupBy("code", "p", "q").applyInArrow(
+        grouped.select("id", "vec", "copies", "earlier", "own", "size", "code", "p", "q").groupBy("size", "code", "p", "q").applyInArrow(
             in_leaf, f"id {id_type}, links bigint, root {id_type}",
         ), "leaf-links",
     )

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StructType, VariantType
 
 from loadspan.llm.common import chunks, raw_texts, stage
 from loadspan.llm.embed_forest import local_components
@@ -343,11 +343,17 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row of each component of ``join``, that of its smallest id, with all columns of ``docs``.
+    """The document of the smallest id of each component of ``join``, with all columns of ``docs``.
 
-    Rows of one id are one document, of which one row stays. Texts without words and rows of a null id all stay.
+    A row for each different text of that id stays: of rows with one id and one text, the one with the smallest hash of its
+    columns. Texts without words and rows of a null id all stay. Ids are cast to bigint, as in ``join``.
     """
-    found = join(docs, size, percent)
-    heads = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    heads = stage(join(docs, size, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "heads")
+    single = docs.join(heads.where("rows = 1"), "doc_id", "left_semi")
+    # ids that repeat are few, so their rows alone are grouped
+    several = docs.join(heads.where("rows > 1"), "doc_id", "left_semi")
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))])
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), hashed)
+    # by position, as columns of any name may be there
+    one = several.groupBy(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).agg(row.alias("_row")).select("_row.*")
+    return single.union(one).union(docs.where(F.col("doc_id").isNull()))

@@ -41,10 +41,9 @@ def test_components(spark, seed):
 
 def brute_vectors(rows, least=0.9):
     """n_links and component of each row of (id, vector)."""
-    dim = max((len(v) for _, v in rows if v is not None), default=0)
     good = {}
     for k, (i, v) in enumerate(rows):
-        if i is None or v is None or len(v) != dim or any(x is None or not np.isfinite(x) for x in v) or not any(v):
+        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v) or not any(v):
             continue
         x = np.array(v, np.float64) / max(map(abs, v))
         good[k] = x / np.linalg.norm(x)
@@ -52,7 +51,7 @@ def brute_vectors(rows, least=0.9):
     keys = list(good)
     for a in range(len(keys)):
         for b in range(a + 1, len(keys)):
-            if good[keys[a]] @ good[keys[b]] >= least:
+            if len(good[keys[a]]) == len(good[keys[b]]) and good[keys[a]] @ good[keys[b]] >= least:
                 links[keys[a]] += 1
                 links[keys[b]] += 1
                 groups.link(rows[keys[a]][0], rows[keys[b]][0])
@@ -148,6 +147,17 @@ def test_frequent_shingles_change_nothing(docs, monkeypatch):
     assert joined(docs(texts)) == brute_texts(list(enumerate(texts)))
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(n).astype(np.float32).tolist()) for i, n in enumerate([3, 3, 4, 8, 8, 5000] * 8)]
+    rows += [(100 + i, [float(np.float32(x * 2)) for x in v]) for i, v in rows[::3]] + [(300, [1.0]), (301, [2.0]), (302, [-1.0])]
+    want = sorted(brute_vectors(rows), key=str)
+    assert run_vectors(spark, rows) == want and run_vectors(spark, rows, leaf=4, block=6, trees=20, spill=1.0) == want
+    # one more vector of another length takes no link from the others
+    two = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.1, 0.0])]
+    assert [r[1] for r in run_vectors(spark, [*two, (3, [1.0, 0.0, 0.0, 0.0])])] == [1, 1, 0]
+
+
 def test_odd_texts(docs):
     texts = [None, "", " \n", "a", "A", "a b", "b a", "a b c", "a b c d", "A B C D", "x " * 3000, "x " * 40, "é ü", "É ü", "no break", None]
     assert joined(docs(texts)) == brute_texts(list(enumerate(texts)))
@@ -163,6 +173,17 @@ def test_keep_one(docs):
     assert kept.columns == docs(texts).columns
 
 
+def test_keep_one_keeps_every_text_of_an_id(docs):
+    texts = ["a b c d e", "p q r s t", "p q r s t", "x y", None, None, "a b c d e", ""]
+    frame = docs(texts, ids=[7, 7, 7, 8, 9, 9, 10, 9])
+    first = sorted(map(str, jaccard.keep_one(frame).collect()))
+    assert [(r.doc_id, r.text) for r in jaccard.keep_one(frame).orderBy("doc_id", "text").collect()] == [
+        (7, "a b c d e"), (7, "p q r s t"), (8, "x y"), (9, None), (9, ""),
+    ]
+    assert sorted(map(str, jaccard.keep_one(frame.repartition(7)).collect())) == first
+    assert jaccard.keep_one(frame.where("false")).count() == 0
+
+
 def test_texts_of_the_whole_table(given):
     rows = [(r.doc_id, r.text) for r in given("documents").collect()]
     assert joined(given("documents")) == brute_texts(rows)
