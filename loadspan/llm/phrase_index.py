@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loadspan.llm.common import CHUNK_BYTES, raw_texts, stage
 from loadspan.plans.skew import salted_join
+from loadspan.session import shuffle_width
 
 #: Words of a shard: its index takes some 100 bytes a word.
 SHARD_WORDS = 1 << 21
@@ -23,8 +24,8 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 SALTS = 16
-#: Rows of an Arrow batch of counts.
-ROWS = 100_000
+#: Words for each part of the counts, if that makes more parts than the shuffle has.
+PART_WORDS = 1 << 22
 
 #: A-Z in lower case, line ends and marks as full stops, tabs as spaces.
 FOLD = bytes(
@@ -55,38 +56,50 @@ class Numbers(dict):
         return n
 
 
+def deflated(values: np.ndarray) -> bytes:
+    """Numbers from 0 in the fewest of 1, 2, 4 or 8 bytes each, that width first, compressed."""
+    top = int(values.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+    return bytes([width]) + zlib.compress(values.astype(f"<u{width}").tobytes(), 1)
+
+
+def inflated(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
+
+
 def shards(docs: DataFrame, most: int = SHARD_WORDS) -> DataFrame:
-    """Words of the texts in shards of about ``most``: a row of token numbers, and a row for each different word of a language.
+    """Words of the texts in shards of about ``most``: (shard, n, tokens, words, counts, langs, sizes).
 
-    0 stands between pieces and texts. A shard ends between pieces, so a text of any length is cut.
+    ``tokens`` are word numbers with 0 between pieces and texts; ``words`` has the shard's different words, each with its
+    language, in the order of their numbers from 1, which is that of their checksums; ``counts`` how often each occurs; ``langs`` and
+    ``sizes`` the languages with all their words. A shard ends between pieces, so a text of any length is cut.
     """
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
-        tokens, words = array("i", [0]), {}
 
         def close():
             ids = np.frombuffer(tokens, np.int32)
             counts = np.bincount(ids)
-            rows = sorted((n, lang, w.decode("utf-8", "replace")) for lang, known in words.items() for w, n in known.items() if n)
-            place = [r[0] for r in rows]
-            for i in range(0, len(rows), ROWS):
-                part = rows[i:i + ROWS]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number] * len(part), pa.int64()), pa.array(place[i:i + ROWS], pa.int32()), pa.array([r[1] for r in part], pa.string()),
-                     pa.array([r[2] for r in part], pa.string()), pa.array(counts[place[i:i + ROWS]], pa.int64()), pa.nulls(len(part), pa.binary())],
-                    names=["shard", "place", "lang", "word", "n", "tokens"],
-                )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()),
-                 pa.array([zlib.compress(ids.tobytes(), 1)], pa.binary())],
-                names=["shard", "place", "lang", "word", "n", "tokens"],
-            )
+            keys = [(named(lang) + b"\t" + w, n) for lang, known in words.items() for w, n in known.items() if n]
+            order = sorted(range(len(keys)), key=lambda i: (zlib.crc32(keys[i][0]), keys[i][0]))
+            old = np.array([keys[i][1] for i in order], np.int64)
+            place = np.zeros(len(counts), np.int64)
+            place[old] = np.arange(1, len(old) + 1)
+            sizes = {lang: int(counts[[n for n in known.values() if n]].sum()) for lang, known in words.items()}
+            return pa.RecordBatch.from_pylist([{
+                "shard": number, "n": int(counts[1:].sum()), "tokens": deflated(place[ids]), "words": zlib.compress(b"\n".join([keys[i][0] for i in order]), 1),
+                "counts": deflated(counts[old]), "langs": list(sizes), "sizes": list(sizes.values()),
+            }], schema=schema)
 
         def fresh():
             count = iter(range(1, 1 << 31))
             return array("i", [0]), defaultdict(lambda: Numbers(count))
 
+        schema = pa.schema([
+            ("shard", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()),
+            ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())),
+        ])
         tokens, words = fresh()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
@@ -95,15 +108,20 @@ def shards(docs: DataFrame, most: int = SHARD_WORDS) -> DataFrame:
                     tokens.extend([known[w] for w in part.replace(STOP, b" . ").split()])
                     tokens.append(0)
                     if len(tokens) >= most:
-                        yield from close()
+                        yield close()
                         tokens, words = fresh()
                         number += 1
         if len(tokens) > 1:
-            yield from close()
+            yield close()
         pa.default_memory_pool().release_unused()
 
     source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    return source.mapInArrow(run, "shard bigint, place int, lang string, word string, n bigint, tokens binary")
+    return source.mapInArrow(run, "shard bigint, n bigint, tokens binary, words binary, counts binary, langs array<string>, sizes array<bigint>")
+
+
+def named(lang: str) -> bytes:
+    """A language's name without tabs and line ends."""
+    return lang.encode("unicode_escape")
 
 
 def squeezed(text: np.ndarray, apart: np.ndarray | None = None) -> np.ndarray:
@@ -216,58 +234,185 @@ def longer(text: np.ndarray, sigma: int, frequent: np.ndarray, longest: int) ->
     return out
 
 
-def batches_of(shard: int, columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
-    table = pa.table(columns)
-    yield from table.add_column(0, "shard", pa.array(np.full(len(table), shard))).to_batches(ROWS)
+def cut_words(words: bytes, parts: int) -> Iterator[tuple[int, int, int, list[bytes]]]:
+    """(part, start, end, words) of a shard's words; a part is a stretch of their order."""
+    keys = zlib.decompress(words).split(b"\n")
+    part = np.array([zlib.crc32(k) for k in keys], np.int64) * parts >> 32
+    for start, end in stretches(part):
+        yield int(part[start]), start, end, keys[start:end]
+
+
+def stretches(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of equal values."""
+    edges = np.flatnonzero(np.diff(values)) + 1
+    yield from zip([0, *edges.tolist()], [*edges.tolist(), len(values)]) if len(values) else ()
+
 
+def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
+    """The part that counts a gram: a mix of its numbers, so that a frequent word's grams are dealt out."""
+    mixed = np.zeros(len(grams), np.uint64)
+    for column in grams.T:
+        mixed = (mixed ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return ((mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
-def frequent_words(staged: DataFrame, least: int) -> DataFrame:
-    """(id, lang, word, a) of words that occur ``least`` times, with numbers that are fixed once written."""
-    counts = staged.where("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    return stage(counts.select(F.monotonically_increasing_id().alias("id"), "lang", "word", "a"), "phrase-words")
 
+def cut_grams(grams: np.ndarray, parts: int) -> tuple[np.ndarray, Iterator[tuple[int, int, int]]]:
+    """The order of grams by part and number, and the (part, start, end) of its stretches."""
+    part = part_of(grams, parts)
+    order = np.lexsort((*grams.T[::-1], part))
+    return order, ((int(part[order[start]]), start, end) for start, end in stretches(part[order]))
 
-def frequent_text(staged: DataFrame, words: DataFrame) -> DataFrame:
+
+def rows_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+ASKED = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+ASKED_DDL = "shard bigint, part int, keys binary, counts binary"
+
+
+def ask_words(staged: DataFrame, parts: int) -> DataFrame:
+    """(shard, part, keys, counts): each shard's words of each part."""
+
+    def run(batches):
+        for batch in batches:
+            for shard, words, counts in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                n = inflated(counts)
+                yield rows_of(ASKED, [
+                    (shard, part, zlib.compress(b"\n".join(keys), 1), deflated(n[start:end])) for part, start, end, keys in cut_words(words, parts)
+                ])
+
+    return staged.where("n > 0").select("shard", "words", "counts").mapInArrow(run, ASKED_DDL)
+
+
+def count_words(asked: DataFrame, parts: int, least: int) -> DataFrame:
+    """Rows (id, lang, word, a) of the words of a part that occur ``least`` times, and an answer (shard, part, ids) for every row asked: 0 for other words."""
+    schema = pa.schema([
+        ("shard", pa.int64()), ("part", pa.int32()), ("ids", pa.binary()), ("id", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("a", pa.int64()),
+    ])
+
+    def run(key, group):
+        part = key[0].as_py()
+        keys = [zlib.decompress(k).split(b"\n") for k in group.column("keys").to_pylist()]
+        total: dict[bytes, int] = defaultdict(int)
+        for words, counts in zip(keys, group.column("counts").to_pylist()):
+            for word, n in zip(words, inflated(counts).tolist()):
+                total[word] += n
+        # numbers from 1, different in every part
+        number = {word: i * parts + part + 1 for i, word in enumerate(sorted(w for w, n in total.items() if n >= least))}
+        rows = [(shard, part, deflated(np.array([number.get(w, 0) for w in words], np.int64)), None, None, None, None)
+                for shard, words in zip(group.column("shard").to_pylist(), keys)]
+        for word, i in number.items():
+            lang, text = word.split(b"\t", 1)
+            rows.append((None, None, None, i, lang.decode("unicode_escape"), text.decode("utf-8", "replace"), total[word]))
+        return pa.Table.from_batches([rows_of(schema, rows)])
+
+    return asked.groupBy("part").applyInArrow(run, "shard bigint, part int, ids binary, id bigint, lang string, word string, a bigint")
+
+
+def frequent_text(staged: DataFrame, answers: DataFrame) -> DataFrame:
     """(shard, tokens, ids): texts of frequent words that have a frequent neighbour, numbered anew within the shard."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return pa.table({"shard": pa.array([], pa.int64()), "tokens": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
-        tokens = np.frombuffer(zlib.decompress(left.column("tokens")[0].as_py()), np.int32)
-        place, ids = right.column("place").to_numpy(), right.column("id").to_numpy()
-        order = np.argsort(ids)
-        number = np.zeros(max(int(tokens.max()), int(place.max())) + 1, np.int32)
-        number[place[order]] = np.arange(1, len(ids) + 1)
-        text = squeezed(number[tokens])
-        return pa.table({
-            "shard": left.column("shard").slice(0, 1), "tokens": pa.array([zlib.compress(text.tobytes(), 1)], pa.binary()),
-            "ids": pa.array([np.append(0, ids[order]).tobytes()], pa.binary()),
-        })
-
-    known = staged.where("word IS NOT NULL").join(words.select("id", "lang", "word"), ["lang", "word"])
-    texts = staged.where("tokens IS NOT NULL").select("shard", "tokens")
-    given = known.select(F.col("shard").alias("of"), "place", "id")
+        rows = []
+        if len(left) and len(right):
+            right = right.sort_by("part")
+            id_of = np.concatenate([np.zeros(1, np.int64), *map(inflated, right.column("ids").to_pylist())])
+            ids, number = np.unique(np.append(0, id_of), return_inverse=True)
+            text = squeezed(number[1:][inflated(left.column("tokens")[0].as_py())])
+            rows = [(left.column("shard")[0].as_py(), deflated(text), deflated(ids))]
+        return pa.Table.from_batches([rows_of(pa.schema([("shard", pa.int64()), ("tokens", pa.binary()), ("ids", pa.binary())]), rows)])
+
+    texts = staged.where("n > 0").select("shard", "tokens")
+    given = answers.select(F.col("shard").alias("of"), "part", "ids")
     return texts.groupBy("shard").cogroup(given.groupBy("of")).applyInArrow(run, "shard bigint, tokens binary, ids binary")
 
 
-def unfolded(tokens: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(zlib.decompress(tokens), np.int32), np.frombuffer(ids, np.int64)
+def asked_grams(shard: int, grams: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(shard, part, keys, counts) of the grams of a shard: their columns one after the other, the first as steps."""
+    order, cut = cut_grams(grams, parts)
+    grams, counts = grams[order], counts[order]
+    rows = []
+    for part, start, end in cut:
+        some = grams[start:end].copy()
+        some[1:, 0] = np.diff(grams[start:end, 0])
+        rows.append((shard, part, deflated(some.T.ravel()), deflated(counts[start:end])))
+    return rows_of(ASKED, rows)
+
+
+def given_grams(keys: bytes, counts: np.ndarray) -> np.ndarray:
+    grams = inflated(keys).reshape(-1, len(counts)).T.copy()
+    grams[:, 0] = np.cumsum(grams[:, 0])
+    return grams
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """(shard, place, p, s, n) of the pairs of each shard."""
+def ask_pairs(texts: DataFrame, parts: int) -> DataFrame:
+    """(shard, part, keys, counts) of the pairs of neighbours in each shard."""
 
     def run(batches):
         for batch in batches:
             for shard, tokens, ids in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                text, number = unfolded(tokens, ids)
-                found = pairs(text, len(number))
-                yield from batches_of(shard, {
-                    "place": pa.array(np.arange(len(found.count), dtype=np.int32)), "p": pa.array(number[found.grams[:, 0]]),
-                    "s": pa.array(number[found.grams[:, 1]]), "n": pa.array(found.count.astype(np.int64)),
-                })
+                number = inflated(ids)
+                found = pairs(inflated(tokens), len(number))
+                yield asked_grams(shard, number[found.grams], found.count, parts)
+
+    return texts.mapInArrow(run, ASKED_DDL)
+
+
+COUNTED = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("frequent", pa.binary()), ("gram", pa.list_(pa.int64())), ("a", pa.int64())])
+
+
+def count_grams(asked: DataFrame, least: int, answer: bool, keys: tuple[str, ...] = ("part",)) -> DataFrame:
+    """Rows (gram, a) of the grams of a part that occur ``least`` times, and with ``answer`` a bit for each gram of every row asked."""
+
+    def run(_, group):
+        counts = [inflated(c) for c in group.column("counts").to_pylist()]
+        grams = np.concatenate([given_grams(k, c) for k, c in zip(group.column("keys").to_pylist(), counts)])
+        order = np.lexsort(grams.T[::-1])
+        new = np.append(True, (grams[order[1:]] != grams[order[:-1]]).any(1))
+        total = np.add.reduceat(np.concatenate(counts)[order], np.flatnonzero(new))
+        kept = total >= least
+        out = []
+        if answer:
+            bit = np.zeros(len(grams), bool)
+            bit[order] = kept[np.cumsum(new) - 1]
+            at = np.cumsum([0, *map(len, counts)])
+            out.append(rows_of(COUNTED, [
+                (shard, part, np.packbits(bit[at[i]:at[i + 1]]).tobytes(), None, None)
+                for i, (shard, part) in enumerate(zip(group.column("shard").to_pylist(), group.column("part").to_pylist()))
+            ]))
+        found = grams[order[new]][kept]
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * grams.shape[1]), pa.array(found.ravel()))
+        null = [pa.nulls(len(found), COUNTED.field(k).type) for k in range(3)]
+        out.append(pa.RecordBatch.from_arrays([*null, flat.cast(COUNTED.field(3).type), pa.array(total[kept].astype(np.int64))], schema=COUNTED))
+        return pa.Table.from_batches(out)
 
-    return texts.mapInArrow(run, "shard bigint, place int, p bigint, s bigint, n bigint")
+    return asked.groupBy(*keys).applyInArrow(run, "shard bigint, part int, frequent binary, gram array<bigint>, a bigint")
+
+
+def ask_longer(texts: DataFrame, answers: DataFrame, parts: int, longest: int) -> DataFrame:
+    """(shard, part, keys, counts, width) of phrases of three words and more, all of whose pairs are frequent."""
+    schema = ASKED.append(pa.field("width", pa.int32()))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [rows_of(schema, [])]
+        if len(left) and len(right):
+            number, text = inflated(left.column("ids")[0].as_py()), inflated(left.column("tokens")[0].as_py())
+            found = pairs(text, len(number)).grams
+            order, cut = cut_grams(number[found], parts)
+            bits = dict(zip(right.column("part").to_pylist(), right.column("frequent").to_pylist()))
+            told = [np.unpackbits(np.frombuffer(bits[part], np.uint8), count=end - start) for part, start, end in cut]
+            frequent = found[order[np.concatenate(told).astype(bool)]]
+            shard = left.column("shard")[0].as_py()
+            for p in longer(text, len(number), frequent[:, 0] * len(number) + frequent[:, 1], longest):
+                batch = asked_grams(shard, number[p.grams], p.count, parts)
+                out.append(batch.append_column("width", pa.array([p.grams.shape[1]] * len(batch), pa.int32())))
+        return pa.Table.from_batches(out)
+
+    given = answers.select(F.col("shard").alias("of"), "part", "frequent")
+    return texts.groupBy("shard").cogroup(given.groupBy("of")).applyInArrow(run, f"{ASKED_DDL}, width int")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -275,40 +420,27 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
 
     Every phrase of up to ``longest`` words within a piece that occurs at least ``least`` times in its language is there, with all its occurrences.
     Each shard enumerates its phrases by extending intervals of its index, and counts are summed over shards. Only what
-    can still be frequent is enumerated: pairs of frequent words, then phrases all of whose pairs are
-    frequent; a shard is told just those of its own words and pairs that are.
+    can still be frequent is enumerated: pairs of frequent words, then phrases all of whose pairs are frequent. A shard sends what it
+    has in ``parts`` compressed blocks, dealt by a hash; the task of a part sums the blocks of all shards and tells each which of its words or
+    pairs are frequent. Parts grow with the words, so the memory of a task doesn't.
     """
     staged = stage(shards(docs, shard_words), "phrase-shards")
-    totals = stage(staged.where("word IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    words = frequent_words(staged, least)
-    texts = stage(frequent_text(staged, words), "phrase-texts")
-    counted = pair_counts(texts)
-    frequent = stage(counted.groupBy("p", "s").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrase-pairs")
+    sizes = staged.select(F.explode(F.arrays_zip("langs", "sizes")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.sizes").alias("n"))
+    totals = stage(sizes.where("n > 0"), "phrase-totals")
+    every = staged.agg(F.sum("n")).first()[0] or 0
+    parts = max(shuffle_width(docs.sparkSession), every // PART_WORDS)
+    told = stage(count_words(ask_words(staged, parts), parts, least), "phrase-words")
+    words = told.where("word IS NOT NULL").select("id", "lang", "word", "a")
     singles = words.select(F.array("id").alias("gram"), "a")
-    doubles = frequent.select(F.array("p", "s").alias("gram"), "a")
-    if longest < 3:
-        return singles.unionByName(doubles) if longest > 1 else singles, words, totals
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        grams, counts = [], []
-        if len(left) and len(right):
-            text, number = unfolded(left.column("tokens")[0].as_py(), left.column("ids")[0].as_py())
-            sigma = len(number)
-            found = pairs(text, sigma).grams[np.sort(right.column("place").to_numpy())]
-            for p in longer(text, sigma, found[:, 0] * sigma + found[:, 1], longest):
-                k = p.grams.shape[1]
-                flat = pa.array(number[p.grams].ravel())
-                grams.append(pa.ListArray.from_arrays(pa.array(np.arange(len(p.count) + 1, dtype=np.int32) * k), flat))
-                counts.append(pa.array(p.count.astype(np.int64)))
-        kinds = pa.list_(pa.int64())
-        return pa.table({
-            "gram": pa.chunked_array([g.cast(kinds) for g in grams], kinds), "n": pa.chunked_array(counts, pa.int64()),
-        })
-
-    told = counted.join(frequent.select("p", "s"), ["p", "s"]).select(F.col("shard").alias("of"), "place")
-    many = texts.groupBy("shard").cogroup(told.groupBy("of")).applyInArrow(run, "gram array<bigint>, n bigint")
-    triples = many.groupBy("gram").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    return stage(singles.unionByName(doubles).unionByName(triples), "phrase-counts"), words, totals
+    if longest < 2:
+        return singles, words, totals
+    texts = stage(frequent_text(staged, told.where("shard IS NOT NULL")), "phrase-texts")
+    paired = stage(count_grams(ask_pairs(texts, parts), least, True), "phrase-pairs")
+    counted = singles.unionByName(paired.where("gram IS NOT NULL").select("gram", "a"))
+    if longest > 2:
+        many = ask_longer(texts, paired.where("shard IS NOT NULL"), parts, longest)
+        counted = counted.unionByName(count_grams(many, least, False, ("part", "width")).select("gram", "a"))
+    return stage(counted, "phrase-counts"), words, totals
 
 
 def collocations(

@@ -81,7 +81,7 @@ def test_scores_beyond_64_bits_are_exact(spark):
 @pytest.mark.parametrize("seed", range(4))
 def test_index_finds_all_phrases(seed):
     rng = np.random.default_rng(seed)
-    text = np.append(0, rng.integers(0, 5, 400))
+    text = np.append(0, rng.integers(0, 5, 400)).astype(np.int64)
     text[-1] = 0
     shard = phrase_index.Shard(text, 5, 4)
     found = shard.words()
