@@ -11,7 +11,7 @@ from loadspan.config import (
     FEATURE_COLUMNS, LAG_HOURS, LAG_STEPS, SLOTS_PER_HOUR, STEP_MINUTES, WEATHER_COLUMNS, WINDOW_ROWS,
 )
 from loadspan.functions.time import calendar, floor_hour
-from loadspan.plans.blocks import with_window_columns
+from loadspan.plans.blocks import with_position, with_window_columns
 from loadspan.plans.skew import salted_join
 
 
@@ -54,11 +54,22 @@ def weather_join(features: DataFrame, weather: DataFrame) -> DataFrame:
     return features.join(weather, ["region", "ts"], "left")
 
 
-def impute_weather(series: DataFrame, columns: Iterable[str] = WEATHER_COLUMNS) -> DataFrame:
-    """Missing readings become the mean of their region, for learners that need a row for every step; null where a region has none."""
+def weather_means(series: DataFrame, share: float = 1.0, columns: Iterable[str] = WEATHER_COLUMNS) -> DataFrame:
+    """(region, columns): mean readings over the first ``share`` of each series, so that later rows tell a learner nothing."""
+    if share < 1:
+        series = with_position(series, ["region"], "ts", size="_n").filter(F.col("idx") < F.floor(F.col("_n") * share))
+    return series.groupBy("region").agg(*[F.avg(c).alias(c) for c in columns])
+
+
+def impute_weather(series: DataFrame, means: DataFrame | None = None, columns: Iterable[str] = WEATHER_COLUMNS) -> DataFrame:
+    """Missing readings become the mean of their region, for learners that need a row for every step; null where a region has none.
+
+    ``means`` are those of :func:`weather_means`, of a learner's training rows; without them, those of all of ``series``.
+    """
     columns = list(columns)
-    means = series.groupBy("region").agg(*[F.avg(c).alias(f"_{c}") for c in columns])
-    filled = salted_join(series, means, ["region"], ["ts"])
+    means = weather_means(series, columns=columns) if means is None else means
+    named = means.select("region", *[F.col(c).alias(f"_{c}") for c in columns])
+    filled = salted_join(series, named, ["region"], ["ts"], "left")
     return filled.select([F.coalesce(c, f"_{c}").alias(c) if c in columns else F.col(c) for c in series.columns])
 
 

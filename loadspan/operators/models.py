@@ -19,12 +19,16 @@ from loadspan.config import FEATURE_COLUMNS
 from loadspan.operators.forecast import horizon_of, residual_quantile, with_horizons
 from loadspan.operators.reshape import chrono_split
 from loadspan.plans.skew import salted_join
+from loadspan.session import shuffle_width
 
 SEED = 42
 
 # Width of the vector that hashed region names share.
 HASHED_WIDTH = 1024
 
+# Rows that a task of a fit passes over at least.
+ROWS_A_TASK = 20_000
+
 log = logging.getLogger(__name__)
 
 
@@ -100,24 +104,26 @@ class Ensemble:
             "region_index", "region_hot", "raw", "scaled", "features", *[f"p_{m}" for m in self.fitted]
         )
 
-    def save(self, path: str) -> None:
-        self.prepared.write().overwrite().save(f"{path}/preparation")
-        PipelineModel(list(self.fitted.values())).write().overwrite().save(f"{path}/members")
 
-    @classmethod
-    def load(cls, path: str) -> Ensemble:
-        stages = PipelineModel.load(f"{path}/members").stages
-        return cls(
-            PipelineModel.load(f"{path}/preparation"),
-            {s.getPredictionCol().removeprefix("p_"): s for s in stages},
-        )
+def member_weights(names: Sequence[str], weights: Mapping[str, float] | None = None) -> dict[str, float]:
+    """Share of each member: equal unless weights are given, of which a member without one has 0.
+
+    Weights of members that are not there (they failed, or were never asked for) are an error, as are weights that sum to 0.
+    """
+    if weights is None:
+        return dict.fromkeys(names, 1.0 / len(names))
+    if unknown := sorted(set(weights) - set(names)):
+        raise ValueError(f"weights of members that are not fitted: {', '.join(unknown)}")
+    total = sum(weights.values())
+    if not total:
+        raise ValueError("the weights sum to 0")
+    return {n: weights.get(n, 0.0) / total for n in names}
 
 
 def ensemble_mean(predicted: DataFrame, names: Sequence[str], weights: Mapping[str, float] | None = None) -> DataFrame:
-    """Mean of the member columns ``p_<name>``; equal weights unless given."""
-    weight = {n: (weights or {}).get(n, 1.0) for n in names}
-    total = sum(weight.values())
-    mean = sum((F.col(f"p_{n}") * (weight[n] / total) for n in names), F.lit(0.0))
+    """Mean of the member columns ``p_<name>`` with the shares of :func:`member_weights`."""
+    share = member_weights(names, weights)
+    mean = sum((F.col(f"p_{n}") * share[n] for n in names if share[n]), F.lit(0.0))
     return predicted.withColumn("point", mean)
 
 
@@ -130,10 +136,12 @@ def fit_ensemble(train: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS, lab
     width for very many regions, or None. A member that fails is logged, named in ``failed`` and left out; none left is an error.
 
     Prepared rows are kept between the fits, spilling to disk, because each fit passes over them
-    many times.
+    many times: a tree level is a job. Few rows are kept in few partitions, as such jobs are mostly the start of their tasks.
     """
     prepared = Pipeline(stages=preparation(columns, regions)).fit(train)
-    rows = prepared.transform(train).select("features", label).persist()
+    rows = prepared.transform(train).select("features", label)
+    tasks = max(1, -(-train.count() // ROWS_A_TASK))
+    rows = (rows.coalesce(tasks) if tasks < shuffle_width(train.sparkSession) else rows).persist()
     fitted, failures = {}, {}
     try:
         for name, estimator in members(label, **settings).items():
@@ -151,15 +159,6 @@ def fit_ensemble(train: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS, lab
     return Ensemble(prepared, fitted, failures)
 
 
-def fit_per_region(train: DataFrame, regions: Sequence[str], columns: Sequence[str] = FEATURE_COLUMNS,
-                   label: str = "label", algorithms: Sequence[str] = ("linear",), **settings) -> dict[str, Ensemble]:
-    """One ensemble per named region, for a handful of regions; the pooled model scales further."""
-    return {
-        r: fit_ensemble(train.filter(F.col("region") == r), columns, label, algorithms, regions=None, **settings)
-        for r in regions
-    }
-
-
 def next_step_rows(features: DataFrame, steps: int = 1) -> DataFrame:
     """Features with the load ``steps`` ahead as label, found by its time; rows without one are dropped."""
     target = features.select("region", (F.col("ts") - F.expr(f"INTERVAL {steps * 15} MINUTES")).alias("ts"), F.col("load").alias("label"))
@@ -210,21 +209,6 @@ def feature_importance(ensemble: Ensemble, scored: DataFrame, columns: Sequence[
     return spark.createDataFrame(list(zip(names, mean)), "feature string, importance double")
 
 
-def importance_by_horizon(importances: DataFrame, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(region, horizon, feature, importance): the importances of the pooled model within each region and horizon.
-
-    A feature that does not vary there decides nothing there, so its importance is weighted by its deviation in the group over that
-    of all rows; each group sums to 1, or is all 0. One pass over ``rows`` (region, horizon, columns).
-    """
-    spread = [F.stddev_pop(F.col(c).cast("double")).alias(c) for c in columns]
-    every = rows.agg(*spread).unpivot([], list(columns), "feature", "all_std")
-    each = rows.groupBy("region", "horizon").agg(*spread).unpivot(["region", "horizon"], list(columns), "feature", "own_std")
-    weight = F.col("importance") * F.coalesce(F.try_divide("own_std", "all_std"), F.lit(0.0))
-    weighted = each.join(every, "feature").join(importances, "feature").withColumn("_w", weight)
-    total = F.sum("_w").over(Window.partitionBy("region", "horizon"))
-    return weighted.select("region", "horizon", "feature", F.coalesce(F.try_divide(F.col("_w"), total), F.lit(0.0)).alias("importance"))
-
-
 def top_importances(importances: DataFrame, n: int = 15, keys: Sequence[str] = ()) -> DataFrame:
     """The ``n`` largest importances per group; ties go by name. A group is one model's features."""
     order = Window.partitionBy(*keys).orderBy(F.col("importance").desc(), "feature")

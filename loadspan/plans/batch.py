@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from loadspan.config import DEFAULTS, FEATURE_COLUMNS, Thresholds
 from loadspan.operators import anomaly, backtest, features, forecast, models, reshape, stats
+from loadspan.operators.importance import permutation_importance
+from loadspan.operators.roll import roll_forward
 from loadspan.sources import reports, snapshot
 from loadspan.sources.stage import staged
 
@@ -36,15 +38,12 @@ def train(series: DataFrame, algorithms: Sequence[str] = ("boosted", "forest", "
 
 def train_all(series: DataFrame, algorithms: Sequence[str] = ("boosted", "forest", "linear"), level: float = 0.95,
               **settings) -> tuple[models.Ensemble, DataFrame, DataFrame]:
-    """As :func:`train`, and the importances per region and horizon if a tree member was fitted, else none."""
+    """As :func:`train`, and the permutation importances per region and horizon, measured on the calibration rows."""
     rows = staged(training_rows(series), "training")
-    fit_rows = rows.filter("part = 'train'")
-    ensemble = models.fit_ensemble(fit_rows, DIRECT_COLUMNS, algorithms=algorithms, **settings)
-    importances = rows.sparkSession.createDataFrame([], "region string, horizon string, feature string, importance double")
-    if any(hasattr(m, "featureImportances") for m in ensemble.fitted.values()):
-        pooled = models.feature_importance(ensemble, rows, DIRECT_COLUMNS)
-        importances = models.importance_by_horizon(pooled, fit_rows, DIRECT_COLUMNS)
-    scored = ensemble.transform(rows.filter("part = 'test'"))
+    ensemble = models.fit_ensemble(rows.filter("part = 'train'"), DIRECT_COLUMNS, algorithms=algorithms, **settings)
+    held = rows.filter("part = 'test'")
+    importances = permutation_importance(held, ensemble, DIRECT_COLUMNS)
+    scored = ensemble.transform(held)
     residuals = scored.withColumn("abs_error", F.abs(F.col("label") - F.col("point")))
     return ensemble, forecast.residual_quantile(residuals, level, ["region", "horizon"]), importances
 
@@ -52,20 +51,26 @@ def train_all(series: DataFrame, algorithms: Sequence[str] = ("boosted", "forest
 def deploy(
     series: DataFrame, ensemble: models.Ensemble, qhat: DataFrame,
     thresholds: Thresholds = DEFAULTS, timestamp: Column | None = None, importances: DataFrame | None = None,
+    roll: Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Snapshot documents and findings for the newest step, with a scored value for each of 192 steps.
+    """Snapshot documents and findings for the newest step, with a value for each of 192 steps.
 
-    ``series`` (region, ts, load and weather) needs the last 8 days: the longest lag and a day. The interval of a step is that of
-    the horizon it falls in. ``importances`` (region, horizon, feature, importance) go into the documents.
+    ``series`` (region, ts, load and weather) needs the last 8 days: the longest lag and a day. An ensemble with the steps ahead as a feature
+    scores every step from the newest row, and the interval of a step is that of the horizon it falls in. With ``roll``, the columns
+    of a next-step ensemble, that ensemble is rolled forward, each prediction fed back, and ``qhat`` has one quantile for each region.
+    ``importances`` (region, horizon, feature, importance) go into the documents.
     """
     series = staged(series, "recent")
     load = series.select("region", "ts", "load")
     end = series.agg(F.max("ts").alias("v")).scalar()
-    table = features.quarter_hour_features(series)
-    scored = ensemble.transform(models.direct_scoring_rows(table))
-    path = forecast.prediction_interval(scored, qhat, ["region", "horizon"]).select(
-        "region", F.col("steps").alias("step"), forecast.steps_after(end, F.col("steps")).alias("ts"), "point", "lower", "upper"
-    )
+    if roll:
+        path = forecast.prediction_interval(roll_forward(series, ensemble, roll), qhat)
+    else:
+        table = features.quarter_hour_features(series)
+        scored = ensemble.transform(models.direct_scoring_rows(table))
+        path = forecast.prediction_interval(scored, qhat, ["region", "horizon"]).select(
+            "region", F.col("steps").alias("step"), forecast.steps_after(end, F.col("steps")).alias("ts"), "point", "lower", "upper"
+        )
     path = staged(path, "path")
     anchors = forecast.path_anchor(path)
     week = load.filter(F.col("ts") > end - F.expr("INTERVAL 7 DAYS"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from loadspan.config import FEATURE_COLUMNS, SLOTS_PER_WEEK, WEATHER_COLUMNS
 from loadspan.operators import features as fx
 from loadspan.operators import models, reshape, stats
-from loadspan.operators.forecast import residual_quantile
+from loadspan.operators import regional
+from loadspan.operators.forecast import prediction_interval, residual_quantile
+from loadspan.operators.roll import roll_forward
 from loadspan.plans import batch
 from loadspan.queries import inputs as src
 from loadspan.queries.base import COMPLETE
@@ -15,7 +17,7 @@ from loadspan.queries.inputs import rounded
 from loadspan.queries.registry import query
 from loadspan.queries.sqlbase import sql
 from loadspan.session import shared_dir
-from loadspan.sources import tables
+from loadspan.sources import bundle, tables
 from loadspan.sources.stage import staged
 
 COLUMNS = [*FEATURE_COLUMNS, "load"]
@@ -23,8 +25,9 @@ ALL = ("boosted", "forest", "linear")
 
 FEATURE_LIST = ", ".join(FEATURE_COLUMNS)
 # Feature rows with missing weather imputed, those with a next step, and their chronological parts.
-IMPUTED = ", ".join(f"coalesce({c}, avg({c}) OVER (PARTITION BY region)) AS {c}" for c in WEATHER_COLUMNS)
-ROWS = f"""imputed AS (SELECT region, ts, load, {', '.join(c for c in FEATURE_COLUMNS if c not in WEATHER_COLUMNS)}, {IMPUTED} FROM features),
+IMPUTED = ", ".join(f"coalesce({c}, avg({c}) FILTER (WHERE idx < floor(n * 0.8)) OVER (PARTITION BY region)) AS {c}" for c in WEATHER_COLUMNS)
+ROWS = f"""imputed AS (SELECT region, ts, load, {', '.join(c for c in FEATURE_COLUMNS if c not in WEATHER_COLUMNS)}, {IMPUTED} FROM (
+        SELECT *, row_number() OVER (PARTITION BY region ORDER BY ts) - 1 AS idx, count(*) OVER (PARTITION BY region) AS n FROM features) p),
     complete AS (SELECT region, ts, load, {FEATURE_LIST} FROM imputed WHERE {COMPLETE}),
     labelled AS (SELECT c.*, n.load AS label FROM complete c JOIN complete n ON n.region = c.region AND n.ts = c.ts + INTERVAL 15 MINUTE),
     enough AS (SELECT region FROM labelled GROUP BY region HAVING count(*) >= 200),
@@ -33,9 +36,21 @@ ROWS = f"""imputed AS (SELECT region, ts, load, {', '.join(c for c in FEATURE_CO
             FROM labelled l JOIN enough e ON e.region = l.region) q)"""
 
 
+# The means that fill missing weather come from rows that every later split puts into its training part: rows of next steps, and of direct
+# horizons, of which the last tenth of the first 80 % calibrates.
+NEXT_STEP, DIRECT = 0.8, 0.7
+
+
+def imputed(spark, d, share):
+    """The series with missing weather filled from its first ``share``, and the means it was filled with."""
+    series = src.series(spark, d)
+    means = staged(fx.weather_means(series, share), "weather-means")
+    return fx.impute_weather(series, means), means
+
+
 def split_rows(spark, d):
     """Next-step rows with their chronological part."""
-    table = fx.quarter_hour_features(fx.impute_weather(src.series(spark, d)))
+    table = fx.quarter_hour_features(imputed(spark, d, NEXT_STEP)[0])
     rows = models.min_sample_guard(models.next_step_rows(table))
     return staged(reshape.chrono_split(rows).drop("idx", "n"), "next-step")
 
@@ -99,11 +114,9 @@ def model_conformal(spark, d):
 @query("direct_forecast")
 def direct_forecast(spark, d):
     """Forecast of each region at each step from its newest features, with its interval."""
-    series = fx.impute_weather(src.series(spark, d))
+    series = imputed(spark, d, DIRECT)[0]
     ensemble, qhat = batch.train(series)
     newest = models.direct_scoring_rows(fx.quarter_hour_features(series))
-    from loadspan.operators.forecast import prediction_interval
-
     scored = prediction_interval(ensemble.transform(newest), qhat, ["region", "horizon"])
     return rounded(scored.select("region", "horizon", "steps", "point", "lower", "upper"), 4)
 
@@ -117,30 +130,47 @@ def feature_importance(spark, d):
 @query("top_importances")
 def top_importances(spark, d):
     """The largest importances of each region and horizon."""
-    _, _, importances = batch.train_all(fx.impute_weather(src.series(spark, d)), ("boosted", "forest"))
+    _, _, importances = batch.train_all(imputed(spark, d, DIRECT)[0], ("boosted", "forest"))
     return rounded(models.top_importances(importances, keys=["region", "horizon"]))
 
 
+@query("recursive_ensemble")
+def recursive_ensemble(spark, d):
+    """The fitted ensemble rolled 192 steps ahead for every region, each prediction fed back, with intervals of the validation errors."""
+    ensemble, rows = fitted(spark, d)
+    scored = ensemble.transform(rows.filter("part = 'validation'"))
+    qhat = residual_quantile(scored.withColumn("abs_error", F.abs(F.col("label") - F.col("point"))))
+    path = prediction_interval(roll_forward(imputed(spark, d, NEXT_STEP)[0], ensemble, COLUMNS), qhat)
+    return rounded(path.select("region", "step", "ts", "point", "lower", "upper"), 4)
+
+
 @query("per_region_models")
 def per_region_models(spark, d):
+    """Test errors of a linear model of its own for every region."""
     rows = split_rows(spark, d)
-    ensembles = models.fit_per_region(rows.filter("part = 'train'"), reshape.region_names(rows), COLUMNS)
-    out = None
-    for region, ensemble in ensembles.items():
-        part = score(ensemble.transform(rows.filter((F.col("part") == "test") & (F.col("region") == region))))
-        out = part if out is None else out.unionByName(part)
-    return rounded(out, 4)
+    fitted_models = regional.fit_regions(rows.filter("part = 'train'"), COLUMNS, ridge=0.01, minimum=200)
+    return rounded(score(regional.forecast_regions(rows.filter("part = 'test'"), fitted_models, COLUMNS)), 4)
+
+
+@query("per_region_slopes", sql("""SELECT region, count(*) AS samples, round(regr_slope(label, load) + 1e-9, 6) AS slope,
+    round(regr_intercept(label, load) + 1e-9, 6) AS intercept, round(regr_r2(label, load) + 1e-9, 6) AS r2 FROM parts WHERE part = 'train' GROUP BY region""",
+    "features", extra=ROWS))
+def per_region_slopes(spark, d):
+    """The next load on the load, fitted for every region at once."""
+    train = split_rows(spark, d).filter("part = 'train'")
+    found = regional.fit_regions(train, ["load"])
+    return rounded(found.select("region", "samples", F.col("coefficients")[0].alias("slope"), "intercept", "r2"))
 
 
 @query("model_store", sql("SELECT region, count(*) AS rows, CAST(0 AS DOUBLE) AS difference FROM parts WHERE part = 'test' GROUP BY region",
        "features", extra=ROWS))
 def model_store(spark, d):
-    """Forecasts of a saved and reloaded ensemble next to those of the original."""
+    """Forecasts of a stored and reloaded forecaster next to those of the original."""
     ensemble, rows = fitted(spark, d)
     path = shared_dir(spark, "models")
-    ensemble.save(path)
+    bundle.save(bundle.Forecaster(ensemble, COLUMNS), spark, path)
     test = rows.filter("part = 'test'")
-    again = models.Ensemble.load(path).transform(test).select("region", "ts", F.col("point").alias("reloaded"))
+    again = bundle.load(spark, path).ensemble.transform(test).select("region", "ts", F.col("point").alias("reloaded"))
     both = ensemble.transform(test).select("region", "ts", "point").join(again, ["region", "ts"])
     return both.groupBy("region").agg(
         F.count(F.lit(1)).alias("rows"), F.round(F.max(F.abs(F.col("point") - F.col("reloaded"))), 6).alias("difference")
@@ -150,10 +180,11 @@ def model_store(spark, d):
 @query("deployment")
 def deployment(spark, d):
     """One run of the deployment plan: a row for each region and step of the documents, with bounds, anomalies and importances."""
-    ensemble, qhat, importances = batch.train_all(fx.impute_weather(src.series(spark, d)))
+    series, means = imputed(spark, d, DIRECT)
+    ensemble, qhat, importances = batch.train_all(series)
     # the longest lag before the window of statistics: 8 days would do, two weeks are two whole seasons
     recent = tables.series_table(src.events(spark, d), src.axis(spark, d), 2 * SLOTS_PER_WEEK)
-    documents, _ = batch.deploy(fx.impute_weather(recent), ensemble, staged(qhat, "qhat"), importances=importances)
+    documents, _ = batch.deploy(fx.impute_weather(recent, means), ensemble, staged(qhat, "qhat"), importances=importances)
     documents = staged(documents, "documents")
     longest = documents.select(
         F.explode("forecast_paths").alias("region", "p"), "interval_paths", "feature_importances", F.size("anomalies").alias("anomalies"),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from loadspan.session import shared_dir
 
@@ -20,23 +20,37 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def staging(purpose: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Stage tables for a plan that ends inside the block; their folders are removed when it does.
+class Staging:
+    """Stages tables when called, and names folders for what is written otherwise."""
 
-    For plans that write their result in the block. A lazy result that leaves it needs :func:`staged`.
-    """
-    made: list[tuple[DataFrame, str]] = []
+    def __init__(self, purpose: str) -> None:
+        self.purpose = purpose
+        self.made: list[tuple[SparkSession, str]] = []
 
-    def keep(df: DataFrame) -> DataFrame:
-        path = shared_dir(df.sparkSession, purpose)
-        made.append((df, path))
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = self.folder(df.sparkSession)
         df.write.parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
+    def folder(self, spark: SparkSession) -> str:
+        path = shared_dir(spark, self.purpose)
+        self.made.append((spark, path))
+        return path
+
+    def remove(self) -> None:
+        for spark, path in self.made:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def staging(purpose: str) -> Iterator[Staging]:
+    """Stage tables for a plan that ends inside the block; their folders are removed when it does.
+
+    For plans that write their result in the block. A lazy result that leaves it needs :func:`staged`.
+    """
+    keep = Staging(purpose)
     try:
         yield keep
     finally:
-        for df, path in made:
-            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+        keep.remove()

@@ -15,13 +15,13 @@ def _folder(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def versions(spark: SparkSession, path: str) -> list[str]:
+def versions(spark: SparkSession, path: str, mark: str = DONE) -> list[str]:
     """Paths of the finished versions, oldest first. One without the mark of its committer was not finished."""
     files, place = _folder(spark, path)
     if not files.exists(place):
         return []
     found = [s.getPath() for s in files.listStatus(place) if s.isDirectory() and s.getPath().getName().startswith("version=")]
-    done = [p for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, DONE))]
+    done = [p for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, mark))]
     return [p.toString() for p in sorted(done, key=lambda p: p.getName())]
 
 
@@ -31,6 +31,12 @@ def newest(spark: SparkSession, path: str) -> str | None:
     return found[-1] if found else None
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        files, place = _folder(spark, path)
+        files.delete(place, True)
+
+
 def write_version(df: DataFrame, path: str, kind: str = "json", keep: int = 2) -> str:
     """Write a new version beside the others, then remove all but the newest ``keep``.
 
@@ -41,7 +47,5 @@ def write_version(df: DataFrame, path: str, kind: str = "json", keep: int = 2) -
     made = f"{path.rstrip('/')}/version={time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     writer = df.write.mode("errorifexists")
     writer.text(made) if kind == "text" else writer.json(made)
-    files, _ = _folder(spark, path)
-    for old in versions(spark, path)[:-keep]:
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
+    remove(spark, versions(spark, path)[:-keep])
     return made

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from loadspan.operators import features, models
+from loadspan.operators import models
 from loadspan.plans import batch
 from loadspan.queries import learning
 
@@ -19,7 +19,7 @@ class Fitted(Exception):
 
 @pytest.mark.parametrize("name, wanted", [
     ("fit_ensemble", EVERY), ("ensemble_mean", EVERY), ("model_conformal", EVERY), ("direct_forecast", EVERY), ("model_store", EVERY),
-    ("deployment", EVERY), ("feature_importance", EVERY - {"linear"}), ("top_importances", EVERY - {"linear"}),
+    ("deployment", EVERY), ("recursive_ensemble", EVERY), ("feature_importance", EVERY - {"linear"}), ("top_importances", EVERY - {"linear"}),
 ])
 def test_registered_fits_have_the_operators_sizes(spark, monkeypatch, name, wanted):
     given = inspect.signature(models.fit_ensemble)
@@ -33,7 +33,7 @@ def test_registered_fits_have_the_operators_sizes(spark, monkeypatch, name, want
     monkeypatch.setattr(models, "fit_ensemble", fit)
     monkeypatch.setattr(learning, "split_rows", lambda spark, d: rows)
     monkeypatch.setattr(learning.src, "series", lambda spark, d: rows)
-    monkeypatch.setattr(features, "impute_weather", lambda table: table)
+    monkeypatch.setattr(learning, "imputed", lambda spark, d, share: (rows, rows))
     monkeypatch.setattr(batch, "training_rows", lambda series: rows)
     monkeypatch.setattr(batch, "staged", lambda df, purpose: df)
     with pytest.raises(Fitted):

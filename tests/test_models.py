@@ -42,6 +42,10 @@ def test_ensemble_weights(spark):
     df = spark.createDataFrame([(1.0, 3.0)], "p_a double, p_b double")
     assert models.ensemble_mean(df, ["a", "b"]).first().point == 2
     assert models.ensemble_mean(df, ["a", "b"], {"a": 0.7, "b": 0.3}).first().point == pytest.approx(1.6)
+    assert models.ensemble_mean(df, ["a", "b"], {"b": 0.3}).first().point == 3
+    for wrong in ({"c": 1.0}, {"a": 0.0}):
+        with pytest.raises(ValueError):
+            models.ensemble_mean(df, ["a", "b"], wrong)
 
 
 def test_a_failing_member_is_left_out(spark, series, weather, monkeypatch):
@@ -91,16 +95,10 @@ def test_importances_by_region_and_horizon(series, weather):
     assert all(r.s == pytest.approx(1) and r.n == len(batch.DIRECT_COLUMNS) for r in rows)
 
 
-def test_saved_models_forecast_the_same(spark, series, weather, tmp_path):
+def test_fitted_ensemble_forecasts_and_ranks(series, weather):
     rows = models.next_step_rows(fx.quarter_hour_features(series, weather))
     ensemble = models.fit_ensemble(rows, [*models.FEATURE_COLUMNS, "load"], algorithms=["linear", "forest"], trees=20)
-    ensemble.save(str(tmp_path / "m"))
-    again = models.Ensemble.load(str(tmp_path / "m"))
-    assert set(again.fitted) == {"linear", "forest"}
-    a = ensemble.transform(rows).agg(F.sum("point").alias("s")).first().s
-    assert again.transform(rows).agg(F.sum("point").alias("s")).first().s == pytest.approx(a)
-    error = ensemble.transform(rows).agg(stats.mape("label", "point").alias("e")).first().e
-    assert error < 10
+    assert ensemble.transform(rows).agg(stats.mape("label", "point").alias("e")).first().e < 10
     importances = models.feature_importance(ensemble, rows, [*models.FEATURE_COLUMNS, "load"])
     top = models.top_importances(importances, 3).orderBy("rank").collect()
     assert [r["rank"] for r in top] == [1, 2, 3] and top[0].importance >= top[2].importance
