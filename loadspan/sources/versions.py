@@ -31,21 +31,43 @@ def newest(spark: SparkSession, path: str) -> str | None:
     return found[-1] if found else None
 
 
+def batch_name(batch: int) -> str:
+    """Name of the version of a batch; names of later batches sort behind it."""
+    return f"version=batch-{batch:012d}"
+
+
+def version_of_batch(spark: SparkSession, path: str, batch: int) -> str | None:
+    """Path of the finished version of a batch, or None."""
+    return next((v for v in versions(spark, path) if v.endswith("/" + batch_name(batch))), None)
+
+
+def finished_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished ``batch=`` folders of a path, in order."""
+    files, place = _folder(spark, path)
+    if not files.exists(place):
+        return []
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    found = [s.getPath() for s in files.listStatus(place) if s.getPath().getName().startswith("batch=")]
+    return sorted(int(p.getName().split("=")[1]) for p in found if files.exists(hadoop(p, DONE)))
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         files, place = _folder(spark, path)
         files.delete(place, True)
 
 
-def write_version(df: DataFrame, path: str, kind: str = "json", keep: int = 2) -> str:
+def write_version(df: DataFrame, path: str, kind: str = "json", keep: int = 2, batch: int | None = None) -> str:
     """Write a new version beside the others, then remove all but the newest ``keep``.
 
     Nothing that a reader may have open is overwritten: a reader sees the version before until the new one is finished,
-    and a writer that dies leaves that one current. The version before is kept for readers that have begun.
+    and a writer that dies leaves that one current. The version before is kept for readers that have begun. With ``batch``, the version bears its
+    number, and what an unfinished write of that batch has left is replaced.
     """
     spark = df.sparkSession
-    made = f"{path.rstrip('/')}/version={time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    writer = df.write.mode("errorifexists")
+    name = batch_name(batch) if batch is not None else f"version={time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    made = f"{path.rstrip('/')}/{name}"
+    writer = df.write.mode("errorifexists" if batch is None else "overwrite")
     writer.text(made) if kind == "text" else writer.json(made)
     remove(spark, versions(spark, path)[:-keep])
     return made

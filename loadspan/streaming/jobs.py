@@ -13,9 +13,8 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from loadspan.config import DEFAULTS, Thresholds
 from loadspan.operators.anomaly import severity, zscore
 from loadspan.operators.stats import region_stats
-from loadspan.sources.versions import write_version
+from loadspan.sources.increments import EVENT_DDL
 
-EVENT_DDL = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 LATENESS = "30 minutes"
 
 
@@ -87,43 +86,11 @@ def start_anomalies(stream: DataFrame, week: Callable[[], DataFrame], path: str,
     return _start(stream, write, checkpoint, every)
 
 
-def start_documents(stream: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
-                    every: str | None = "15 minutes") -> StreamingQuery:
-    """Refresh the snapshot with each batch: ``build`` makes documents of the newest closed interval of each region.
-
-    ``build`` reads histories and statistics itself, so they are those of the time of the batch. The documents become a new version
-    below ``path``, of which readers see the newest; a batch without closed intervals leaves the current one.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        newest = latest_per_region(batch, batch_id).drop("batch_id")
-        if not newest.isEmpty():
-            write_version(build(newest), path)
-
-    return _start(stream, write, checkpoint, every)
-
-
 def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str | None) -> StreamingQuery:
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return stream.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def latest_per_region(batch: DataFrame, batch_id: int) -> DataFrame:
-    """Newest closed interval of each region in a batch."""
-    return batch.groupBy("region").agg(F.max("ts").alias("ts"), F.max_by("load", "ts").alias("load")).withColumn(
-        "batch_id", F.lit(batch_id)
-    )
-
-
-def snapshot_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function; a repeated batch overwrites its own folder, so reruns change nothing."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        latest_per_region(batch, batch_id).write.mode("overwrite").json(f"{path}/batch={batch_id}")
-
-    return write
-
-
 def start_table(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append the stream to a Parquet table. ``every`` is a trigger interval; None takes what is there."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
@@ -133,16 +100,12 @@ def start_table(stream: DataFrame, path: str, checkpoint: str, every: str | None
     )
 
 
-def start_snapshots(stream: DataFrame, path: str, checkpoint: str, every: str | None = "15 minutes") -> StreamingQuery:
-    return _start(stream, snapshot_writer(path), checkpoint, every)
-
-
-PROGRESS_DDL = "run_id STRING, batch_id BIGINT, rows_read BIGINT, rows_dropped BIGINT"
+PROGRESS_DDL = "query_id STRING, batch_id BIGINT, rows_read BIGINT, rows_dropped BIGINT"
 
 
 def progress_row(progress) -> tuple[str, int, int, int]:
     dropped = sum(int(s.get("numRowsDroppedByWatermark", 0)) for s in progress.get("stateOperators", []))
-    return str(progress["runId"]), int(progress["batchId"]), int(progress["numInputRows"]), dropped
+    return str(progress["id"]), int(progress["batchId"]), int(progress["numInputRows"]), dropped
 
 
 class ProgressLog(StreamingQueryListener):
@@ -165,12 +128,6 @@ class ProgressLog(StreamingQueryListener):
         self.spark.createDataFrame([row], PROGRESS_DDL).coalesce(1).write.mode("append").parquet(self.path)
 
     def table(self, query: StreamingQuery) -> DataFrame:
-        """Rows read and rows dropped behind the watermark, per batch of a query's run."""
+        """Rows read and rows dropped behind the watermark, per batch of a query, over all its starts from one checkpoint."""
         rows = self.spark.read.schema(PROGRESS_DDL).parquet(self.path)
-        return rows.filter(F.col("run_id") == str(query.runId)).drop("run_id")
-
-
-def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """As :meth:`ProgressLog.table`, for the batches the query still remembers (100 by default): a look at a short run."""
-    rows = [progress_row(p)[1:] for p in query.recentProgress]
-    return spark.createDataFrame(rows, "batch_id bigint, rows_read bigint, rows_dropped bigint")
+        return rows.filter(F.col("query_id") == str(query.id)).drop("query_id")
