@@ -62,7 +62,7 @@ def trailing_by_day(spark, d):
     tables.write_series(load, f"{path}/series")
     tables.write_regions(load, f"{path}/regions")
     axis = tables.axis_of_days(spark, f"{path}/series")
-    return tables.trailing_series(spark, f"{path}/series", spark.read.parquet(f"{path}/regions"), axis, SLOTS_PER_WEEK)
+    return tables.trailing_series(spark, f"{path}/series", tables.read_regions(spark, f"{path}/regions"), axis, SLOTS_PER_WEEK)
 
 
 @query("recent_hours", sql("SELECT region, ts, load FROM load, bounds WHERE ts BETWEEN hi - INTERVAL 36 HOUR AND hi", "load", "bounds"))

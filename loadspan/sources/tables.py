@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from loadspan.config import STEP_MINUTES, WEATHER_COLUMNS
 from loadspan.functions.time import floor_15min, floor_day
 from loadspan.session import shuffle_width
+from loadspan.sources.versions import newest as newest_version
+from loadspan.sources.versions import write_version
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,20 +79,17 @@ def region_keys(facts: DataFrame, region: str) -> DataFrame:
 def spine(regions: DataFrame, lo: Column, hi: Column, minutes: int = STEP_MINUTES) -> DataFrame:
     """Every grid step for every region.
 
-    Regions are spread over the full shuffle width before the explode: they are few bytes, so
-    adaptive coalescing would otherwise give the whole expansion to one task. The hash of the
-    region is the key because a repartition by the region itself is planned away after a
-    grouping by region. Days come first and their steps second, because a sequence between two
-    constants would be folded into the plan, step by step.
+    Days are exploded first, into a row per region and day, and these few rows are dealt over the full shuffle width before the
+    steps are: adaptive coalescing sees only their bytes and would give the whole expansion to a few tasks. So five regions fill all
+    tasks. Steps come second also because a sequence between two constants would be folded into the plan, step by step.
     """
     width = shuffle_width(regions.sparkSession)
     first_day, last_day = (t.cast("date").cast("timestamp_ntz") for t in (lo, hi))
     step = F.expr(f"INTERVAL {minutes} MINUTES")
     last_step = F.col("_day") + F.expr(f"INTERVAL {24 * 60 - minutes} MINUTES")
     return (
-        regions.select("region")
-        .repartition(width, F.xxhash64("region"))
-        .select("region", F.explode(F.sequence(first_day, last_day, F.expr("INTERVAL 1 DAY"))).alias("_day"))
+        regions.select("region", F.explode(F.sequence(first_day, last_day, F.expr("INTERVAL 1 DAY"))).alias("_day"))
+        .repartition(width, "region", "_day")
         .select("region", F.explode(F.sequence(F.col("_day"), last_step, step)).alias("ts"))
         .filter(F.col("ts").between(lo, hi))
     )
@@ -238,18 +237,29 @@ def flow_edges(
 
 
 def write_series(series: DataFrame, path: str) -> None:
-    """Write a canonical table partitioned by day, for readers that prune by time.
+    """Write days of a canonical table into their folders, for readers that prune by time; other days stay as they are.
 
-    Rows are ranged by day and region, so that a day lies in few files and a day with many rows in
-    several.
+    A day that is written again is replaced as a whole, so ``series`` has whole days (``sources.increments`` adds to days).
+    Rows are ranged by day and region, so that a day lies in few files and a day with many rows in several.
     """
     dated = series.withColumn("day", F.to_date("ts"))
-    dated.repartitionByRange("day", "region", "ts").write.mode("overwrite").partitionBy("day").parquet(path)
+    dated.repartitionByRange("day", "region", "ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
 def write_regions(series: DataFrame, path: str) -> None:
-    """Names of the regions of a canonical table, beside it: trailing reads then need no pass over the whole table."""
-    region_keys(series, "region").coalesce(1).write.mode("overwrite").parquet(path)
+    """Add the names of a canonical table to those beside it: trailing reads then need no pass over the whole table.
+
+    Names are kept as versions, of which the newest has all, so a region that is silent in ``series`` isn't forgotten.
+    """
+    names = region_keys(series, "region")
+    known = read_regions(series.sparkSession, path)
+    write_version(names if known is None else names.unionByName(known).distinct(), path, "parquet")
+
+
+def read_regions(spark: SparkSession, path: str) -> DataFrame | None:
+    """Names written by :func:`write_regions`, or None."""
+    made = newest_version(spark, path)
+    return made and spark.read.schema("region string").parquet(made)
 
 
 def axis_of_days(spark: SparkSession, path: str, minutes: int = STEP_MINUTES) -> Axis:

@@ -58,7 +58,7 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
 
 
 def write_version(df: DataFrame, path: str, kind: str = "json", keep: int = 2, batch: int | None = None) -> str:
-    """Write a new version beside the others, then remove all but the newest ``keep``.
+    """Write a new version beside the others as ``kind`` (json, text or parquet), then remove all but the newest ``keep``.
 
     Nothing that a reader may have open is overwritten: a reader sees the version before until the new one is finished,
     and a writer that dies leaves that one current. The version before is kept for readers that have begun. With ``batch``, the version bears its
@@ -68,6 +68,6 @@ def write_version(df: DataFrame, path: str, kind: str = "json", keep: int = 2, b
     name = batch_name(batch) if batch is not None else f"version={time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     made = f"{path.rstrip('/')}/{name}"
     writer = df.write.mode("errorifexists" if batch is None else "overwrite")
-    writer.text(made) if kind == "text" else writer.json(made)
+    getattr(writer, kind)(made)
     remove(spark, versions(spark, path)[:-keep])
     return made

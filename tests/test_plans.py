@@ -55,9 +55,13 @@ def test_lags_share_one_shuffle(spark, sf_dir):
     assert len(re.findall(r"\bWindow \[", text)) == 1
 
 
-def test_spine_keeps_its_width(spark, sf_dir):
-    text = plan(tables.spine(spark.createDataFrame([("a",)], "region string"), *(tables.ntz(dt.date(2024, 1, d)) for d in (1, 2))))
-    assert "REPARTITION_BY_NUM" in text
+def test_spine_of_few_regions_fills_the_tasks(spark):
+    names = spark.createDataFrame([("a",), ("b",)], "region string")
+    steps = tables.spine(names, tables.ntz(dt.date(2024, 1, 1)), tables.ntz(dt.date(2024, 3, 1)))
+    rows = steps.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(r["count"] for r in rows) == 2 * (60 * 96 + 1) and len(rows) == width
+    assert max(r["count"] for r in rows) < sum(r["count"] for r in rows) / 4
 
 
 def test_salted_join_equals_a_join(spark):
@@ -89,6 +93,19 @@ def test_series_partitioned_by_day(spark, tmp_path, hours):
     assert "PartitionFilters: [isnotnull(day" in plan(one)
 
 
+def test_writing_new_days_keeps_the_others(spark, tmp_path, hours):
+    path, names = str(tmp_path / "load"), str(tmp_path / "regions")
+    first, second = hours({"a": range(96 * 2), "b": range(96 * 2)}), hours({"a": range(96)}, dt.datetime(2024, 1, 3))
+    again = hours({"a": [7.0] * 96}, dt.datetime(2024, 1, 2))
+    for part in (first, second, again):
+        tables.write_series(part, path)
+        tables.write_regions(part, names)
+    days = {r.day: (r.n, r.s) for r in tables.read_series(spark, path).groupBy(F.to_date("ts").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("load").alias("s")).collect()}
+    assert days == {dt.date(2024, 1, 1): (192, 2 * sum(range(96))), dt.date(2024, 1, 2): (96, 7 * 96), dt.date(2024, 1, 3): (96, sum(range(96)))}
+    assert {r.region for r in tables.read_regions(spark, names).collect()} == {"a", "b"}
+
+
 def test_trailing_table_equals_the_end_of_the_whole(spark, sf_dir):
     inputs.forget()
     axis = inputs.axis(spark, sf_dir)
