@@ -11,7 +11,7 @@ from loadspan.llm.queries import fold
 
 def test_registered():
     names = contract.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
 
 
 def test_stages(spark, sf_dir, given, pieces):
@@ -34,7 +34,7 @@ def test_stages(spark, sf_dir, given, pieces):
 
     third = stage(steps[2](spark, second, sf_dir), "third")
     assert third.columns == docs.columns
-    heads = {r.component_id for r in jaccard.join(second).collect()}
+    heads = {r.component_id for r in jaccard.join(second, corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT).collect()}
     assert {r.doc_id for r in third.collect()} == heads
     assert all(r.text == texts[r.doc_id] for r in third.collect())
 

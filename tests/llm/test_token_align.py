@@ -124,7 +124,15 @@ def test_empty_table_null_ids_and_repeated_rows(docs, byte_bpe, pieces):
     assert {r.count_sum for r in twice} == {0, 2 * max(r.n_links for r in twice)}
 
 
-def test_pieces_across_spaces_are_refused():
+def test_units_are_put_together_from_parts(byte_bpe, pieces):
+    aligner = token_align.Aligner(byte_bpe, pieces)
+    assert aligner.split
+    aligner.aligned(["word, word; word\nword"])
+    assert set(aligner.known.fresh) == {" word", "word", ",", ";", "\n"}
+
+
+def test_parts_of_characters_are_refined():
     assert token_align.partial("é".encode()[:1]) and not token_align.partial("é".encode())
-    assert token_align.refine([1, 1, 3], [b"a", b"b", b"c"], False, 3) == [1, 2, 3]
-    assert token_align.refine([2, 3], [b"ab", b"c"], False, 3) == [2, 3]
+    raw = [b"\xc3", b"\xa9", b"ab"]
+    assert token_align.refine([2, 2, 4], [0, 1, 2], raw, [True, True, False]) == [1, 2, 4]
+    assert token_align.refine([2, 4], [2, 2], raw, [True, True, False]) == [2, 4]
