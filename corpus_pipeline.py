@@ -12,6 +12,8 @@ from loadspan.llm.queries import PIECES, WORD_BPE, fold, tokenizer
 #: Words of a shingle and least similarity of the stage; the query of the join itself has its own.
 NEAR_WORDS = 5
 NEAR_PERCENT = 80
+#: Words that a task of the packing stage keeps the ids of: fewer than in the query, as workers still hold what earlier stages kept.
+PACKED_WORDS = 80_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    return packing.pack(docs, tokenizer(WORD_BPE))
+    return packing.pack(docs, tokenizer(WORD_BPE), words=PACKED_WORDS)
 
 
 STAGES = [
