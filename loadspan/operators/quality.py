@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from loadspan.config import STEP_MINUTES
 from loadspan.functions.time import minutes_between
-from loadspan.plans.blocks import with_previous
+from loadspan.plans.ranges import with_previous_in_ranges
 
 
-def grid_regularity(series: DataFrame, minutes: int = STEP_MINUTES, block_days: float = 1 / 1440) -> DataFrame:
+def grid_regularity(series: DataFrame, minutes: int = STEP_MINUTES) -> DataFrame:
     """Per region: steps that are not ``minutes`` long, timestamps off the grid, with seconds.
 
-    Rows of equal time are counted before they move, and a sort group covers the different times of one minute of a region.
+    Rows of equal time are counted before they move; the different times are then dealt by ranges of equal size, so a region with all its times
+    in one minute is spread like any other.
     """
     times = series.groupBy("region", "ts").agg(F.count(F.lit(1)).alias("_n"))
     gap = minutes_between("ts", "previous")
@@ -22,7 +23,7 @@ def grid_regularity(series: DataFrame, minutes: int = STEP_MINUTES, block_days:
         return F.sum(F.when(condition, F.col("_n")).otherwise(0))
 
     irregular = F.col("_n") - 1 + F.when(F.col("previous").isNotNull() & (gap != minutes), 1).otherwise(0)
-    return with_previous(times, ["region"], "ts", days=block_days).groupBy("region").agg(
+    return with_previous_in_ranges(times, ["region"], "ts").groupBy("region").agg(
         F.sum("_n").alias("rows"), F.sum(irregular).alias("irregular_steps"),
         counted(F.minute("ts") % minutes != 0).alias("off_grid_minutes"),
         counted(F.extract(F.lit("SECOND"), F.col("ts")) != 0).alias("with_seconds"),

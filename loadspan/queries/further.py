@@ -9,6 +9,7 @@ from loadspan.functions.text import metric_text
 from loadspan.operators import features as fx
 from loadspan.operators import forecast as fc
 from loadspan.operators import quality, reshape, topology
+from loadspan.plans.ranges import asof_join
 from loadspan.queries import inputs as src
 from loadspan.queries.analytics import EDGES
 from loadspan.queries.inputs import rounded
@@ -94,3 +95,15 @@ def narrow_floats(spark, d):
         F.col("l_linenumber").cast(lines.schema["l_linenumber"].dataType).alias("l_linenumber"),
         F.col("l_extendedprice").cast("double").alias("price"), F.col("l_quantity").cast("double").alias("quantity"),
     )
+
+
+@query("asof_events", """SELECT p.event_id, c.ts AS found_ts, c.value AS last_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+    LEFT JOIN (SELECT p.event_id, c.ts, c.value FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+        ASOF JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts
+        WHERE c.ts >= p.ts - INTERVAL 2 DAY) c ON c.event_id = p.event_id""")
+def asof_events(spark, d):
+    """The last click of the same user within two days before each purchase."""
+    events = src.events(spark, d).select("event_id", "ts", "user_id", "event_type", "value")
+    clicks = events.filter("event_type = 'click'").withColumnRenamed("value", "last_value")
+    bought = events.filter("event_type = 'purchase'").select("event_id", "ts", "user_id")
+    return asof_join(bought, clicks, ["user_id"], "ts", ["last_value"], "2 DAYS").select("event_id", "found_ts", "last_value")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import time
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -12,7 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from loadspan.operators.models import Ensemble
-from loadspan.sources.versions import _folder, remove, versions
+from loadspan.sources.versions import _folder, new_version, remove, versions
 
 MANIFEST = "manifest"
 
@@ -33,7 +31,7 @@ def save(forecaster: Forecaster, spark: SparkSession, path: str, keep: int = 2)
 
     Readers take the newest version that has a manifest, so a writer that dies between the parts leaves the version before.
     """
-    made = f"{path.rstrip('/')}/version={time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    made = new_version(path)
     ensemble = forecaster.ensemble
     ensemble.prepared.write().save(f"{made}/preparation")
     names = list(ensemble.fitted)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loadspan.functions.text import number_text, percent_text, summary_line
 from loadspan.operators.backtest import backtest_overall, backtest_regions
-from loadspan.sources.versions import newest, write_version
+from loadspan.sources.versions import new_version, remove, versions, write_version
 
 
 def report_rows(weekly: DataFrame) -> DataFrame:
@@ -17,12 +17,20 @@ def report_rows(weekly: DataFrame) -> DataFrame:
     return backtest_regions(weekly).join(nested, "region")
 
 
-def write_backtest_report(weekly: DataFrame, path: str, weeks: int = 4) -> None:
-    """``regions`` holds one JSON line per region, ``summary`` one line, each as a new version of its folder."""
-    write_version(report_rows(weekly), f"{path}/regions")
+#: What a reader waits for: the summary is written behind the regions.
+MARK = "summary/_SUCCESS"
+
+
+def write_backtest_report(weekly: DataFrame, path: str, weeks: int = 4, keep: int = 2) -> None:
+    """A new version with both parts: ``regions`` has one JSON line per region, ``summary`` one line.
+
+    The parts are published together: a version counts once its summary, written last, is finished. Older versions but the newest ``keep`` go.
+    """
+    spark, made = weekly.sparkSession, new_version(path)
+    report_rows(weekly).write.json(f"{made}/regions")
     summary = backtest_overall(backtest_regions(weekly), weeks)
-    stamped = summary.withColumn("backtest_date", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
-    write_version(stamped, f"{path}/summary")
+    summary.withColumn("backtest_date", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")).write.json(f"{made}/summary")
+    remove(spark, versions(spark, path, MARK)[:-keep])
 
 
 REGION_DDL = """region STRING, mape DOUBLE, mase DOUBLE, weeks_tested BIGINT,
@@ -31,10 +39,11 @@ SUMMARY_DDL = """overall_mape DOUBLE, overall_mase DOUBLE, regions_tested BIGINT
 
 
 def read_backtest_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return (
-        spark.read.schema(REGION_DDL).json(newest(spark, f"{path}/regions") or f"{path}/regions"),
-        spark.read.schema(SUMMARY_DDL).json(newest(spark, f"{path}/summary") or f"{path}/summary"),
-    )
+    """Regions and summary of the newest finished report."""
+    found = versions(spark, path, MARK)
+    if not found:
+        raise FileNotFoundError(f"no finished report in {path}")
+    return spark.read.schema(REGION_DDL).json(f"{found[-1]}/regions"), spark.read.schema(SUMMARY_DDL).json(f"{found[-1]}/summary")
 
 
 def summary_text(regions: DataFrame, overall: DataFrame) -> DataFrame:

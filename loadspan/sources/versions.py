@@ -57,6 +57,11 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         files.delete(place, True)
 
 
+def new_version(path: str) -> str:
+    """Path of a new version, behind all others in order."""
+    return f"{path.rstrip('/')}/version={time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
 def write_version(df: DataFrame, path: str, kind: str = "json", keep: int = 2, batch: int | None = None) -> str:
     """Write a new version beside the others as ``kind`` (json, text or parquet), then remove all but the newest ``keep``.
 
@@ -65,8 +70,7 @@ def write_version(df: DataFrame, path: str, kind: str = "json", keep: int = 2, b
     number, and what an unfinished write of that batch has left is replaced.
     """
     spark = df.sparkSession
-    name = batch_name(batch) if batch is not None else f"version={time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    made = f"{path.rstrip('/')}/{name}"
+    made = new_version(path) if batch is None else f"{path.rstrip('/')}/{batch_name(batch)}"
     writer = df.write.mode("errorifexists" if batch is None else "overwrite")
     getattr(writer, kind)(made)
     remove(spark, versions(spark, path)[:-keep])

@@ -111,5 +111,8 @@ def test_backtest_report(spark, series, tmp_path):
     regions, summary = reports.read_backtest_report(spark, str(tmp_path / "report"))
     assert {r.region: len(r.weekly_results) for r in regions.collect()} == {"region_1": 2, "region_2": 2}
     assert summary.first().regions_tested == 2
+    # a later report without its summary isn't read, nor is a part of it
+    weekly.limit(1).write.json(f"{tmp_path}/report/version=99999999999999999999-x/regions")
+    assert reports.read_backtest_report(spark, str(tmp_path / "report"))[0].count() == 2
     lines = [r.value for r in spark.read.text(str(tmp_path / "summary_text")).collect()]
     assert lines[0] == "weeks per region: 4" and lines[4].startswith("  region_1: MAPE=")

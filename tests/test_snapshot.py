@@ -35,7 +35,7 @@ CASES = {
     "loads text": (changed(current_load="none"), [("not_an_object", "current_load")]),
     "weather text": (changed(weather={"humidity": "wet"}), [("not_a_number", "weather.humidity")]),
     "empty": ({}, [("missing_key", k) for k in snapshot.REQUIRED_KEYS]),
-    "foreign": ({"invalid": "structure"}, [("missing_key", k) for k in snapshot.REQUIRED_KEYS]),
+    "foreign": ({"kind": ["ledger", "v7"], "rows": 3}, [("missing_key", k) for k in snapshot.REQUIRED_KEYS]),
 }
 
 
