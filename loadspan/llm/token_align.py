@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Sequence
 from itertools import accumulate
 
@@ -19,15 +20,16 @@ from loadspan.llm.common import WordCache, chunks, raw_texts, stage
 
 #: Pairs of a document and an id pair that a shard holds before it is closed; a longer document is a shard of its own.
 SHARD_PAIRS = 1 << 20
-#: Different units of text that a task keeps the alignments of.
-UNITS = 150_000
+#: Different units of text, and parts of units, that a task keeps the alignments of. Parts are dear to align, units are put together from them.
+UNITS = 100_000
+PARTS_KEPT = 300_000
 
 #: A text is cut before a space or a line end that follows anything but white space.
 UNIT = re.compile(r"\s*\S+(?:(?![ \n])\s+\S*)*|\s+")
 #: A unit of letters, with marks behind them and a line end before them, is cut once more.
 PARTS = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|#$%&*]*)")
 
-#: Tokens and byte ends of both sides: (a ids, a ends, b ids, b ends); None if a side does not give the bytes back.
+#: Tokens and byte ends of both sides: (a ids, a ends, b ids, b ends).
 Spans = tuple[list[int], list[int], list[int], list[int]]
 #: (tokens of A, tokens of B, groups as text, links as 64-bit codes a << 32 | b in native bytes).
 Aligned = tuple[int, int, str, bytes]
@@ -44,7 +46,7 @@ class Aligner:
     here for B; A's pre-tokenizer cuts there), so a text is encoded unit by unit, which gives the tokens of the whole text.
     """
 
-    def __init__(self, path_a: str, path_b: str, units: int = UNITS) -> None:
+    def __init__(self, path_a: str, path_b: str, units: int = UNITS, parts: int = PARTS_KEPT) -> None:
         library_threads_off()
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
         from tokenizers import Tokenizer
@@ -75,54 +77,46 @@ class Aligner:
         normal = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i))]
         if any(re.search("[^▁\n][▁\n]|\n▁|▁\n", p) for p in normal):
             raise ValueError("the sentencepiece model has pieces across spaces or line ends")
-        self.split = not any(re.search("[^\\W\\d_][.,!?;:|#$%&*]|\n.", p) for p in normal)
-        self.known = WordCache(self._parts, units)
+        self.split = not any(re.search("[A-Za-zÀ-ÖØ-öø-ÿ][.,!?;:|#$%&*]|\n.", p) for p in normal)
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.known = WordCache(self._parts, parts)
         self.cache = WordCache(self._units, units)
 
-    def spans(self, parts: Sequence[str]) -> list[Spans | None]:
-        """Tokens and their byte ends of each text part, encoded as it stands."""
-        out: list[Spans | None] = []
+    def spans(self, parts: Sequence[str]) -> list[Spans | bool]:
+        """Tokens and their byte ends of each text part, encoded as it stands; False if a side does not give the bytes back."""
+        out: list[Spans | bool] = []
         a_all = self.a.encode_batch(list(parts), add_special_tokens=False)
         b_all = self.b.encode(list(parts), return_type="proto", num_threads=1)
+        a_bytes, b_bytes = self.a_bytes, self.b_bytes
         for text, a, b in zip(parts, a_all, b_all, strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            a_ids, coarse = a.ids, [end for _, end in a.offsets]
-            b_ids, b_ends = [], []
-            for piece in b.pieces:
-                b_ids.append(piece.id)
-                b_ends.append(piece.end)
-            a_raw, b_raw = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-            if not raw or b"".join(a_raw) != raw or b"".join(b_raw) != raw:
-                out.append(None)
+            a_ids, pieces = a.ids, list(b.pieces)
+            b_ids = [p.id for p in pieces]
+            if not raw or b"".join([a_bytes[i] for i in a_ids]) != raw or b"".join([b_bytes[i] for i in b_ids]) != raw:
+                out.append(False)
                 continue
+            a_ends, b_ends = [end for _, end in a.offsets], [p.end for p in pieces]
             if len(raw) > len(text):
                 place = list(accumulate([len(c.encode()) for c in text], initial=0))
-                coarse = [place[end] for end in coarse]
-            a_ends = refine(coarse, a_raw, any([self.a_part[i] for i in a_ids]), len(raw))
-            b_ends = refine(b_ends, b_raw, any([self.b_part[i] for i in b_ids]), len(raw))
+                a_ends = refine([place[end] for end in a_ends], a_ids, a_bytes, self.a_part)
+                b_ends = refine(b_ends, b_ids, b_bytes, self.b_part)
             out.append((a_ids, a_ends, b_ids, b_ends))
         return out
 
-    def _parts(self, parts: list[str]) -> list[Aligned | None]:
-        return [s and links(*s) for s in self.spans(parts)]
+    def _parts(self, parts: list[str]) -> list[Aligned | bool]:
+        return [s and links(*s, self.names) for s in self.spans(parts)]
 
-    def _units(self, units: list[str]) -> list[Aligned | None]:
+    def _units(self, units: list[str]) -> list[Aligned | bool]:
         cut = []
         for unit in units:
             found = PARTS.fullmatch(unit) if self.split and len(unit) < 100 else None
             cut.append([p for p in found.groups() if p] if found else [unit])
-        known = self.known.of(cut)
-        return [known[c[0]] if len(c) == 1 else merge([known[p] for p in c]) for c in cut]
-
-    def aligned(self, texts: Sequence[str]) -> list[list[Aligned] | None]:
-        """Alignments of the units of a space and each text; None without tokens."""
-        units = [UNIT.findall(" " + t) if t else [] for t in texts]
-        known = self.cache.of(units)
-        out = []
-        for us in units:
-            got = [known[u] for u in us]
-            out.append(got if got and None not in got else None)
-        return out
+        return [v[0] if len(v) == 1 else merge(v) for v in self.known.values(cut)]
+
+    def aligned(self, texts: Sequence[str]) -> list[list[Aligned] | bool]:
+        """Alignments of the units of a space and each text; False without tokens."""
+        found = self.cache.values([UNIT.findall(" " + t) if t else [] for t in texts])
+        return [got if got and False not in got else False for got in found]
 
 
 def partial(token: bytes) -> bool:
@@ -134,37 +128,38 @@ def partial(token: bytes) -> bool:
     return False
 
 
-def refine(coarse: list[int], tokens: list[bytes], parts: bool, size: int) -> list[int]:
-    """Byte ends of tokens: the library's spans if all tokens are whole characters and the spans cover the text."""
-    if parts or coarse[-1] != size or any([e <= s for s, e in zip(coarse, coarse[1:])]):
-        return list(accumulate(map(len, tokens)))
+def refine(coarse: list[int], ids: list[int], raw: list[bytes], part: list[bool]) -> list[int]:
+    """Byte ends of tokens: the library's spans if all tokens are whole characters, else the ends of their decoded bytes."""
+    if any([part[i] for i in ids]):
+        return list(accumulate([len(raw[i]) for i in ids]))
     return coarse
 
 
-def links(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> Aligned:
-    """Groups between common ends and all overlapping pairs, by one walk over both sides."""
+def links(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int], names: Sequence[str]) -> Aligned:
+    """Groups between common ends and all overlapping pairs, by one walk over both sides; ``names`` has the numbers as text."""
+    a, b = [names[i] for i in a_ids], [names[i] for i in b_ids]
+    if len(a) == 1 or len(b) == 1:
+        codes = [i << 32 | j for i in a_ids for j in b_ids]
+        return len(a), len(b), ",".join(a) + "|" + ",".join(b), array("q", codes).tobytes()
     i = j = 0
     groups, codes = [], []
     first_a = first_b = 0
     while True:
         codes.append(a_ids[i] << 32 | b_ids[j])
-        if a_ends[i] < b_ends[j]:
-            i += 1
-        elif a_ends[i] > b_ends[j]:
-            j += 1
-        else:
-            i += 1
-            j += 1
-            groups.append(",".join(map(str, a_ids[first_a:i])) + "|" + ",".join(map(str, b_ids[first_b:j])))
+        at_a, at_b = a_ends[i], b_ends[j]
+        i += at_a <= at_b
+        j += at_b <= at_a
+        if at_a == at_b:
+            groups.append(",".join(a[first_a:i]) + "|" + ",".join(b[first_b:j]))
             first_a, first_b = i, j
-            if i == len(a_ids):
-                return len(a_ids), len(b_ids), ";".join(groups), np.array(codes, np.int64).tobytes()
+            if i == len(a):
+                return i, j, ";".join(groups), array("q", codes).tobytes()
 
 
-def merge(parts: Sequence[Aligned | None]) -> Aligned | None:
+def merge(parts: Sequence[Aligned | bool]) -> Aligned | bool:
     """Alignment of neighbouring parts as one."""
-    if None in parts:
-        return None
+    if False in parts:
+        return False
     a, b, groups, codes = zip(*parts, strict=True)
     return sum(a), sum(b), ";".join(groups), b"".join(codes)
 
@@ -200,7 +195,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for text in decoded(batch.column(1)):
                 units = UNIT.findall(" " + text) if text else []
                 spans = aligner.spans(units)
-                whole = None if not units or None in spans else spans
+                whole = None if not units or False in spans else spans
                 base = [0, *accumulate(len(u.encode()) for u in units)]
                 for k, column in enumerate(columns):
                     shift = base if k % 2 else [0] * len(base)
@@ -267,7 +262,7 @@ def shards(docs: DataFrame, path_a: str, path_b: str, most: int) -> DataFrame:
             ids = batch.column(0).cast(schema.field(1).type)
             for texts in chunks(decoded(batch.column(1))):
                 for got in aligner.aligned(texts):
-                    if got is None:
+                    if not got:
                         row = (0, 0, 0, 0, "")
                         codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
                     else:
