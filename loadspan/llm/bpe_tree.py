@@ -7,6 +7,7 @@ import json
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -26,6 +27,7 @@ CORES = 80_000
 LEAF = 128
 #: A word of Latin letters and trailing marks: the pattern of the pre-tokenizer always cuts between the two.
 LETTERS_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|#$%&*]*)")
+ASCII_MARKS = re.compile(b"([A-Za-z]+)([.,!?;:|#$%&*]*)")
 
 #: The symbols that stand for the bytes of a text in byte-level vocabularies.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -101,6 +103,7 @@ class Bpe:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.cores: dict[str, tuple[int, ...]] = {"": ()}
         self.most_cores = CORES
+        self.cores_packed: dict[bytes, bytes] = {b"": b""}
         self.tree: TreeEncoder | None = None
 
     def load_tree(self) -> TreeEncoder:
@@ -170,6 +173,41 @@ class Bpe:
             out[i] = ids
         return out
 
+    def packed_core(self, core: bytes) -> bytes:
+        """As ``core_ids``, for ASCII, as packed numbers."""
+        if len(self.cores_packed) > self.most_cores:
+            self.cores_packed = {b"": b""}
+        found = self.cores_packed[core] = array("I", [t.id for t in self.library.model.tokenize(core.decode())]).tobytes()
+        return found
+
+    def packed(self, words: Sequence[bytes]) -> list[bytes]:
+        """As ``ids``, the ids of a word as unsigned 32-bit numbers in native order; most words are ASCII and need no decoding."""
+        out: list[bytes] = []
+        later: list[bytes] = []
+        places: list[int] = []
+        match, known = ASCII_MARKS.fullmatch, self.cores_packed
+        for word in words:
+            found = match(word) if len(word) <= 64 else None
+            if found is None:
+                places.append(len(out))
+                later.append(word)
+                out.append(b"")
+                continue
+            core, marks = found.groups()
+            core = core.lower()
+            ids = known.get(core)
+            if ids is None:
+                ids, known = self.packed_core(core), self.cores_packed
+            if marks:
+                more = known.get(marks)
+                if more is None:
+                    more, known = self.packed_core(marks), self.cores_packed
+                ids += more
+            out.append(ids)
+        for i, ids in zip(places, self.ids(later), strict=True):
+            out[i] = array("I", ids).tobytes()
+        return out
+
     def decode(self, ids: Sequence[int]) -> str:
         """What the library's decode gives: without a decoder in the file, the tokens joined by spaces."""
         if self.library.decoder is not None:
