@@ -88,6 +88,7 @@ CASES = [
     ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a\nb\nc\nd"), ("<p title='a > b'>x</p>", "x"), ("<p>open <a href='x", "open"),
     ("<p>1 < 2 & 3</p>", "1 < 2 & 3"), ("<main><header><h1>H</h1></header><p>t</p></main><p>out</p>", "H\nt"), ("<p>" + "w " * 50000, ("w " * 50000).strip()),
     ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"), ("</p></div>x<p></p>", "x"), ("<article></article><p>out</p>", "out"),
+    ("<article><p>sum <math><mi>x</mi></math> of</p><div class='related'>part of the story</div></article>", "sum x of\npart of the story"),
 ]
 
 
@@ -108,6 +109,48 @@ def test_template_subtrees_go_and_articles_stay(spark):
     assert {got[i] for i in range(10, 18)} == {"the same passage"}
 
 
+def test_boxes_inside_articles_go_and_copies_stay(spark):
+    box = "<div class='box'><p>Subscribe to our letter</p></div>"
+    pages = [("http://a.org/1", f"<main>{box}<div><p>own text {i}</p><p>a line all have</p></div></main>") for i in range(40)]
+    copied = "<article><div><p>first part</p></div><section>second part</section></article>"
+    pages += [("http://b.org/1", copied)] * 30 + [("http://b.org/2", f"<article><p>other {i}</p></article>") for i in range(5)]
+    got = extracted(spark, pages)
+    assert [got[i] for i in range(40)] == [f"own text {i}\na line all have" for i in range(40)]
+    assert {got[i] for i in range(40, 70)} == {"first part\nsecond part"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_templates_equal_counts_of_every_host(spark, seed):
+    rng = random.Random(seed)
+    parts = [f"<div><p>{w}</p></div>" for w in "abcdefgh"]
+    pages = []
+    for _ in range(120):
+        host = rng.choice(["x.org", "y.org", "y.org", "z.org"])
+        outer, inner = rng.choices(parts, k=2), rng.choices(parts[:3], k=2)
+        pages.append((f"http://{host}/", f"{''.join(outer)}<article>{''.join(inner)}<p>{rng.randrange(40)}</p></article>"))
+    hosts = {html_template.page_host(u) for u, _ in pages}
+    want = {}
+    for host in hosts:
+        parsed = [html_template.blocks(p) for u, p in pages if html_template.page_host(u) == host]
+        bodies = [" ".join(b[0] for b in found if b[1]) for found in parsed]
+        for at in (3, 4):
+            for key in {k for found in parsed for b in found for k in b[at]}:
+                on = [i for i, found in enumerate(parsed) if any(key in b[at] for b in found)]
+                different = len({html_template.signed(html_template.xxhash.xxh64_intdigest("\n".join(b[0] for b in parsed[i] if b[1]))) & 63 for i in on})
+                assert different <= len({bodies[i] for i in on})
+                if len(on) >= 5 and (len(on) >= 0.1 * len(parsed) if at == 3 else len(on) >= 0.5 * len(parsed) and different >= 5):
+                    want.setdefault(host, set()).add(key)
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id bigint, url string, html string").repartition(3)
+    got = {r.host: set(r.hashes) for r in html_template.templates(frame).collect()}
+    assert got == want and sum(map(len, want.values())) > 10
+
+
+def test_rows_that_repeat_and_null_ids_are_kept(spark):
+    frame = spark.createDataFrame([(1, "http://a.org/", "<p>x</p>")] * 2 + [(None, None, "<p>y</p>"), (None, "http://a.org/", None)], "page_id bigint, url string, html string")
+    got = sorted(((r.page_id, r.text, r.n_chars) for r in html_template.extract(frame).collect()), key=str)
+    assert got == [(1, "x", 1), (1, "x", 1), (None, "", 0), (None, "y", 1)]
+
+
 def test_whole_table(given):
     got = {r.page_id: r for r in html_template.extract(given("pages")).collect()}
     for r in given("pages").collect():
