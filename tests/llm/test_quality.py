@@ -139,3 +139,74 @@ def test_toxicity_without_labels(docs, spark):
     rows = toxicity.classify(docs(["a b", None]), labels, F.lit(True)).collect()
     assert {r.score for r in rows} == {0.5}
     assert toxicity.classify(docs(["a"]).where("false"), labels, F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_split_is_the_best_of_all(seed):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.random((200, 4)), 2)
+    y = (x[:, seed % 4] + rng.random(200) > 1).astype(float)
+    bins, ridge, least = 16, 1.0, 10
+    model = boosted.fit(x, y, trees=1, depth=1, bins=bins, rate=1.0, ridge=ridge, least_rows=least)
+    p = y.mean()
+    g, h = p - y, np.full(200, p * (1 - p))
+
+    def gain(inside):
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + ridge)
+        return part(inside) + part(~inside) - g.sum() ** 2 / (h.sum() + ridge)
+
+    cuts = [(j, e) for j in range(4) for e in np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1]))]
+    allowed = [(gain(x[:, j] <= e), j, e) for j, e in cuts if least <= (x[:, j] <= e).sum() <= 200 - least]
+    left = x[:, model.feature[0, 0]] <= model.threshold[0, 0]
+    assert gain(left) == pytest.approx(max(allowed)[0])
+    assert model.leaf[0] == pytest.approx([-g[left].sum() / (h[left].sum() + ridge), -g[~left].sum() / (h[~left].sum() + ridge)])
+
+
+def test_ftrl_equals_a_plain_loop():
+    rng = np.random.default_rng(9)
+    examples = [np.unique(rng.integers(0, 60, 12)).astype(np.uint32) for _ in range(80)]
+    y = np.array([float(3 in e or 7 in e) for e in examples])
+    alpha, beta, l1, l2, epochs = 0.7, 1.0, 0.4, 0.1, 3
+    got = toxicity.ftrl(examples, y, epochs, alpha, beta, l1, l2, seed=5)
+    often = {k for k, n in Counter(int(k) for e in examples for k in e).items() if n > 1}
+    z, n = dict.fromkeys(often, 0.0), dict.fromkeys(often, 0.0)
+    bz = bn = bias = 0.0
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(epochs):
+        for i in order.permutation(len(examples)):
+            keys = [int(k) for k in examples[i] if int(k) in often]
+            w = {k: weight(k) for k in keys}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - y[i]
+            for k in keys:
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * w[k]
+                n[k] += g * g
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / alpha * bias
+            bn += g * g
+            bias = -bz / ((beta + math.sqrt(bn)) / alpha)
+    want = {k: weight(k) for k in often if weight(k)}
+    assert got.bias == pytest.approx(bias) and set(map(int, got.keys)) == set(want)
+    assert list(got.values) == pytest.approx([want[int(k)] for k in got.keys])
+    known = got.table()
+    for e in examples[:20]:
+        total = bias + sum(want.get(int(k), 0.0) for k in e)
+        assert got.score(np.repeat(e, 2), known) == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_toxic_rows_of_the_given_table_are_found(spark):
+    table = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    held_out = fold(3) == 1
+    rows = toxicity.classify(table("documents"), table("labels"), ~held_out).join(table("labels"), "doc_id").where(held_out).collect()
+    toxic = [r.score >= toxicity.THRESHOLD for r in rows if r.toxic]
+    assert len(toxic) >= 50 and np.mean(toxic) >= 0.75
+    assert np.mean([r.score < toxicity.THRESHOLD for r in rows if not r.toxic]) > 0.98
+
+
+def test_repeated_rows_and_null_ids_are_kept(docs, pieces, spark):
+    frame = docs(["some words here", "some words here", "other", None]).selectExpr("CASE WHEN doc_id > 1 THEN NULL ELSE 5L END AS doc_id", "text", "lang", "score")
+    labels = spark.createDataFrame([(5, 1, 0)], "doc_id bigint, quality int, toxic int")
+    for got in (quality_rules.measure(frame, pieces), boosted.classify(frame, labels, F.lit(True)), toxicity.classify(frame, labels, F.lit(True))):
+        assert sorted((r.doc_id for r in got.collect()), key=str) == [5, 5, None, None]
