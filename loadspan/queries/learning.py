@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loadspan.config import FEATURE_COLUMNS, SLOTS_PER_WEEK, WEATHER_COLUMNS
+from loadspan.config import FEATURE_COLUMNS, HORIZON_STEPS, SLOTS_PER_WEEK, WEATHER_COLUMNS
 from loadspan.operators import features as fx
-from loadspan.operators import models, reshape, stats
+from loadspan.operators import models, reshape, stats, windows
 from loadspan.operators import regional
 from loadspan.operators.forecast import prediction_interval, residual_quantile
 from loadspan.operators.roll import roll_forward
@@ -144,6 +144,20 @@ def recursive_ensemble(spark, d):
     return rounded(path.select("region", "step", "ts", "point", "lower", "upper"), 4)
 
 
+@query("window_models")
+def window_models(spark, d):
+    """Test errors, an hour ahead, of the linear member on windows of 96 rows of 13 features; bins come from the first 80 % of each series."""
+    series = imputed(spark, d, NEXT_STEP)[0]
+    table = staged(reshape.chrono_split(fx.quarter_hour_features(series)).drop("idx", "n"), "window-features")
+    edges = windows.bin_edges(table.filter("part = 'train'"), FEATURE_COLUMNS)
+    rows = staged(windows.window_rows(table, edges, HORIZON_STEPS["1h"]).join(table.select("region", "ts", "part"), ["region", "ts"]), "windows")
+    # the label of a training row lies in the training part too
+    last = table.filter("part = 'train'").groupBy("region").agg(F.max("ts").alias("last"))
+    train = rows.join(last, "region").filter(F.col("ts") + F.expr("INTERVAL 1 HOUR") <= F.col("last"))
+    fitted_windows = windows.fit_windows(train, ("linear",))
+    return rounded(score(windows.score_windows(rows.filter("part = 'test'"), fitted_windows)), 4)
+
+
 @query("per_region_models")
 def per_region_models(spark, d):
     """Test errors of a linear model of its own for every region."""
