@@ -44,7 +44,7 @@ def permutation_errors(rows: DataFrame, ensemble: Ensemble, columns: Sequence[st
         ids = group.column("_row").to_numpy().view(np.uint64)
         errors = []
         for c in range(len(columns)):
-            mixed = (ids + np.uint64(c + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (ids + np.uint64((c + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
             moved = x.copy()
             moved[:, c] = x[np.argsort(mixed ^ (mixed >> np.uint64(31)), kind="stable"), c]
             errors.append(((flat.predict(moved, hot, weights) - y) ** 2).sum())
