@@ -12,7 +12,7 @@ from loadspan.llm.queries import PIECES, WORD_BPE, fold, tokenizer
 #: Words of a shingle and least similarity of the stage; the query of the join itself has its own.
 NEAR_WORDS = 5
 NEAR_PERCENT = 80
-#: Words that a task of the packing stage keeps the ids of: fewer than in the query, as workers still hold what earlier stages kept.
+#: Words that a worker of the packing stage keeps the ids of: fewer than in the query, as workers still hold what earlier stages kept.
 PACKED_WORDS = 80_000
 
 
