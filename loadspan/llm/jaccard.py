@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -157,6 +158,24 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def may_hold(kept: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids the filter of ``id_filter`` lets pass: all that it was made of, and a few others."""
+    places = bit_places(ids)
+    return ((kept[places >> np.uint64(6)] >> (places & np.uint64(63))) & np.uint64(1)).all(0)
+
+
+def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents of other ids than ``ids``, and those of ``ids`` with few others, told apart where they are read."""
+    kept = id_filter(ids.select(F.col("doc_id").cast("bigint")))
+
+    @F.pandas_udf("boolean")
+    def maybe(column: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(kept, column.to_numpy()))
+
+    found = maybe(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)))
+    return docs.where(~found), docs.where(found)
+
+
 def sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(doc_id, grams) of the documents whose ids are ``wanted``, the hashes as bytes, and of few others.
 
@@ -168,9 +187,7 @@ def sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            places = bit_places(batch.column(0).to_numpy(zero_copy_only=False))
-            maybe = ((kept[places >> np.uint64(6)] >> (places & np.uint64(63))) & np.uint64(1)).all(0)
-            part = batch.filter(pa.array(maybe))
+            part = batch.filter(pa.array(may_hold(kept, batch.column(0).to_numpy(zero_copy_only=False))))
             found = [shingles(t, size).tobytes() for texts in chunks(raw_texts(part.column(1))) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=out.names)
 
@@ -328,13 +345,15 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     across = stage(linked(pairs, stage(sets(docs, ids, size), "grams"), percent), "links")
     edges = within.union(across)
-    reps = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"))
+    reps = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("rows"))
     # rows of one id with different sets meet in that id
     own = usable.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("c")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    same = salted_join(usable.join(own.select("doc_id"), "doc_id", "left_semi").select("doc_id", "k1", "k2"), reps.select("k1", "k2", "doc"),
-                       ["k1", "k2"], ["doc_id"]).select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
+    repeated = stage(usable.join(own.select("doc_id"), "doc_id", "left_semi").select("doc_id", "k1", "k2"), "repeated")
+    theirs = reps.join(repeated.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", "doc")
+    same = salted_join(repeated, theirs, ["k1", "k2"], ["doc_id"]).select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     comps = components(edges.union(same))
-    by_set = reps.select("k1", "k2", "doc").join(comps.select(F.col("id").alias("doc"), "component"), "doc", "left").select(
+    # a set of one row without links needs none, as its component is its own id
+    by_set = reps.join(comps.select(F.col("id").alias("doc"), "component"), "doc", "left").where("rows > 1 OR component IS NOT NULL").select(
         "k1", "k2", F.coalesce("component", "doc").alias("component"))
     joined = salted_join(signed.select("doc_id", "n", "k1", "k2"), by_set, ["k1", "k2"], ["doc_id"], "left")
     found = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
@@ -348,12 +367,16 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
     A row for each different text of that id stays: of rows with one id and one text, the one with the smallest hash of its
     columns. Texts without words and rows of a null id all stay. Ids are cast to bigint, as in ``join``.
     """
-    heads = stage(join(docs, size, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "heads")
-    single = docs.join(heads.where("rows = 1"), "doc_id", "left_semi")
+    found = stage(join(docs, size, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("doc_id") == F.col("component_id"), 1)).alias("own")), "heads")
+    # few ids are not the head of a component with one row alone: a filter of them passes all other texts on where they are read
+    sure, doubtful = parted(docs.where(F.col("doc_id").isNotNull()), found.where("rows > 1 OR own = 0"))
+    heads = found.where("own > 0")
+    single = doubtful.join(heads.where("own = 1"), "doc_id", "left_semi")
     # ids that repeat are few, so their rows alone are grouped
-    several = docs.join(heads.where("rows > 1"), "doc_id", "left_semi")
+    several = doubtful.join(heads.where("own > 1"), "doc_id", "left_semi")
     hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))])
     row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), hashed)
     # by position, as columns of any name may be there
     one = several.groupBy(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).agg(row.alias("_row")).select("_row.*")
-    return single.union(one).union(docs.where(F.col("doc_id").isNull()))
+    return sure.union(single).union(one).union(docs.where(F.col("doc_id").isNull()))

@@ -187,3 +187,13 @@ def test_keep_one_keeps_every_text_of_an_id(docs):
 def test_texts_of_the_whole_table(given):
     rows = [(r.doc_id, r.text) for r in given("documents").collect()]
     assert joined(given("documents")) == brute_texts(rows)
+
+
+def test_texts_are_parted_by_ids_without_moving_them(docs, spark):
+    frame = docs([f"text {i}" for i in range(500)], ids=[i % 400 for i in range(500)])
+    wanted = spark.range(0, 40, 10).withColumnRenamed("id", "doc_id")
+    others, some = jaccard.parted(spark.createDataFrame(frame.collect(), frame.schema), wanted)
+    assert "Exchange" not in others._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, others.union(some).collect())) == sorted(map(str, frame.collect()))
+    assert {r.doc_id for r in others.collect()}.isdisjoint({0, 10, 20, 30}) and some.count() < 20
+    assert jaccard.parted(frame, wanted.where("false"))[0].count() == 500
