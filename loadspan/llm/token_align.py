@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from array import array
@@ -23,6 +24,9 @@ SHARD_PAIRS = 1 << 20
 #: Different units of text, and parts of units, that a task keeps the alignments of. Parts are dear to align, units are put together from them.
 UNITS = 100_000
 PARTS_KEPT = 300_000
+#: Units and parts below so many characters are encoded many at a time, as one text.
+SHORT = 100
+RUN = 256
 
 #: A text is cut before a space or a line end that follows anything but white space.
 UNIT = re.compile(r"\s*\S+(?:(?![ \n])\s+\S*)*|\s+")
@@ -79,6 +83,7 @@ class Aligner:
             raise ValueError("the sentencepiece model has pieces across spaces or line ends")
         self.split = not any(re.search("[A-Za-zÀ-ÖØ-öø-ÿ][.,!?;:|#$%&*]|\n.", p) for p in normal)
         self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.shown = [name + mark for mark in ",|;\n" for name in self.names]
         self.known = WordCache(self._parts, parts)
         self.cache = WordCache(self._units, units)
 
@@ -97,21 +102,48 @@ class Aligner:
                 continue
             a_ends, b_ends = [end for _, end in a.offsets], [p.end for p in pieces]
             if len(raw) > len(text):
-                place = list(accumulate([len(c.encode()) for c in text], initial=0))
-                a_ends = refine([place[end] for end in a_ends], a_ids, a_bytes, self.a_part)
+                place = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80), len(raw))
+                a_ends = refine(place[a_ends].tolist(), a_ids, a_bytes, self.a_part)
                 b_ends = refine(b_ends, b_ids, b_bytes, self.b_part)
             out.append((a_ids, a_ends, b_ids, b_ends))
         return out
 
     def _parts(self, parts: list[str]) -> list[Aligned | bool]:
+        joined = [p for p in parts if len(p) < SHORT and p[0] in " \n" and not p[-1].isspace()]
+        found = dict(zip(joined, self._runs(joined), strict=True))
+        alone = [p for p in parts if p not in found]
+        found.update(zip(alone, self._alone(alone), strict=True))
+        return [found[p] for p in parts]
+
+    def _alone(self, parts: list[str]) -> list[Aligned | bool]:
         return [s and links(*s, self.names) for s in self.spans(parts)]
 
+    def _runs(self, parts: list[str], size: int = RUN) -> list[Aligned | bool]:
+        """Alignments of parts that may stand behind each other, as neither side has tokens across their starts.
+
+        They are encoded ``size`` at a time. Where one is not given back, its run is encoded again in shorter ones, then part by part.
+        """
+        runs = [parts[i:i + size] for i in range(0, len(parts), size)]
+        out: list[Aligned | bool] = []
+        for run, spans in zip(runs, self.spans(["".join(run) for run in runs]), strict=True):
+            found = spans and run_links(*spans, run, self.shown)
+            if not found:
+                found = self._runs(run, size // 16) if size > 16 else self._alone(run)
+            out += found
+        return out
+
     def _units(self, units: list[str]) -> list[Aligned | bool]:
-        cut = []
+        cut: list[list[str]] = []
         for unit in units:
-            found = PARTS.fullmatch(unit) if self.split and len(unit) < 100 else None
+            found = PARTS.fullmatch(unit) if self.split and len(unit) < SHORT else None
             cut.append([p for p in found.groups() if p] if found else [unit])
-        return [v[0] if len(v) == 1 else merge(v) for v in self.known.values(cut)]
+        found, at = self.known.values([[p for parts in cut for p in parts]])[0], 0
+        out = []
+        for parts in cut:
+            n = len(parts)
+            out.append(found[at] if n == 1 else merge(found[at:at + n]))
+            at += n
+        return out
 
     def aligned(self, texts: Sequence[str]) -> list[list[Aligned] | bool]:
         """Alignments of the units of a space and each text; False without tokens."""
@@ -156,6 +188,35 @@ def links(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[in
                 return i, j, ";".join(groups), array("q", codes).tobytes()
 
 
+def run_links(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int], parts: Sequence[str],
+              shown: Sequence[str]) -> list[Aligned] | None:
+    """What :func:`links` gives for each of ``parts``, from the tokens of all as one text; None if a part does not end with tokens of both sides.
+
+    Each place where a token ends closes one link, between the two tokens before it. ``shown`` has the numbers as text
+    with a comma, then all with a bar, a semicolon and a line end.
+    """
+    a, at_a, b, at_b = (np.array(x, np.int64) for x in (a_ids, a_ends, b_ids, b_ends))
+    stops = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in parts])
+    cuts = np.union1d(at_a, at_b)
+    of_a, of_b = np.searchsorted(at_a, cuts), np.searchsorted(at_b, cuts)
+    both = cuts[(at_a[of_a] == cuts) & (at_b[of_b] == cuts)]
+    rising = all((np.diff(x, prepend=0) > 0).all() for x in (at_a, at_b))
+    if not rising or not np.isin(stops, both).all():
+        return None
+    codes = (a[of_a] << 32 | b[of_b]).tobytes()
+    upto_a, upto_b = np.searchsorted(at_a, both, "right"), np.searchsorted(at_b, both, "right")
+    group_a, group_b = np.searchsorted(both, at_a), np.searchsorted(both, at_b)
+    width = len(shown) // 4
+    text = np.empty(len(a) + len(b), np.int64)
+    text[np.arange(len(a)) + np.append(0, upto_b)[group_a]] = a + width * (at_a == both[group_a])
+    text[np.arange(len(b)) + upto_a[group_b]] = b + width * (2 * (at_b == both[group_b]) + np.isin(at_b, stops))
+    groups = "".join([shown[i] for i in text.tolist()]).split("\n")[:-1]
+    last = np.searchsorted(both, stops)
+    n_a, n_b = np.diff(upto_a[last], prepend=0).tolist(), np.diff(upto_b[last], prepend=0).tolist()
+    ends = (8 * np.searchsorted(cuts, stops) + 8).tolist()
+    return list(zip(n_a, n_b, groups, [codes[s:e] for s, e in zip([0, *ends], ends)], strict=True))
+
+
 def merge(parts: Sequence[Aligned | bool]) -> Aligned | bool:
     """Alignment of neighbouring parts as one."""
     if False in parts:
@@ -238,6 +299,8 @@ def shards(docs: DataFrame, path_a: str, path_b: str, most: int) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         held: list[tuple] = []
         size = 0
+        # the caches hold very many tuples and no cycles: collections would pass over them again and again
+        gc.disable()
 
         def close():
             every = np.concatenate([h[-2] for h in held])
@@ -257,28 +320,31 @@ def shards(docs: DataFrame, path_a: str, path_b: str, most: int) -> DataFrame:
                      pa.array((codes & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], schema=schema,
                 )
 
-        for batch in batches:
-            at = 0
-            ids = batch.column(0).cast(schema.field(1).type)
-            for texts in chunks(decoded(batch.column(1))):
-                for got in aligner.aligned(texts):
-                    if not got:
-                        row = (0, 0, 0, 0, "")
-                        codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                    else:
-                        a, b, groups, linked = zip(*got, strict=True)
-                        every = np.frombuffer(b"".join(linked), np.int64)
-                        codes, times = np.unique(every, return_counts=True)
-                        text = ";".join(groups)
-                        row = (sum(a), sum(b), text.count(";") + 1, len(every), hashlib.sha256(text.encode()).hexdigest())
-                    held.append((ids.slice(at, 1), *row, codes, times))
-                    at += 1
-                    size += len(codes) + 1
-                    if size >= most:
-                        yield from close()
-                        held, size, number = [], 0, number + 1
-        if held:
-            yield from close()
+        try:
+            for batch in batches:
+                at = 0
+                ids = batch.column(0).cast(schema.field(1).type)
+                for texts in chunks(decoded(batch.column(1))):
+                    for got in aligner.aligned(texts):
+                        if not got:
+                            row = (0, 0, 0, 0, "")
+                            codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                        else:
+                            a, b, groups, linked = zip(*got, strict=True)
+                            every = np.frombuffer(b"".join(linked), np.int64)
+                            codes, times = np.unique(every, return_counts=True)
+                            text = ";".join(groups)
+                            row = (sum(a), sum(b), text.count(";") + 1, len(every), hashlib.sha256(text.encode()).hexdigest())
+                        held.append((ids.slice(at, 1), *row, codes, times))
+                        at += 1
+                        size += len(codes) + 1
+                        if size >= most:
+                            yield from close()
+                            held, size, number = [], 0, number + 1
+            if held:
+                yield from close()
+        finally:
+            gc.enable()
         pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, out)

@@ -131,6 +131,28 @@ def test_units_are_put_together_from_parts(byte_bpe, pieces):
     assert set(aligner.known.fresh) == {" word", "word", ",", ";", "\n"}
 
 
+def test_parts_are_encoded_in_runs_as_each_alone(byte_bpe, pieces, monkeypatch):
+    aligner = token_align.Aligner(byte_bpe, pieces)
+    plain = [f" {x}{y}" for x in ("was", "Wörter", "漢é", "12ab", "naïve😀") for y in ("", "n", "ing", "ß", "7")] + ["\nline", "\n\n x", " \t y"]
+    odd = [" a▁b", " \x00x", " tab\t", "  ", ",", "word", " " + "a" * 300]
+    alone = [a and token_align.links(*a, aligner.names) for a in aligner.spans(plain + odd)]
+    assert False in alone and not all(aligner._runs(odd[:1] + plain))
+    assert aligner._parts(plain + odd) == alone
+
+    calls, spans = [], aligner.spans
+    monkeypatch.setattr(aligner, "spans", lambda parts: calls.append(len(parts)) or spans(parts))
+    assert aligner._parts(plain) == alone[:len(plain)]
+    assert sum(calls) == 1
+
+
+def test_a_run_whose_parts_are_not_ends_of_tokens_is_not_cut():
+    tokens = ([5, 6], [2, 4], [7, 8], [2, 4])
+    shown = [str(i) + mark for mark in ",|;\n" for i in range(9)]
+    assert [x[:3] for x in token_align.run_links(*tokens, ["ab", "cd"], shown)] == [(1, 1, "5|7"), (1, 1, "6|8")]
+    assert [x[:3] for x in token_align.run_links(*tokens, ["abcd"], shown)] == [(2, 2, "5|7;6|8")]
+    assert token_align.run_links(*tokens, ["abc", "d"], shown) is None
+
+
 def test_parts_of_characters_are_refined():
     assert token_align.partial("é".encode()[:1]) and not token_align.partial("é".encode())
     raw = [b"\xc3", b"\xa9", b"ab"]
