@@ -43,7 +43,8 @@ NEXT_STEP, DIRECT = 0.8, 0.7
 
 def imputed(spark, d, share):
     """The series with missing weather filled from its first ``share``, and the means it was filled with."""
-    series = src.series(spark, d)
+    # the means and the rows both read it: staged, the events are aggregated once
+    series = staged(src.series(spark, d), "series")
     means = staged(fx.weather_means(series, share), "weather-means")
     return fx.impute_weather(series, means), means
 
